@@ -29,11 +29,13 @@ def chunked(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def collided(docs: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
-    """(h, chunk, r) for each distinct chunk whose hash another distinct chunk has; r numbers them from 1."""
+def collided(docs: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame | None:
+    """(h, chunk, r) for each distinct chunk whose hash another distinct chunk has; r numbers them from 1. None if there is none."""
     chunks = docs.select(F.explode(chunked(squeezed(F.col("text")))).alias("chunk"))
     chunks = chunks.select(hashed(F.col("chunk")).alias("h"), "chunk").distinct()
-    twice = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    twice = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    if twice.isEmpty():
+        return None
     return chunks.join(twice, "h").withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("chunk")))
 
 
@@ -46,8 +48,8 @@ def recipes(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) ->
         squeezed(F.col("text")).alias("norm"),
     ).select("doc_id", "n_cp", F.sha2("norm", 256).alias("text_sha256"), chunked(F.col("norm")).alias("chunks"))
     own = plain.withColumn("recipe", F.transform("chunks", lambda c: F.struct(hashed(c).alias("h"), F.lit(0).alias("r"))))
-    bad = cut(collided(docs, hashed))
-    if bad.isEmpty():
+    bad = collided(docs, hashed)
+    if bad is None:
         return own.drop("chunks")
     # Only where a hash stands for two strings: the identifiers of those chunks are looked up by the string itself.
     own = own.withColumn("row", F.struct(F.monotonically_increasing_id().alias("id"), "doc_id", "n_cp", "text_sha256"))
@@ -64,8 +66,8 @@ def exact_dedup(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64
     order = F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"))
     # Partial aggregation leaves one row per recipe and task, so a group of any size meets as a few rows.
     groups = made.groupBy("recipe").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select("recipe", F.col("best.doc_id").alias("keep"), "n")
-    # Without the groups of one row the right side is small; adaptive execution splits a hot recipe's left rows.
+    # As a table of its own it is joined straight from a shuffle, whose hot partitions adaptive execution can split.
+    groups = cut(groups.select("recipe", F.col("best.doc_id").alias("keep"), "n"))
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     return made.join(groups, "recipe", "left").select(
         "doc_id",
