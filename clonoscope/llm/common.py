@@ -54,3 +54,25 @@ def squeezed(text: Column) -> Column:
 def md5_u32(text: Column) -> Column:
     """The first 32 bits of the MD5 of a text, as a long; the same in any SQL engine."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (u, v) as (u, v): every vertex u of a link but the smallest of its component, with that smallest vertex v.
+
+    Alternating large and small stars: each vertex sends its larger, then its smaller neighbours to its smallest one, until
+    nothing changes. Vertices meet by partial aggregation and joins only; each round is written as a table.
+    """
+    links = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    state = None
+    while True:
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == state or not now[0]:
+            return links
+        state = now
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, mixing, token_counts
+from . import byte_bpe, exact_dedup, language_id, mixing, near_dedup, token_counts
 from .common import table
 
 QUERIES = {
     "op2_byte_bpe": lambda spark, sf_dir: byte_bpe.round_trip(table(spark, sf_dir, "documents")),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(table(spark, sf_dir, "documents")),
     "op6_language_id": lambda spark, sf_dir: language_id.language_id(table(spark, sf_dir, "documents")),
+    "op8_near_dedup": lambda spark, sf_dir: near_dedup.near_dedup(table(spark, sf_dir, "documents")),
     "op9_token_counts": lambda spark, sf_dir: token_counts.token_counts(table(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mixing.mix(table(spark, sf_dir, "documents")),
 }
