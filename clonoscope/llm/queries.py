@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, mixing, near_dedup, neighbours, token_counts, toxicity
+from . import byte_bpe, exact_dedup, language_id, line_dedup, mixing, near_dedup, neighbours, suffix_dedup, token_counts, toxicity
 from .common import table
 
 QUERIES = {
+    "op1_suffix_dedup": lambda spark, sf_dir: suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")),
     "op2_byte_bpe": lambda spark, sf_dir: byte_bpe.round_trip(table(spark, sf_dir, "documents")),
     "op3_neighbours": lambda spark, sf_dir: neighbours.neighbours(table(spark, sf_dir, "embeddings")),
     "op4_toxicity": lambda spark, sf_dir: toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
