@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, md5_u32
+from .common import WORD, cut, md5_u32
 
 #: Rows that one slice of a size class holds, about.
-SLICE = 1000
+SLICE = 256
 MADE = ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -51,10 +51,10 @@ def targets(sizes: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
-    """docs (doc_id, text, source, ...) with the columns size, source_size, target, copies and taken."""
+def mixed(docs: DataFrame, most: int = 3, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, text, source, ...), or their columns keep, with the columns size, source_size, target, copies and taken."""
     docs = docs.drop(*MADE)
-    names = docs.columns
+    names = keep or docs.columns
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     docs = docs.withColumns({"size": size, "__skey": F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))})
     digits = F.col("size").cast("string")
@@ -63,12 +63,15 @@ def mixed(docs: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
         "__class": F.rpad(F.substring(digits, 1, 2), F.length(digits), F.lit("0")).cast("long"),
         "__h": md5_u32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
     })
+    docs = cut(docs.select(*{*names, "doc_id"}, "size", "__skey", "__class", "__h"))  # words are counted once
     classes = docs.groupBy("__skey", "__class").agg(F.count("*").alias("__n"), F.sum("size").alias("__words"))
     sources = targets(classes.groupBy("__skey").agg(F.sum("__words").alias("source_size")).withColumnRenamed("__skey", "skey"), most, seed)
     classes = classes.withColumns({
         "__slices": F.ceil(F.col("__n") / SLICE),
         "__before": F.coalesce(F.sum("__n").over(W.partitionBy("__skey").orderBy("__class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-    }).select("__skey", "__class", "__slices", "__before")
+    })
+    # Tables of their own, so that the joins read plain shuffles, whose hot partitions adaptive execution can split.
+    classes = cut(classes.select("__skey", "__class", "__slices", "__before"))
     docs = docs.join(classes.select("__skey", "__class", "__slices"), ["__skey", "__class"])
     docs = docs.withColumn("__slice", F.shiftright(F.col("__h") * F.col("__slices"), 32)).drop("__slices")
     within = W.partitionBy("__skey", "__class").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
@@ -77,6 +80,7 @@ def mixed(docs: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
     slices = slices.join(sources.withColumnRenamed("skey", "__skey"), "__skey").select(
         "__skey", "__class", "__slice", (F.col("__ahead") + F.col("__before")).alias("__ahead"), "source_size", "target", "offset"
     ).withColumnRenamed("offset", "__offset")
+    slices = cut(slices)
     docs = docs.join(slices, ["__skey", "__class", "__slice"])
     place = F.row_number().over(W.partitionBy("__skey", "__class", "__slice").orderBy("__h", "doc_id")) + F.col("__ahead")
     docs = docs.withColumns({"__place": place, "__each": F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))})
@@ -87,7 +91,7 @@ def mixed(docs: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs (doc_id, text, source)."""
-    return mixed(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(docs.select("doc_id", "text", "source"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def sampled(docs: DataFrame) -> DataFrame:
