@@ -95,11 +95,10 @@ def chosen(rows: DataFrame) -> list[str]:
     return [r["f"] for r in best.orderBy(F.desc("z"), "f").limit(FEATURES).collect()]
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the cumulative logit model of grades 0, 1, ..., by Adam on the penalised likelihood; grades weigh alike."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the cumulative logit model of grades 0, 1, ..., by Adam on the penalised likelihood of weighted rows."""
     top = int(y.max())
-    share = 1 / np.bincount(y, minlength=top + 1).clip(1)
-    weight = share[y] / share[y].sum()
+    weight = weight / weight.sum()
     p = np.concatenate([np.zeros(x.shape[1]), [0.5], np.zeros(top - 1)])  # weights, first threshold, logs of the steps to the next ones
     m, v = np.zeros_like(p), np.zeros_like(p)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -136,6 +135,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
         for batch in batches:
             yield pd.Series([[place[f] for w in sorted(set(words(x.lower()))) for f in features(w) if f in place] for x in batch])
 
+    worst = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    all_labels = {r["toxic"]: r["count"] for r in worst.groupBy("toxic").count().collect()}
     # Bound: the sample, in chosen features only.
     got = sorted(rows.select("doc_id", "toxic", found("text").alias("at")).collect(), key=lambda r: r["doc_id"])
     x = np.zeros((len(got), len(names)), np.float32)
@@ -145,7 +146,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     telling = x[:, [i for i, f in enumerate(names) if not f.endswith("-")]].sum(1)
     severe = telling > np.median(telling[toxic == 1])
     y = np.where(toxic == 1, 1 + severe, 0).astype(int)
-    return Model(names, *fit(x, y))
+    # Rows weigh as much as the labelled documents that they stand for.
+    weight = np.array([all_labels[0] / (toxic == 0).sum(), all_labels[1] / (toxic == 1).sum()])[toxic]
+    return Model(names, *fit(x, y, weight))
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
