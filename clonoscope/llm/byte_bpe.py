@@ -142,7 +142,7 @@ def codec(ranks_file: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _shared(docs: DataFrame, path: str | None):
+def shared_ranks(docs: DataFrame, path: str | None = None):
     """The vocabulary file (bounded, under a few MB) as a broadcast."""
     import public_tokenizers
 
@@ -152,7 +152,7 @@ def _shared(docs: DataFrame, path: str | None):
 
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> Column:
     """The identifiers of a text column, packed as little-endian unsigned 32-bit integers."""
-    shared = _shared(docs, path)
+    shared = shared_ranks(docs, path)
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -165,7 +165,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> Col
 
 def decoded(docs: DataFrame, packed: str, path: str | None = None) -> Column:
     """The bytes that a column of packed identifiers stands for."""
-    shared = _shared(docs, path)
+    shared = shared_ranks(docs, path)
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -178,7 +178,7 @@ def decoded(docs: DataFrame, packed: str, path: str | None = None) -> Column:
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text)."""
-    shared = _shared(docs, path)
+    shared = shared_ranks(docs, path)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
