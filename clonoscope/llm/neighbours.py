@@ -2,7 +2,7 @@
 
 Inner products are searched as distances: each vector gets one more component that brings all of them to the largest norm, queries get
 a zero there. A bounded sample is clustered with a penalty on large clusters; the centroids and a graph over them (each one's
-nearest, and a few far ones) are broadcast. Beam search in that graph, for a block of vectors at once, finds the
+nearest, and a few far ones) are broadcast. The ratio up to which lists are looked at is measured on the sample. Beam search in that graph, for a block of vectors at once, finds the
 nearest centroids. A vector is put on the lists of its nearest centroid and of those hardly farther (boundary vectors are on several
 lists); a query looks at the lists whose distance is within a ratio of the nearest one's. Lists are split into blocks of bounded
 size, as are the queries of a list; a pair of blocks is one matrix product in double precision, which leaves each query's best.
@@ -30,12 +30,14 @@ from .common import cut
 
 #: Bounds of the sample: vectors per list, vectors, bytes. Bound of the number of lists.
 PER_LIST, SAMPLE, SAMPLE_BYTES, LISTS = 64, 65_536, 64 << 20, 4096
-#: Up to how many classes there is one list; links of a centroid, and how many of them are far.
-SMALL, LINKS, FAR = 1000, 24, 4
-#: Replicas of a vector, and how much farther their centroids may be; lists of a query, at least and at most, and how much farther.
-REPLICAS, REPLICA_RATIO, LEAST, MOST, PROBE_RATIO = 4, 1.15, 8, 64, 1.35
+#: Vectors of a list, about; up to how many classes there is one list; links of a centroid, and how many of them are far.
+SIZE, SMALL, LINKS, FAR = 2048, 2500, 24, 4
+#: Replicas of a vector, and how much farther their centroids may be.
+REPLICAS, REPLICA_RATIO = 4, 1.01
+#: The share of a sample's nearest neighbours whose lists the ratio for queries has to reach, and queries of that sample.
+AIM, TRIED = 0.96, 400
 #: Vectors and queries of a block.
-BLOCK, QUERIES = 1024, 256
+BLOCK, QUERIES = 4096, 1024
 
 
 @dataclass
@@ -76,7 +78,13 @@ class Index:
             opened[rows, at] |= fresh
             more = self.graph[at].reshape(n, -1)
             new = ~seen[rows, more] & np.repeat(fresh, self.graph.shape[1], axis=1)
-            seen[rows, more] |= new
+            order = np.argsort(np.where(new, more, lists), axis=1, kind="stable")
+            twice = np.zeros_like(new)
+            ordered = np.take_along_axis(more, order, 1)
+            twice[rows, order[:, 1:]] = ordered[:, 1:] == ordered[:, :-1]
+            new &= ~twice
+            fresh_row, fresh_at = np.nonzero(new)
+            seen[fresh_row, more[fresh_row, fresh_at]] = True
             d = x2[:, None] + c2[more] - 2 * np.einsum("nd,nkd->nk", x, self.centroids[more])
             ids, dist = np.concatenate([ids, more], 1), np.concatenate([dist, np.where(new, d, np.inf)], 1)
             order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
@@ -91,7 +99,7 @@ def clustered(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 0) -> np.
     centroids = x[rng.choice(len(x), lists, replace=False)].copy()
     charge = np.zeros(lists)
     x2 = (x * x).sum(1)
-    for _ in range(rounds):
+    for turn in range(rounds):
         own = np.empty(len(x), int)
         spread = 0.0
         for lo in range(0, len(x), 4096):
@@ -100,13 +108,14 @@ def clustered(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 0) -> np.
             own[lo : lo + 4096] = (d + charge).argmin(1)
             spread += d[np.arange(len(part)), own[lo : lo + 4096]].sum()
         size = np.bincount(own, minlength=lists)
-        charge += 0.2 * spread / len(x) * np.clip(size * lists / len(x) - 1, -1, 3)
+        charge += 0.02 * spread / len(x) * np.clip(size * lists / len(x) - 1, -1, 3)
         total = np.zeros_like(centroids)
         np.add.at(total, own, x)
         full = size > 0
         centroids[full] = total[full] / size[full, None]
-        centroids[~full] = x[rng.choice(len(x), int((~full).sum()))]
-    return centroids
+        if turn < rounds - 1:
+            centroids[~full] = x[rng.choice(len(x), int((~full).sum()))]
+    return centroids[full]
 
 
 def built(sample: np.ndarray, norm2: float, lists: int) -> Index:
@@ -114,6 +123,7 @@ def built(sample: np.ndarray, norm2: float, lists: int) -> Index:
     raised = index.raised(sample)
     lists = max(1, min(lists, len(raised)))
     index.centroids = clustered(raised, lists) if lists > 1 else raised.mean(0, keepdims=True)
+    lists = len(index.centroids)
     rng = np.random.default_rng(1)
     links = min(LINKS, lists - 1)
     if links:
@@ -128,6 +138,25 @@ def built(sample: np.ndarray, norm2: float, lists: int) -> Index:
     return index
 
 
+def ratio_for(index: Index, sample: np.ndarray, k: int) -> float:
+    """How much farther than the nearest list a query must look, so that AIM of a sample's k nearest neighbours are on its lists."""
+    lists = len(index.centroids)
+    if lists == 1 or len(sample) <= k:
+        return np.inf
+    at, d = index.nearest(index.raised(sample), REPLICAS)
+    held = np.zeros((lists, len(sample)), bool)
+    i, j = np.nonzero(d <= REPLICA_RATIO**2 * d[:, :1] + 1e-12)
+    held[at[i, j], i] = True
+    tried = np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int)
+    product = sample[tried] @ sample.T
+    product[np.arange(len(tried)), tried] = -np.inf
+    best = np.argsort(-product, axis=1)[:, :k]
+    order, far = index.nearest(np.concatenate([sample[tried], np.zeros((len(tried), 1))], 1), lists)
+    far = np.sqrt(far / np.maximum(far[:, :1], 1e-12))
+    need = [far[i][held[order[i]][:, best[i]].argmax(0)] for i in range(len(tried))]
+    return float(np.quantile(np.concatenate(need), AIM))
+
+
 def valid(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding as doubles) of the vectors that take part."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -151,10 +180,12 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     classes = v.join(some.select("cid", "ids"), F.col("vec_id") == F.col("cid")).select("cid", "ids", "embedding").dropDuplicates(["cid"])
     classes = cut(classes)
     n, norm2 = classes.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).first()
-    lists = 1 if n <= SMALL else min(LISTS, int(n**0.5))
-    size = max(1, min(lists * PER_LIST, SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    lists = 1 if n <= SMALL else min(LISTS, max(2, n // SIZE))
+    size = max(1, min(max(lists * PER_LIST, 8192), SAMPLE, SAMPLE_BYTES // (8 * dim)))
     picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(size).select("embedding").toPandas()["embedding"]
-    index = built(np.stack(picked) if len(picked) else np.ones((1, dim)), float(norm2 or 1), lists)
+    sample = np.stack(picked) if len(picked) else np.ones((1, dim))
+    index = built(sample, float(norm2 or 1), lists)
+    ratio = ratio_for(index, sample, max(1, -(-k * len(sample) // max(n, 1))))
     shared = spark.sparkContext.broadcast(index)  # LISTS x (dim + 1) doubles and LISTS x LINKS links at most
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,8 +211,8 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
                 x = np.stack(part["embedding"])
-                at, d = own.nearest(np.concatenate([x, np.zeros((len(x), 1))], 1), MOST)
-                ok = (d <= PROBE_RATIO**2 * d[:, :1] + 1e-12) | (np.arange(at.shape[1]) < LEAST)
+                at, d = own.nearest(np.concatenate([x, np.zeros((len(x), 1))], 1), len(own.centroids))
+                ok = d <= ratio**2 * d[:, :1] + 1e-12
                 # Lists enough to hold k + 1 vectors, replicas taken off.
                 got = np.cumsum(filled[at], axis=1) - filled[at]
                 ok |= got < REPLICAS * (k + 1)
@@ -193,40 +224,45 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     asked = queries.select("qid").distinct().join(classes.select(F.col("cid").alias("qid"), "embedding"), "qid")
     asked = asked.mapInPandas(probed, f"list long, qid long, embedding {vector}")
 
-    def blocks(rows: DataFrame, key: str, most: int, row: list[str], name: str) -> DataFrame:
+    def blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
+        """(list, ids, vectors, more): the rows of a list in blocks, as bytes; more: how many ids each class has, and the ids."""
         count = cut(rows.groupBy("list").agg(F.ceil(F.count("*") / most).alias("parts")))
         rows = rows.join(count, "list").withColumn("part", F.pmod(F.xxhash64(key), "parts"))
-        return cut(rows.groupBy("list", "part").agg(F.collect_list(F.struct(*row)).alias(name)).select("list", name))
 
-    left = blocks(cut(asked), "qid", QUERIES, ["qid", "embedding"], "q")
-    right = blocks(postings, "cid", BLOCK, ["cid", "ids", "embedding"], "x")
+        def pack(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(key)
+            more = b"" if key == "qid" else np.array([len(x) for x in frame["ids"]], np.int64).tobytes() + np.concatenate(list(frame["ids"])).astype(np.int64).tobytes()
+            return pd.DataFrame({"list": frame["list"].iloc[:1], "ids": [frame[key].to_numpy(np.int64).tobytes()], "vectors": [np.stack(frame["embedding"]).tobytes()], "more": [more]})
+
+        return cut(rows.groupBy("list", "part").applyInPandas(pack, "list long, ids binary, vectors binary, more binary"), rows=8)
+
+    left = blocks(cut(asked), "qid", QUERIES).select("list", F.col("ids").alias("qids"), F.col("vectors").alias("q"))
+    right = blocks(postings, "cid", BLOCK)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for q, x in zip(batch["q"], batch["x"], strict=True):
-                qv, xv = np.stack([r["embedding"] for r in q]), np.stack([r["embedding"] for r in x])
-                cid = np.array([r["cid"] for r in x])
-                order = np.argsort(cid)
-                xv, cid, held = xv[order], cid[order], [x[i]["ids"] for i in order]
+            for qids, q, ids, x, more in batch[["qids", "q", "ids", "vectors", "more"]].itertuples(index=False):
+                qids, cid = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
+                qv, xv = np.frombuffer(q).reshape(len(qids), -1), np.frombuffer(x).reshape(len(cid), -1)
+                more = np.frombuffer(more, np.int64)
+                count, held = more[: len(cid)], more[len(cid) :]
+                start = np.cumsum(count) - count
                 most = min(k + 1, len(cid))
                 product = qv @ xv.T
                 # Everything at the last place's score, up to rounding, is scored again in one fixed order of summation.
                 limit = np.partition(product, len(cid) - most, axis=1)[:, len(cid) - most]
-                slack = 1e-12 * np.abs(product).max()
-                out = {"qid": [], "vec_id": [], "score": []}
-                for i, row in enumerate(product):
-                    near = np.flatnonzero(row >= limit[i] - slack)
-                    score = (qv[i] * xv[near]).sum(1)
-                    best = np.lexsort((cid[near], -score))[:most]
-                    for j in best:
-                        members = held[near[j]]
-                        out["qid"] += [q[i]["qid"]] * len(members)
-                        out["vec_id"] += list(members)
-                        out["score"] += [score[j]] * len(members)
-                yield pd.DataFrame(out).astype({"qid": "int64", "vec_id": "int64"})
-
-    spread = left.join(right, "list").select("q", "x").repartition(F.rand(0))
-    found = spread.mapInPandas(scored, "qid long, vec_id long, score double").distinct()
+                i, j = np.nonzero(product >= (limit - 1e-12 * np.abs(product).max())[:, None])
+                score = (qv[i] * xv[j]).sum(1)
+                order = np.lexsort((cid[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                first = np.searchsorted(i, np.arange(len(qids)))
+                ok = np.arange(len(i)) - first[i] < most
+                i, j, score = i[ok], j[ok], score[ok]
+                n = count[j]
+                member = held[np.repeat(start[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                yield pd.DataFrame({"qid": np.repeat(qids[i], n), "vec_id": member, "score": np.repeat(score, n)})
+
+    found = cut(left.join(right, "list").mapInPandas(scored, "qid long, vec_id long, score double"), rows=4).distinct()
     best = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     found = cut(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"))
     out = queries.withColumnRenamed("vec_id", "query_id").join(found, "qid").where("query_id <> vec_id")
