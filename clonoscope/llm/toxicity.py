@@ -33,6 +33,8 @@ PER_LABEL, FEATURES, MEMO = {0: 6000, 1: 3000}, 1024, 400_000
 #: A chosen feature is in this many sampled documents at least, and its log odds ratio is so many standard errors from 0.
 LEAST, ERRORS = 4, 3.5
 BEGINNINGS = (4, 5, 6)
+#: A document is flagged from this probability of any grade above 0 on: toxic texts are few, and missing one costs more than a second look.
+FLAG = 0.1
 words = regex.compile(r"\p{L}+").findall
 
 
@@ -99,18 +101,19 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, ridg
     """Weights and thresholds of the cumulative logit model of grades 0, 1, ..., by Adam on the penalised likelihood of weighted rows."""
     top = int(y.max())
     weight = weight / weight.sum()
+    x = x.astype(np.float32)
     p = np.concatenate([np.zeros(x.shape[1]), [0.5], np.zeros(top - 1)])  # weights, first threshold, logs of the steps to the next ones
     m, v = np.zeros_like(p), np.zeros_like(p)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
         w, gaps = p[: x.shape[1]], np.exp(p[x.shape[1] + 1 :])
         theta = p[x.shape[1]] + np.concatenate([[0], np.cumsum(gaps)])
-        over = np.concatenate([np.ones((len(y), 1)), sigmoid((x @ w)[:, None] - theta), np.zeros((len(y), 1))], 1)  # P(grade >= k)
+        over = np.concatenate([np.ones((len(y), 1)), sigmoid((x @ w.astype(np.float32)).astype(float)[:, None] - theta), np.zeros((len(y), 1))], 1)  # P(grade >= k)
         lo, hi = over[np.arange(len(y)), y], over[np.arange(len(y)), y + 1]
         p_y = np.maximum(lo - hi, 1e-9)
         dlo, dhi = lo * (1 - lo) / p_y, hi * (1 - hi) / p_y
         g = np.zeros_like(p)
-        g[: x.shape[1]] = x.T @ (weight * (dlo - dhi)) - ridge * w
+        g[: x.shape[1]] = (weight * (dlo - dhi)).astype(np.float32) @ x - ridge * w
         by = np.zeros(top)
         for k in range(top):  # threshold k bounds grade k above and grade k + 1 below
             by[k] = (weight * dhi)[y == k].sum() - (weight * dlo)[y == k + 1].sum()
@@ -168,7 +171,7 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
             over = 1 / (1 + np.exp(-np.clip(eta[:, None] - model.thresholds, -30, 30)))
             over[np.isneginf(eta)] = 0
             parts = -np.diff(np.concatenate([np.ones((len(eta), 1)), over, np.zeros((len(eta), 1))], 1), axis=1)
-            yield pd.DataFrame({"severity": over.sum(1), "grade": parts.argmax(1).astype(np.int32), "toxic": over[:, 0] >= 0.5})
+            yield pd.DataFrame({"severity": over.sum(1), "grade": parts.argmax(1).astype(np.int32), "toxic": over[:, 0] >= FLAG})
 
     return score(F.col(text))
 
