@@ -20,6 +20,7 @@ from ..operators import joins as J
 from ..operators import models as L
 from ..operators import motifs as M
 from ..operators import simulation as G
+from ..operators import reports as T
 from ..operators import splits as U
 from ..operators import stats as A
 from ..sources import readers as R
@@ -827,3 +828,118 @@ def windowed_counts(spark, d):
     from ..streaming.streams import windowed_counts as counts
 
     return counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+# reports
+
+
+@query(", x AS (SELECT *, sequence_id IN (SELECT sequence_id FROM s WHERE v_call = 'Brand#4') AS hit FROM s) SELECT repertoire_id, count(*) FILTER (hit) AS matches, round(100.0 * count(*) FILTER (hit) / count(*), 6)::DOUBLE AS share, round(100.0 * coalesce(sum(duplicate_count) FILTER (hit), 0) / sum(duplicate_count), 6)::DOUBLE AS clonal_share FROM x GROUP BY ALL")
+def match_summary(spark, d):
+    df = sequences(spark, d)
+    return rounded(T.match_summary(df, df.where("v_call = 'Brand#4'")), "share", "clonal_share")
+
+
+@query(", f AS (SELECT id, substr(seq, 1, 6) AS seq, j_call FROM p), x AS (SELECT a.j_call, hamming(a.seq, b.seq)::BIGINT AS distance FROM f a JOIN f b ON a.j_call = b.j_call AND a.id < b.id), c AS (SELECT j_call, distance, count(*) AS n FROM x GROUP BY ALL) SELECT j_call, distance, round(n / sum(n) OVER (PARTITION BY j_call), 6) AS share FROM c")
+def distance_histogram(spark, d):
+    df = parts(spark, d).withColumn("seq", F.substring("seq", 1, 6))
+    return rounded(T.distance_histogram(df, "j_call").withColumn("distance", F.col("distance").cast("long")), "share")
+
+
+@query(TESTED + ", n AS (SELECT positive, repertoire_id, th, count(*) FILTER (p_value < th) AS n FROM x JOIN v USING (item) JOIN m USING (repertoire_id), unnest([0.1, 0.3]::DOUBLE[]) AS u(th) GROUP BY ALL) SELECT 1::BIGINT AS k, th AS p, positive, round(avg(n), 6) AS relevant FROM n GROUP BY ALL")
+def significant_features(spark, d):
+    present, labels = _tested(spark, d)
+    out = T.significant_features({1: present}, labels, [0.1, 0.3])
+    return rounded(out.withColumn("k", F.col("k").cast("long")), "relevant")
+
+
+@query(TESTED + "SELECT item, count(*) AS examples FROM x WHERE item IN (SELECT item FROM v WHERE p_value < 0.2) GROUP BY ALL")
+def relevant_presence(spark, d):
+    present, labels = _tested(spark, d)
+    return T.relevant_presence(present, A.relevant(present, labels, ["item"], 0.2))
+
+
+@query(", x AS (SELECT l_suppkey % 5 AS setting, avg(l_discount) AS score FROM lineitem GROUP BY l_suppkey) SELECT setting, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd FROM x GROUP BY ALL")
+def setting_performance(spark, d):
+    df = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("score")).withColumn("setting", F.col("l_suppkey") % 5)
+    return rounded(T.setting_performance(df, ["setting"]), "mean", "sd")
+
+
+@query("SELECT nation AS setting, count(*) AS n FROM m GROUP BY ALL ORDER BY n DESC, setting LIMIT 1")
+def optimal_setting(spark, d):
+    return T.optimal_setting(metadata(spark, d).withColumnRenamed("nation", "setting"))
+
+
+@query(SCORES + "SELECT quality, count(*) FILTER (truth <> 1 AND guess = 1) AS fp, count(*) FILTER (truth = 1 AND guess <> 1) AS fn FROM g GROUP BY ALL")
+def confounder_errors(spark, d):
+    return T.errors_by(_scored(spark, d), "quality")
+
+
+FLAGGED = ", b AS (SELECT locus, seq LIKE '%RED%' AS red, seq LIKE '%BOL%' AS bol, length(seq) > 9 AS long FROM s) "
+
+
+def _flagged(spark, d):
+    return sequences(spark, d).select("locus", F.col("seq").contains("RED").alias("red"), F.col("seq").contains("BOL").alias("bol"), (F.length("seq") > 9).alias("long"))
+
+
+@query(FLAGGED + "SELECT a, b, count(*) AS n FROM (SELECT unnest(x) AS a, x FROM (SELECT list_filter([CASE WHEN red THEN 'red' END, CASE WHEN bol THEN 'bol' END, CASE WHEN long THEN 'long' END], lambda v: v IS NOT NULL) AS x FROM b)) AS t, unnest(x) AS u(b) WHERE a <= b GROUP BY ALL")
+def signal_frequencies(spark, d):
+    return G.signal_frequencies(_flagged(spark, d), ["red", "bol", "long"])
+
+
+@query(FLAGGED + "SELECT red::BIGINT + bol::BIGINT + long::BIGINT AS signals, count(*) AS n FROM b GROUP BY ALL")
+def signal_cardinalities(spark, d):
+    out = G.cardinalities(_flagged(spark, d), ["red", "bol", "long"])
+    return out.withColumn("signals", F.col("signals").cast("long"))
+
+
+@query(FLAGGED + "SELECT locus, unnest(['red', 'bol', 'long']) AS signal, unnest([round(avg(red::INT), 6), round(avg(bol::INT), 6), round(avg(long::INT), 6)]) AS share FROM b GROUP BY locus")
+def signal_shares(spark, d):
+    return rounded(T.origin_shares(_flagged(spark, d), "locus", ["red", "bol", "long"]), "share")
+
+
+@query(FLAGGED + "SELECT 'red' AS a, 'long' AS b, round(count(*) FILTER (red AND long) / count(*), 6) AS joint, round(count(*) FILTER (red AND long) / count(*) FILTER (long), 6) AS given FROM b")
+def signal_conditional(spark, d):
+    return rounded(T.conditional(_flagged(spark, d), ["red", "long"]).where("a = 'red' AND b = 'long'"), "joint", "given")
+
+
+@query("SELECT CASE WHEN log10(l_extendedprice) < 3 THEN 0 WHEN log10(l_extendedprice) >= 5 THEN 11 ELSE floor((log10(l_extendedprice) - 3) / 0.2) + 1 END::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY ALL")
+def pgen_histogram(spark, d):
+    return G.log_histogram(table(spark, d, "lineitem"), "l_extendedprice", 3.0, 5.0, 10)
+
+
+@query(", x AS (SELECT sequence_id, row_number() OVER (ORDER BY sequence_id) AS r FROM s WHERE seq LIKE '%RED%') SELECT sequence_id FROM x WHERE r BETWEEN 11 AND 30")
+def signal_quota(spark, d):
+    return G.quota(sequences(spark, d).withColumn("red", F.col("seq").contains("RED")), "red", 20, 10).select("sequence_id")
+
+
+@query(", a AS (SELECT DISTINCT seq FROM s WHERE locus = 'A'), b AS (SELECT DISTINCT seq FROM p WHERE size > 40) SELECT count(*) FILTER (b.seq IS NULL) AS only_found, count(*) FILTER (a.seq IS NOT NULL AND b.seq IS NOT NULL) AS both, count(*) FILTER (a.seq IS NULL) AS only_truth FROM a FULL JOIN b ON a.seq = b.seq")
+def recovered_features(spark, d):
+    return T.recovered(sequences(spark, d).where("locus = 'A'"), parts(spark, d).where("size > 40"), ["seq"])
+
+
+@query("SELECT label::BIGINT AS label, (vec_id % 4)::BIGINT AS cluster, count(*) AS n FROM embeddings GROUP BY ALL")
+def cluster_labels(spark, d):
+    df = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), (F.col("vec_id") % 4).alias("cluster"))
+    return A.crosstab(df, "label", "cluster")
+
+
+@query(PAIRS + "SELECT id, min(least(id, other)) AS cluster FROM (SELECT r1 AS id, r1 AS other FROM g WHERE r1 = r2) GROUP BY id")
+def single_linkage(spark, d):
+    """Repertoires with a Jaccard distance of 0 at most are one cluster: here each is its own."""
+    pairs = A.jaccard(_pairs(spark, d)).where("distance <= 0").select(F.col("r1").alias("id_1"), F.col("r2").alias("id_2"))
+    return L.linked_clusters(pairs, metadata(spark, d).select(F.col(KEY).alias("id")))
+
+
+@query()
+def pwm_sample(spark, d):
+    df = parts(spark, d)
+    lengths = df.groupBy(F.length("seq").alias("length")).agg(F.count("*").alias("n"))
+    lengths = lengths.select("length", (F.col("n") / F.sum("n").over(W.partitionBy())).alias("p"))
+    return L.pwm_sample(L.pwm_fit(df), lengths, 100)
+
+
+@query()
+def nested_cv(spark, d):
+    df = _vectors(spark, d).withColumns({"label": (F.col("label") > 4).cast("double"), "outer": (F.col("id") % 2).cast("int"), "inner": (F.col("id") % 3).cast("int")})
+    settings = {"weak": L.classifier("LogisticRegression", regParam=0.01, maxIter=5), "strong": L.classifier("LogisticRegression", regParam=1.0, maxIter=5)}
+    return L.nested(df, settings, "outer", "inner")

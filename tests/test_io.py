@@ -96,3 +96,19 @@ def test_stream(spark, tmp_path):
     assert {r["sequence_id"] for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {"1", "2"}
     with pytest.raises(Exception):
         R.read(spark, R.Options(path=str(tmp_path / "nowhere"))).sequences.count()
+
+
+def test_spec(spark, tmp_path):
+    from clonoscope.plans.spec import run
+
+    head = ["sequence_id", "junction_aa", "v_call", "duplicate_count"]
+    path = put(tmp_path / "q" / "a.tsv", table([head, ["1", "CASSF", "TRBV1", 5], ["2", "CAGF", "TRBV1", 1]]))
+    spec = {
+        "datasets": {"d": {"format": "AIRR", "path": path}},
+        "preprocessing": {"p": [{"by_count": {"least": 2}}]},
+        "encodings": {"e": {"kmer_frequencies": {"key": "sequence_id", "seq": "cdr3_aa", "k": 2}}},
+        "instructions": {"i": {"dataset": "d", "preprocessing": "p", "encoding": "e"}},
+    }
+    assert {(r["feature"], r["value"]) for r in run(spark, spec)["i"].collect()} == {("AS", 0.5), ("SS", 0.5)}
+    with pytest.raises(ValueError):
+        run(spark, spec | {"other": {}})
