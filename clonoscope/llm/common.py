@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[sc.applicationId]
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it holds, Python gets at most so many rows at once, and 8 MB."""
+    now = {f"spark.sql.execution.arrow.{k}": v for k, v in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", str(8 << 20)))}
+    before = {k: spark.conf.get(k) for k in now}
+    try:
+        for k, v in now.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later stages don't recompute what made it,
-    and a lost executor costs only its running tasks."""
+    and a lost executor costs only its running tasks. rows: of an Arrow batch, where Python makes large values."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with arrow_batches(spark, rows) if rows else nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,9 @@ rarest K - SHARED + 1 values (all of a small set is retained, and the bound is e
 
 Candidates are taken list by list: first every class against the list's smallest one, which joins most of a group of near copies with as
 many candidates as members. What is then in one component needs no further look. Short lists give their pairs between components;
-long ones are taken against other members in turn, and what still isn't one component after that is compared in blocks of bounded
-size that return only candidates. The union of two sketches estimates the similarity and filters; full sets decide.
+long ones are taken against another member, and what still isn't one component after that is compared in blocks of bounded size, each
+pair in one list only. A pair of blocks is a product of presence matrices and returns just links that join components.
+The sketches estimate the similarity and filter; full sets decide.
 
 Defined results: null text, and text without words, has no shingles and is linked with nothing; with 1 to 4 words, the whole
 sequence is the one shingle; repeated rows have one component and are all kept if the doc_id is; a row with a null doc_id is
@@ -31,10 +32,10 @@ from .common import components, cut
 WORDS, T100 = 5, 75
 #: The size of a sketch, and how many retained values two sets of similarity 0.75 share at the very least (mean 36, deviation 3).
 K, SHARED = 48, 19
-#: Members of a list that is short, rounds over long lists, and members of a block.
-SHORT, ROUNDS, BLOCK = 32, 3, 256
+#: Members of a list that is short, rounds over long ones, members of a block, and cells of a presence matrix.
+SHORT, ROUNDS, BLOCK, CELLS = 32, 1, 256, 1 << 22
 #: Words of which a worker remembers the hash.
-MEMO = 500_000
+MEMO = 150_000
 
 
 class WordHashes(dict):
@@ -82,12 +83,14 @@ def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             rows.append((len(x), s1, s2, x[:K]))
         out = pd.DataFrame(rows, columns=["n", "s1", "s2", "sketch"])
         yield out.astype({"n": "int64", "s1": "Int64", "s2": "Int64"})
+    hashes.clear()  # the worker goes on to other stages
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _full(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield pd.Series([shingles(x) for x in batch], dtype=object)
+    hashes.clear()
 
 
 def least_shared(n: Column) -> Column:
@@ -127,33 +130,74 @@ def paired(members: DataFrame) -> DataFrame:
     return found.select(F.col("rep").alias("a"), "b")
 
 
-def blocked(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates (a, b): pairs between components within long lists (value, rep, n, comp, cnt), block against block."""
-    rows = members.join(classes.select("rep", "sketch"), "rep")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("cnt") / BLOCK)))
-    row = F.struct("rep", "n", "comp", "sketch")
-    blocks = cut(rows.groupBy("value", "block").agg(F.collect_list(row).alias("x")))
-    pairs = blocks.join(blocks.select("value", F.col("block").alias("other"), F.col("x").alias("y")), "value").where("block <= other").select("x", "y")
+def shared_counts(sets: list[np.ndarray], m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and m + j: by a product of presence matrices over what several sets have."""
+    every, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.cumsum(count > 1) - 1
+    width = int(common[-1]) + 1 if len(common) else 0
+    if width * len(sets) > CELLS:
+        return np.array([len(np.intersect1d(sets[p], sets[m + q], assume_unique=True)) for p, q in zip(i, j, strict=True)])
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    keep = count[place] > 1
+    has = np.zeros((len(sets), width), np.float32)
+    has[row[keep], common[place[keep]]] = 1
+    return (has[:m] @ has[m:].T)[i, j]
+
+
+def block_links(value: int, x: list, y: list, same: bool) -> list[tuple[int, int]]:
+    """Links between two blocks of the list of a value: pairs that no list of a smaller value has, too; of the links found
+    those that join components which others of them haven't joined."""
+    m = len(x)
+    rows = [*x, *y]
+    rep, n, comp = (np.array([r[k] for r in rows]) for k in ("rep", "n", "comp"))
+    i, j = np.meshgrid(np.arange(m), np.arange(len(y)), indexing="ij")
+    i, j = i.ravel(), j.ravel()
+    least, most = np.minimum(n[i], n[m + j]), np.maximum(n[i], n[m + j])
+    ok = (least * 100 >= most * T100) & (comp[i] != comp[m + j]) & ((rep[i] < rep[m + j]) | (not same))
+    i, j, least = i[ok], j[ok], least[ok]
+    if len(i):
+        need = np.where(least * 4 <= 3 * K, np.ceil(least * T100 / 100), SHARED)
+        ok = shared_counts([np.asarray(r["sketch"]) for r in rows], m, i, j) >= need
+        i, j = i[ok], j[ok]
+    if len(i):
+        earlier = [np.array([v for v in r["values"] if v < value], np.int64) for r in rows]
+        ok = shared_counts(earlier, m, i, j) == 0 if any(map(len, earlier)) else np.ones(len(i), bool)
+        i, j = i[ok], j[ok]
+    if len(i):
+        both = shared_counts([np.asarray(r["full"]) for r in rows], m, i, j)
+        ok = both * 100 >= (n[i] + n[m + j] - both) * T100
+        i, j = i[ok], j[ok]
+    parent = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for p, q in zip(i.tolist(), (m + j).tolist(), strict=True):
+        a, b = find(int(comp[p])), find(int(comp[q]))
+        if a != b:
+            parent[a] = b
+            out.append((int(rep[p]), int(rep[q])))
+    return out
+
+
+def blocked(members: DataFrame, classes: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (u, v) between components within long lists (value, rep, n, comp, cnt), block against block."""
+    values = members.groupBy("rep").agg(F.collect_set("value").alias("values"))  # at most K of them
+    about = cut(values.join(classes.select("rep", "sketch"), "rep").join(full, "rep"))
+    rows = members.join(about, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("cnt") / BLOCK)))
+    blocks = cut(rows.groupBy("value", "block").agg(F.collect_list(F.struct("rep", "n", "comp", "sketch", "values", "full")).alias("x")))
+    pairs = blocks.join(blocks.select("value", F.col("block").alias("other"), F.col("x").alias("y")), "value").where("block <= other")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                a, b = ({k: np.array([r[k] for r in z]) for k in ("rep", "n", "comp")} for z in (x, y))
-                sketches = [np.asarray(r["sketch"]) for r in (*x, *y)]
-                sizes = [len(s) for s in sketches]
-                _, place = np.unique(np.concatenate(sketches), return_inverse=True)
-                has = np.zeros((len(sizes), place.max() + 1), np.float32)
-                has[np.repeat(np.arange(len(sizes)), sizes), place] = 1
-                shared = has[: len(x)] @ has[len(x) :].T
-                n = np.minimum(a["n"][:, None], b["n"][None])
-                m = np.maximum(a["n"][:, None], b["n"][None])
-                need = np.where(n * 4 <= 3 * K, np.ceil(n * T100 / 100), SHARED)
-                ok = (shared >= need) & (n * 100 >= m * T100) & (a["comp"][:, None] != b["comp"][None])
-                i, j = np.nonzero(ok)
-                p, q = a["rep"][i], b["rep"][j]
-                yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
-
-    return pairs.repartition(F.rand(0)).mapInPandas(compare, "a long, b long").where("a <> b")
+            for value, x, y, same in zip(batch["value"], batch["x"], batch["y"], batch["same"], strict=True):
+                yield pd.DataFrame(block_links(value, x, y, same), columns=["u", "v"]).astype("int64")
+
+    found = pairs.select("value", "x", "y", (F.col("block") == F.col("other")).alias("same")).mapInPandas(compare, "u long, v long")
+    return cut(found, rows=2)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, full: DataFrame) -> DataFrame:
@@ -172,32 +216,34 @@ def verified(pairs: DataFrame, classes: DataFrame, full: DataFrame) -> DataFrame
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = cut(docs.select("doc_id", _sketch("text").alias("x")).select("doc_id", "x.*"))
+    made = cut(docs.select("doc_id", _sketch("text").alias("x")).select("doc_id", "x.*"), rows=1000)
     known = made.where("doc_id IS NOT NULL AND n > 0")
     classes = cut(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("docs")))
     listed = cut(lists(classes))
     full = docs.join(listed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    full = cut(full.select(F.col("doc_id").alias("rep"), _full("text").alias("full")))
+    full = cut(full.select(F.col("doc_id").alias("rep"), _full("text").alias("full")), rows=250)
     links = cut(verified(starred(listed, F.col("rep")), classes, full))
     for turn in range(ROUNDS + 1):
         joined = components(links)
         comp = F.coalesce("v", "rep")
         members = listed.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("value", "rep", "n", comp.alias("comp"))
         mixed = members.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cnt")).where("lo < hi").select("value", "cnt")
-        members = cut(members.join(mixed, "value"))
+        members = cut(members.join(cut(mixed), "value"))
         long = members.where(F.col("cnt") > SHORT)
-        more = []
+        some = not long.isEmpty()
         if turn == 0:
-            more.append(paired(members.where(F.col("cnt") <= SHORT)))
-        if some := not long.isEmpty():
-            more.append(starred(long, F.xxhash64("comp", "rep", F.lit(turn))) if turn < ROUNDS else blocked(long, classes))
-        if not more:
-            break
-        pairs = more[0].union(more[1]) if len(more) > 1 else more[0]
-        links = cut(links.union(verified(pairs, classes, full)))
-        if not some or turn == ROUNDS:
-            joined = components(links)
+            pairs = paired(members.where(F.col("cnt") <= SHORT))
+            if some and turn < ROUNDS:
+                pairs = pairs.union(starred(long, F.xxhash64("comp", "rep", F.lit(turn))))
+            links = links.union(verified(pairs, classes, full))
+        elif some and turn < ROUNDS:
+            links = links.union(verified(starred(long, F.xxhash64("comp", "rep", F.lit(turn))), classes, full))
+        if some and turn == ROUNDS:
+            links = links.union(blocked(long, classes, full))
+        links = cut(links)
+        if not some:
             break
+    joined = components(links)
     whole = classes.join(joined.withColumnRenamed("u", "rep"), "rep", "left").where("docs > 1 OR v IS NOT NULL")
     whole = cut(whole.select("s1", "s2", F.coalesce("v", "rep").alias("least")))
     made = made.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("s1")).alias("s1"), F.when(F.col("doc_id").isNotNull(), F.col("s2")).alias("s2"))
