@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the memos: characters of a piece, pieces, and pairs of tokens.
-MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 64, 300_000, 1_000_000
+MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 64, 200_000, 300_000
 
 
 class Codec(dict):
