@@ -1,10 +1,12 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are compared without blanks at their ends. A line's signature is the BOTTOM smallest hashes of its character shingles; to
-keep it cheap these are the shingles of SHINGLE code points that start a word (every shingle of a line with few of them).
-Bands are all pairs of the signature's values: two lines whose shingles are similar share two of the values nearly always.
-Each band's list is joined with one of its lines, then what isn't one component yet is compared within short lists, and after
-some more such rounds within long ones; candidates are verified by the exact Jaccard similarity of all their 5-character shingles.
+Lines are compared without blanks at their ends. A line's signature is the SKETCH smallest hashes of its character shingles; to
+keep it cheap these are the shingles of SHINGLE code points that start a word with one of the letters SAMPLED (in lines with few such
+words those that start any word, and in lines with few words all shingles of EXACT code points). The BOTTOM smallest values are bands of one
+value: two lines whose shingles are similar share one of them nearly always. Each band's list is joined with one of its lines, then
+what isn't one component yet is compared within short lists. Lines of long lists are dealt out anew, by bands of two values: first
+each against one of its list, then short lists, then another of the list, then what is left. Candidates whose signatures agree are
+verified by the exact Jaccard similarity of all their 5-character shingles.
 A distributed union-find gives the components, and the first line of each, by doc_id and line number, stays.
 
 Equal lines meet as hashes of 128 bits and are one line from the start; texts are only moved for lines with a candidate.
@@ -22,11 +24,17 @@ from pyspark.sql import functions as F
 from .common import components, cut
 from .near_dedup import paired, starred
 
-#: Code points of a shingle in a signature and in the verification; values of a signature; least similarity in per cent.
-SHINGLE, EXACT, BOTTOM, T100 = 8, 5, 5, 75
-#: Lines of a short list, and rounds over long ones.
-SHORT, ROUNDS = 24, 2
+#: Code points of a shingle in a signature and in the verification; values that are bands; least similarity in per cent.
+SHINGLE, EXACT, BOTTOM, T100 = 20, 5, 5, 75
+#: Values of a signature, and how many of the union's smallest both sides must have for a candidate to be verified: lines of the least
+#: similarity have four or five of them.
+SKETCH, AGREE = 8, 3
+#: First letters of the words that are sampled; those beyond ASCII always are.
+SAMPLED = r"a-eo-tA-EO-T0-4\x{80}-\x{10FFFF}"
+#: Lines of a short list.
+SHORT = 24
 ENDS = " \t\n\x0b\x0c\r"
+FEW = rf"(?s)(?<![^\x20\x09-\x0D])(?=([{SAMPLED}].{{{SHINGLE - 1}}}))"
 STARTS = rf"(?s)(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{{{SHINGLE - 1}}}))"
 EVERY = r"(?s)(?=(.{%d}))"
 
@@ -35,18 +43,21 @@ def of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
-def bands(line: Column) -> Column:
-    """The bands of a line, as hashes."""
-    starts = of(line, STARTS)
-    shingles = F.when(F.size(starts) >= BOTTOM, starts).otherwise(of(line, EVERY % EXACT))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))), 1, BOTTOM)
+def with_signature(df: DataFrame) -> DataFrame:
+    """df (line, ...) with `sketch`: the SKETCH smallest hashes of its shingles. Columns of their own keep the patterns from
+    being matched for each use."""
+    df = df.withColumn("few", of(F.col("line"), FEW))
+    df = df.withColumn("starts", F.when(F.size("few") >= SKETCH, F.col("few")).otherwise(of(F.col("line"), STARTS)))
+    df = df.withColumn("shingles", F.when(F.size("starts") >= SKETCH, F.col("starts")).otherwise(of(F.col("line"), EVERY % EXACT)))
+    sketch = F.slice(F.sort_array(F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(s)))), 1, SKETCH)
+    return df.withColumn("sketch", sketch).drop("few", "starts", "shingles")
 
 
 def pairs_of(values: Column) -> Column:
-    """A hash for each pair of a short array's values; of a single value its own."""
+    """A hash for each pair of the first BOTTOM values of an array."""
     at = [F.get(values, i) for i in range(BOTTOM)]
     both = [F.when(at[j].isNotNull(), F.xxhash64(at[i], at[j])) for i in range(BOTTOM) for j in range(i + 1, BOTTOM)]
-    return F.when(F.size(values) == 1, values).otherwise(F.array_compact(F.array(*both)))
+    return F.array_compact(F.array(*both))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -56,36 +67,46 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines whose exact similarity is high enough, as links (u, v)."""
-    side = lambda name: texts.select(F.col("rep").alias(name), F.col("line").alias(f"x{name}"))
-    near = pairs.distinct().join(side("b"), "b").join(side("a"), "a")
-    near = near.withColumns({"xa": F.array_distinct(of(F.col("xa"), EVERY % EXACT)), "xb": F.array_distinct(of(F.col("xb"), EVERY % EXACT))})
-    i = F.size(F.array_intersect("xa", "xb"))
-    return near.where(i * 100 >= (F.size("xa") + F.size("xb") - i) * T100).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    """The pairs (a, b) of lines (rep, sketch, line) whose signatures agree and whose exact similarity is high enough, as links (u, v)."""
+    side = lambda name, what: texts.select(F.col("rep").alias(name), F.col(what).alias(f"x{name}"))
+    near = pairs.distinct().join(side("b", "sketch"), "b").join(side("a", "sketch"), "a")
+    near = near.withColumns({"u": F.slice(F.array_sort(F.array_union("xa", "xb")), 1, SKETCH), "i": F.array_intersect("xa", "xb")})
+    both = F.size(F.filter("i", lambda v: v <= F.element_at("u", -1)))
+    near = near.where(both >= F.when(F.size("u") == SKETCH, F.lit(AGREE)).otherwise(F.ceil(F.size("u") * AGREE / SKETCH))).select("a", "b")
+    near = near.join(side("b", "line"), "b").join(side("a", "line"), "a")
+    # Arrays of one element name the sets and the sizes, so that each is computed once however often it is used.
+    every = lambda c: F.array_distinct(of(F.col(c), EVERY % EXACT))
+    sets = F.array(F.struct(every("xa").alias("p"), every("xb").alias("q")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["p"], s["q"])).alias("i"), (F.size(s["p"]) + F.size(s["q"])).alias("n")))
+    similar = F.exists(sizes, lambda s: s["i"] * 100 >= (s["n"] - s["i"]) * T100)
+    return near.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def apart(listed: DataFrame, joined: DataFrame) -> DataFrame:
+    """(value, rep, n, comp, cnt) of the lists that hold several components."""
+    members = listed.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("value", "rep", "n", F.coalesce("v", "rep").alias("comp"))
+    mixed = members.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cnt")).where("lo < hi").select("value", "cnt")
+    return cut(members.join(cut(mixed), "value"))
 
 
 def linked(listed: DataFrame, texts: DataFrame) -> DataFrame:
     """Components (u, v) of the lines in lists (value, rep, n)."""
     links = cut(verified(starred(listed, F.col("rep")), texts))
-    for turn in range(ROUNDS + 1):
-        joined = components(links)
-        members = listed.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("value", "rep", "n", F.coalesce("v", "rep").alias("comp"))
-        mixed = members.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cnt")).where("lo < hi").select("value", "cnt")
-        members = cut(members.join(mixed, "value"))
-        long = members.where(F.col("cnt") > SHORT)
-        some = not long.isEmpty()
-        if turn == 0:
-            pairs = paired(members.where(F.col("cnt") <= SHORT))
-            if some:
-                pairs = pairs.union(starred(long, F.xxhash64("comp", "rep", F.lit(turn))))
-        elif not some:
-            break
-        else:
-            pairs = starred(long, F.xxhash64("comp", "rep", F.lit(turn))) if turn < ROUNDS else paired(long)
-        links = cut(links.union(verified(pairs, texts)))
-        if not some or turn == ROUNDS:
-            return components(links)
-    return joined
+    members = apart(listed, components(links))
+    pairs = paired(members.where(F.col("cnt") <= SHORT))
+    long = cut(members.where(F.col("cnt") > SHORT).select("rep", "n").distinct())
+    if long.isEmpty():
+        return components(links.union(verified(pairs, texts)))
+    again = cut(long.join(texts, "rep").select("rep", "n", F.explode(pairs_of(F.col("sketch"))).alias("value")))
+    links = cut(links.union(verified(pairs.union(starred(again, F.col("rep"))), texts)))
+    members = apart(again, components(links))
+    long = members.where(F.col("cnt") > SHORT)
+    pairs = paired(members.where(F.col("cnt") <= SHORT)).union(starred(long, F.xxhash64("comp", "rep")))
+    links = cut(links.union(verified(pairs, texts)))
+    if not long.isEmpty():
+        rest = apart(again, components(links)).where(F.col("cnt") > SHORT)
+        links = cut(links.union(verified(paired(rest), texts)))
+    return components(links)
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -93,18 +114,20 @@ def removed(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = lines_of(docs)
     h = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
-    places = cut(lines.select("doc_id", "t", "no", *h, bands(F.col("line")).alias("bands"), F.length("line").alias("n")))
+    lines = with_signature(lines.select("doc_id", "t", "no", *h, F.length("line").alias("n"), "line"))
+    places = cut(lines.drop("line"))
     first = F.min(F.struct("doc_id", "no")).alias("first")
-    distinct = places.groupBy("h1", "h2").agg(first, F.count("*").alias("cnt"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    distinct = places.groupBy("h1", "h2").agg(first, F.count("*").alias("cnt"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     distinct = cut(distinct.withColumn("rep", F.monotonically_increasing_id()))
-    posted = distinct.select("rep", F.greatest(F.col("n") - EXACT + 1, F.lit(0)).alias("n"), F.explode(pairs_of(F.col("bands"))).alias("value"))
+    posted = distinct.select("rep", F.greatest(F.col("n") - EXACT + 1, F.lit(0)).alias("n"), F.explode(F.slice("sketch", 1, BOTTOM)).alias("value"))
     several = cut(posted.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value"))
     listed = cut(posted.join(several, "value").select("value", "rep", "n"))
-    wanted = distinct.join(listed.select("rep").distinct(), "rep", "left_semi").select("rep", "first.doc_id", "first.no")
-    wanted = cut(wanted.groupBy("doc_id").agg(F.collect_set(F.struct("no", "rep")).alias("wanted")))
+    wanted = cut(distinct.join(listed.select("rep").distinct(), "rep", "left_semi").select("rep", "sketch", "first.doc_id", "first.no"))
     # The texts of those lines: documents meet the numbers of their wanted lines, and only these lines go on.
-    found = docs.join(wanted, "doc_id").select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("all"))
-    texts = cut(found.select("w.rep", F.btrim(F.get("all", F.col("w.no")), F.lit(ENDS)).alias("line")).where("line IS NOT NULL").dropDuplicates(["rep"]))
+    numbers = cut(wanted.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("no", "rep"))).alias("reps")))
+    line = lambda x, no: F.struct(F.try_element_at("reps", no).alias("rep"), F.btrim(x, F.lit(ENDS)).alias("line"))
+    found = docs.join(numbers, "doc_id").select(F.explode(F.filter(F.transform(F.split("text", "\n"), line), lambda x: x["rep"].isNotNull())).alias("x"))
+    texts = cut(found.select("x.*").dropDuplicates(["rep"]).join(wanted.select("rep", "sketch"), "rep"))
     joined = linked(listed, texts)
     known = distinct.select("rep", "h1", "h2", "first", "cnt").join(joined.withColumnRenamed("u", "rep"), "rep", "left")
     known = known.join(joined.select(F.col("v").alias("rep"), F.lit(True).alias("root")).distinct(), "rep", "left")
