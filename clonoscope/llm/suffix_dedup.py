@@ -33,11 +33,26 @@ from .common import cut
 from .suffix_order import suffix_arrays
 
 #: Bytes of a repeated string, of a minimizer, and of the text in a batch.
-LENGTH, GRAM, BATCH = 50, 24, 3 << 20
+LENGTH, GRAM, BATCH = 50, 24, 2 << 20
 #: Bytes of text for which there is one partition, the least number of them, and batches from which a minimizer is dealt out by windows.
-PER_PART, LEAST_PARTS, HOT = 12 << 20, 64, 256
+PER_PART, LEAST_PARTS, HOT = 48 << 20, 64, 256
 LAST = np.iinfo(np.int64).max
 SPAN = LENGTH - GRAM + 1  # k-grams of a window
+HALF = (LENGTH - GRAM) // 2  # a window has so many bytes at least before or after its minimizer
+
+
+class Dealt:
+    """Numbers by partition."""
+
+    def __init__(self, part: np.ndarray, parts: int):
+        self.order = np.argsort(part, kind="stable")
+        self.bounds = np.searchsorted(part[self.order], np.arange(parts + 1, dtype=part.dtype))
+
+    def __getitem__(self, p: int) -> np.ndarray:
+        return self.order[self.bounds[p] : self.bounds[p + 1]]
+
+    def there(self) -> list[int]:
+        return np.flatnonzero(np.diff(self.bounds)).tolist()
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -181,27 +196,24 @@ class Batch:
         first, last, place, text = self.first[use], self.last[use], self.place[use], self.text[use]
         part = (self.hash[use] >> np.uint64(7)) % np.uint64(parts)
         is_hot = hot[number[use]] if len(use) else np.zeros(0, bool)
+        if is_hot.any():  # one piece per window
+            count = np.where(is_hot, last - first + 1, 1)
+            own = np.repeat(np.arange(len(use)), count)
+            step = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            first, last = first[own] + step, np.where(is_hot[own], first[own] + step, last[own])
+            place, text, part, is_hot = place[own], text[own], part[own], is_hot[own]
         raw = self.raw
         known: dict[bytes, int] = {}
-        grams, where, least = [], [], []
-        text_out, place_out, piece_out = [], [], []
-        ids = self.ids.tolist()
-        for a, z, g, t, p, h in zip(first.tolist(), last.tolist(), place.tolist(), text.tolist(), part.tolist(), is_hot.tolist(), strict=True):
-            spans = [(a, z)] if not h else [(w, w) for w in range(a, z + 1)]
-            for w, v in spans:
-                piece = raw[w : v + LENGTH]
-                k = known.setdefault(piece, len(grams))
-                if k == len(grams):
-                    grams.append(g - w)
-                    where.append(p if not h else xxhash.xxh64_intdigest(piece) % parts)
-                    least.append(ids[t])
-                elif ids[t] < least[k]:
-                    least[k] = ids[t]
-                text_out.append(t)
-                place_out.append(w)
-                piece_out.append(k)
-        as_array = lambda x, kind=np.int64: np.array(x, kind)
-        return list(known), as_array(grams), as_array(where), as_array(least), as_array(text_out), as_array(place_out), as_array(piece_out)
+        piece = np.array([known.setdefault(raw[a:z], len(known)) for a, z in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)], np.int64)
+        n = len(known)
+        grams, where, least = np.empty(n, np.int64), np.empty(n, np.int64), np.full(n, LAST)
+        grams[piece], where[piece] = place - first, part
+        np.minimum.at(least, piece, self.ids[text])
+        if is_hot.any():
+            names = list(known)
+            for k in np.unique(piece[is_hot]).tolist():
+                where[k] = xxhash.xxh64_intdigest(names[k]) % parts
+        return list(known), grams, where, least, text, first, piece
 
 
 def asked(frames: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
@@ -211,12 +223,12 @@ def asked(frames: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
             own = Batch(data)
             own.find()
             h, several, text, _ = own.minimizers()
-            part = (h >> np.uint64(7)) % np.uint64(parts)
+            dealt = Dealt((h >> np.uint64(7)) % np.uint64(parts), parts)
             told = np.flatnonzero(~own.again)
-            of_text = own.digests[told, 0] % np.uint64(parts)
+            texts_dealt = Dealt(own.digests[told, 0] % np.uint64(parts), parts)
             rows = []
-            for p in range(parts):
-                i, j = np.flatnonzero(part == p), told[of_text == p]
+            for p in sorted({*dealt.there(), *texts_dealt.there()}):
+                i, j = dealt[p], told[texts_dealt[p]]
                 if len(i) or len(j):
                     texts, own_text = np.unique(text[i], return_inverse=True)
                     key = (h[i] >> np.uint64(32)).astype(np.uint32)
@@ -262,13 +274,13 @@ def understood(own: Batch, replies: list, parts: int) -> tuple[np.ndarray, ...]:
     """shared and hot per minimizer, the number of each run's, and the smallest doc_id with each text."""
     own.find()
     h, _, _, number = own.minimizers()
-    part = (h >> np.uint64(7)) % np.uint64(parts)
+    dealt = Dealt((h >> np.uint64(7)) % np.uint64(parts), parts)
     shared, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
     told = np.flatnonzero(~own.again)
-    of_text = own.digests[told, 0] % np.uint64(parts)
+    texts_dealt = Dealt(own.digests[told, 0] % np.uint64(parts), parts)
     best = {}
     for r in replies:
-        i, j = np.flatnonzero(part == r["part"]), told[of_text == r["part"]]
+        i, j = dealt[r["part"]], told[texts_dealt[r["part"]]]
         a, b, least = unpacked(r["reply"], "u1", "u1", "i8")
         shared[i], hot[i] = np.unpackbits(a)[: len(i)], np.unpackbits(b)[: len(i)]
         best.update((own.digests[t].tobytes(), x) for t, x in zip(j.tolist(), least.tolist(), strict=True))
@@ -276,131 +288,156 @@ def understood(own: Batch, replies: list, parts: int) -> tuple[np.ndarray, ...]:
 
 
 def sent(frames: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
-    """For each partition the distinct shared pieces of a batch."""
+    """For each partition the distinct shared pieces of a batch; as partition -1 where in the batch they are, for `covered`."""
     for frame in frames:
         for batch, data, replies in zip(frame["batch"], frame["data"], frame["replies"], strict=True):
             own = Batch(data)
             shared, hot, number, best = understood(own, replies, parts)
-            pieces, grams, where, least, *_ = own.pieces(shared, hot, number, best < own.ids, parts)
-            rows = []
-            for p in np.unique(where).tolist():
-                k = np.flatnonzero(where == p)
+            dead = best < own.ids
+            pieces, grams, where, least, text, place, piece = own.pieces(shared, hot, number, dead, parts)
+            rows = [(-1, batch, packed(dead, where, text.astype(np.uint32), place, piece.astype(np.uint32)))]
+            dealt = Dealt(where, parts)
+            for p in dealt.there():
+                k = dealt[p]
                 some = [pieces[x] for x in k.tolist()]
                 sizes = np.array([len(x) for x in some], np.uint8)
                 rows.append((p, batch, packed(sizes, grams[k].astype(np.uint8), least[k], np.frombuffer(b"".join(some), np.uint8))))
             yield pd.DataFrame(rows, columns=["part", "batch", "data"]).astype({"part": "int32", "batch": "int64"})
 
 
-def window_minima(pieces: list[bytes], grams: list[int], least: list[int], groups: list[list[int]]) -> dict[int, np.ndarray]:
-    """For each piece of the groups (pieces with one minimizer) the smallest doc_id that has each of its windows."""
-    symbols, starts, owners, places = [], [], [], []
-    at = 0
-    for group in groups:
-        starts.append(at)
-        for k in group:
-            piece = np.frombuffer(pieces[k], np.uint8).astype(np.int64) + 2
-            g = grams[k]
-            own = np.concatenate([piece[:g], [300], piece[g + GRAM :], [1]])  # the common k-gram as one symbol
-            symbols.append(own)
-            owners.append(np.full(len(own), k))
-            places.append(np.arange(len(own)))
-            at += len(own)
-        symbols.append(np.zeros(1, np.int64))
-        owners.append(np.full(1, -1))
-        places.append(np.zeros(1, np.int64))
-        at += 1
-    symbols, owner, place, starts = np.concatenate(symbols), np.concatenate(owners), np.concatenate(places), np.array(starts)
+def window_minima(pieces: list[bytes], gram: np.ndarray, least: np.ndarray, windows: np.ndarray, groups: list[list[int]]) -> tuple[np.ndarray, ...]:
+    """For the pieces of groups (pieces with one minimizer) runs of windows: piece, length, and the smallest doc_id that has them."""
+    every = np.concatenate([np.array(g) for g in groups])
+    raw = np.frombuffer(b"".join([pieces[k] for k in every.tolist()]), np.uint8)
+    sizes = windows[every] + LENGTH - 1
+    starts_of = np.cumsum(sizes) - sizes
+    # Bytes as symbols from 2 on, the common k-gram as one symbol, a separator 1 after each piece, an end 0 after each group.
+    keep = np.ones(len(raw), bool)
+    core = starts_of + gram[every]
+    inside = np.zeros(len(raw) + 1, np.int8)
+    np.add.at(inside, core + 1, 1)
+    np.add.at(inside, core + GRAM, -1)
+    keep &= np.cumsum(inside[:-1]) == 0
+    symbol = raw.astype(np.int64) + 2
+    symbol[core] = 300
+    last_of_group = np.zeros(len(every), bool)
+    last_of_group[np.cumsum([len(g) for g in groups]) - 1] = True
+    length = sizes - GRAM + 1
+    room = length + 1 + last_of_group
+    at = np.cumsum(room) - room
+    symbols = np.ones(int(room.sum()), np.int64)
+    symbols[(at + room - 1)[last_of_group]] = 0
+    places = np.repeat(at - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    symbols[places] = symbol[keep]
+    owner, place = np.full(len(symbols), -1), np.zeros(len(symbols), np.int64)
+    owner[places] = np.repeat(np.arange(len(every)), length)
+    place[places] = places - np.repeat(at, length)
+    starts = at[np.append(True, last_of_group[:-1])]
     order = suffix_arrays(symbols, starts)
-    windows = np.zeros(max(max(g) for g in groups) + 1, np.int64)
-    for group in groups:
-        windows[group] = [len(pieces[k]) - LENGTH + 1 for k in group]
     # Suffixes at which a window starts, in order; neighbours with the same SPAN symbols are the same window.
-    order = order[(owner[order] >= 0) & (place[order] < windows[owner[order]])]
-    view = np.lib.stride_tricks.sliding_window_view(np.append(symbols, np.zeros(SPAN, np.int64)), SPAN)
+    order = order[(owner[order] >= 0) & (place[order] < windows[every][owner[order]])]
+    view = np.lib.stride_tricks.sliding_window_view(np.append(symbols, np.zeros(SPAN, np.int64)).astype(np.int16), SPAN)
     head = np.ones(len(order), bool)
     string = np.searchsorted(starts, order, side="right")
     step = 1 << 16
     for lo in range(1, len(order), step):
-        x, y = order[lo : lo + step], order[lo - 1 : lo - 1 + step][: len(order[lo : lo + step])]
+        x, y = order[lo : lo + step], order[lo - 1 : lo - 1 + len(order[lo : lo + step])]
         head[lo : lo + step] = (view[x] != view[y]).any(axis=1) | (string[lo : lo + step] != string[lo - 1 : lo - 1 + len(x)])
     heads = np.flatnonzero(head)
-    ids = np.array(least, np.int64)[owner[order]]
+    ids = least[every][owner[order]]
     best = np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(order))))
-    out = {k: np.empty(windows[k], np.int64) for group in groups for k in group}
     by = np.lexsort((place[order], owner[order]))
     best, who = best[by], owner[order][by]
-    cuts = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-    for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(who)], strict=True):
-        out[int(who[a])] = best[a:z]
-    return out
+    heads = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (best[1:] != best[:-1])))
+    return every[who[heads]], np.diff(np.append(heads, len(who))), best[heads]
+
+
+def kin(pieces: list[bytes], grams: list[int], group: list[int]) -> list[int]:
+    """Of pieces with one minimizer those that may share a window: a window has HALF bytes at least on one side of the minimizer, so
+    another one must have the same HALF bytes there."""
+    sides = []
+    count: dict[tuple[bool, bytes], int] = {}
+    for k in group:
+        piece, g = pieces[k], grams[k]
+        own = []
+        if g >= HALF:
+            own.append((True, piece[g - HALF : g]))
+        if len(piece) >= g + GRAM + HALF:
+            own.append((False, piece[g + GRAM : g + GRAM + HALF]))
+        for x in own:
+            count[x] = count.get(x, 0) + 1
+        sides.append(own)
+    return [k for k, own in zip(group, sides, strict=True) if any(count[x] > 1 for x in own)]
 
 
 def sorted_out(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one partition: for each batch's pieces runs of windows and the smallest doc_id that has them."""
     known: dict[bytes, int] = {}
-    grams, least, rows = [], [], []
+    rows, all_grams, all_ids = [], [], []
     for data in frame["data"]:
         sizes, places, ids, raw = unpacked(data, "u1", "u1", "i8", "u1")
         raw, ends = raw.tobytes(), np.cumsum(sizes, dtype=np.int64)
-        own = []
-        for a, z, g, i in zip((ends - sizes).tolist(), ends.tolist(), places.tolist(), ids.tolist(), strict=True):
-            k = known.setdefault(raw[a:z], len(least))
-            if k == len(least):
-                grams.append(g)
-                least.append(i)
-            elif i < least[k]:
-                least[k] = i
-            own.append(k)
-        rows.append(own)
-    pieces = list(known)
+        rows.append(np.array([known.setdefault(raw[a:z], len(known)) for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64))
+        all_grams.append(places)
+        all_ids.append(ids)
+    pieces, own = list(known), np.concatenate(rows)
+    gram, least = np.empty(len(pieces), np.int64), np.full(len(pieces), LAST)
+    gram[own] = np.concatenate(all_grams)
+    np.minimum.at(least, own, np.concatenate(all_ids))
+    grams = gram.tolist()
     by_gram: dict[bytes, list[int]] = {}
-    for k, piece in enumerate(pieces):
-        by_gram.setdefault(piece[grams[k] : grams[k] + GRAM], []).append(k)
-    minima: dict[int, np.ndarray] = {}
-    some, size = [], 0
-    for group in by_gram.values():
-        if len(group) > 1:
+    for k, (piece, g) in enumerate(zip(pieces, grams, strict=True)):
+        by_gram.setdefault(piece[g : g + GRAM], []).append(k)
+    # Runs of windows with one answer: mostly one per piece.
+    size = np.array([len(x) for x in pieces], np.int64) - LENGTH + 1
+    split: list[tuple[np.ndarray, ...]] = []
+    some, much = [], 0
+    groups = [g for g in by_gram.values() if len(g) > 1]
+    for at, group in enumerate(groups):
+        group = kin(pieces, grams, group)
+        if group:
             some.append(group)
-            size += sum(len(pieces[k]) for k in group)
-            if size > 4 << 20:
-                minima |= window_minima(pieces, grams, least, some)
-                some, size = [], 0
+            much += sum(len(pieces[k]) for k in group)
+        if some and (much > 1 << 20 or at == len(groups) - 1):
+            split.append(window_minima(pieces, gram, least, size, some))
+            some, much = [], 0
     if some:
-        minima |= window_minima(pieces, grams, least, some)
-    runs_of: list[tuple[list[int], list[int]]] = []
-    for k, piece in enumerate(pieces):
-        m = minima.get(k)
-        if m is None:
-            runs_of.append(([len(piece) - LENGTH + 1], [least[k]]))
-        else:
-            heads = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-            runs_of.append((np.diff(np.append(heads, len(m))).tolist(), m[heads].tolist()))
+        split.append(window_minima(pieces, gram, least, size, some))
+    who = np.concatenate([x[0] for x in split]) if split else np.empty(0, np.int64)
+    whole = np.ones(len(pieces), bool)
+    whole[who] = False
+    plain = np.flatnonzero(whole)
+    who = np.concatenate([plain, who])
+    length = np.concatenate([size[plain], *(x[1] for x in split)])
+    answer = np.concatenate([least[plain], *(x[2] for x in split)])
+    order = np.argsort(who, kind="stable")
+    length, answer = length[order], answer[order]
+    count = np.bincount(who, minlength=len(pieces))
+    start = np.cumsum(count) - count
     out = []
     for own in rows:
-        count = np.array([len(runs_of[k][0]) for k in own], np.uint8)
-        lengths = np.array([x for k in own for x in runs_of[k][0]], np.uint8)
-        ids = np.array([x for k in own for x in runs_of[k][1]], np.int64)
-        out.append(packed(count, lengths, ids))
+        n = count[own]
+        run = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out.append(packed(n.astype(np.uint8), length[run].astype(np.uint8), answer[run]))
     return pd.DataFrame({"batch": frame["batch"], "part": frame["part"], "reply": out})
 
 
-def covered(own: Batch, replies: list, answers: list, parts: int) -> np.ndarray:
+def covered(own: Batch, notes: bytes, answers: list, parts: int) -> np.ndarray:
     """A flag for each byte of a batch: whether it goes."""
-    shared, hot, number, best = understood(own, replies, parts)
-    dead = best < own.ids
-    pieces, _, where, _, text, place, piece = own.pieces(shared, hot, number, dead, parts)
+    dead, where, text, place, piece = unpacked(notes, "?", "i8", "u4", "i8", "u4")
     by_part = {r["part"]: r["reply"] for r in answers}
-    counts = np.zeros(len(pieces), np.int64)
+    counts = np.zeros(len(where), np.int64)
     parts_of, lengths, ids = [], [], []
-    for p in np.unique(where).tolist():
-        k = np.flatnonzero(where == p)
+    dealt = Dealt(where, parts)
+    for p in dealt.there():
+        k = dealt[p]
         c, n, i = unpacked(by_part[p], "u1", "u1", "i8")
         counts[k] = c
         parts_of.append(np.repeat(k, c))
         lengths.append(n)
         ids.append(i)
     edge = np.zeros(len(own.bytes) + 1, np.int32)
-    if len(pieces):
+    if len(where):
         order = np.argsort(np.concatenate(parts_of), kind="stable")
         lengths, ids = np.concatenate(lengths)[order].astype(np.int64), np.concatenate(ids)[order]
         start = np.cumsum(counts) - counts
@@ -430,9 +467,9 @@ def covered(own: Batch, replies: list, answers: list, parts: int) -> np.ndarray:
 
 def emitted(frames: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for data, replies, answers in zip(frame["data"], frame["replies"], frame["answers"], strict=True):
+        for data, notes, answers in zip(frame["data"], frame["notes"], frame["answers"], strict=True):
             own = Batch(data)
-            gone = covered(own, replies, answers if answers is not None else [], parts)
+            gone = covered(own, notes, answers if answers is not None else [], parts)
             rows = []
             for i, null, a, z in zip(own.ids.tolist(), own.null.tolist(), own.starts.tolist(), own.ends.tolist(), strict=True):
                 g = gone[a:z]
@@ -452,9 +489,10 @@ def kept_bytes(docs: DataFrame, digest: bool = False) -> DataFrame:
     replies = keyed.groupBy("part").applyInPandas(lambda x: answered(x, hot), "batch long, part int, reply binary")
     replies = cut(replies, rows=100).groupBy("batch").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))
     replies = cut(replies)
-    with_replies = table.join(replies, "batch")
-    pieces = with_replies.mapInPandas(lambda x: sent(x, parts), "part int, batch long, data binary")
-    answers = pieces.groupBy("part").applyInPandas(sorted_out, "batch long, part int, reply binary")
+    told = table.join(replies, "batch").mapInPandas(lambda x: sent(x, parts), "part int, batch long, data binary")
+    told = cut(told, rows=4)
+    notes = told.where("part < 0").select("batch", F.col("data").alias("notes"))
+    answers = told.where("part >= 0").groupBy("part").applyInPandas(sorted_out, "batch long, part int, reply binary")
     answers = cut(answers, rows=4).groupBy("batch").agg(F.collect_list(F.struct("part", "reply")).alias("answers"))
     answers = cut(answers)
 
@@ -465,7 +503,7 @@ def kept_bytes(docs: DataFrame, digest: bool = False) -> DataFrame:
             yield out
 
     kind = "kept string" if digest else "kept binary"
-    out = with_replies.join(answers, "batch", "left").mapInPandas(final, f"doc_id long, n_bytes long, n_removed long, n_spans long, {kind}")
+    out = table.join(notes, "batch").join(answers, "batch", "left").mapInPandas(final, f"doc_id long, n_bytes long, n_removed long, n_spans long, {kind}")
     return cut(out.withColumnRenamed("kept", "kept_sha256") if digest else out, rows=4)
 
 
