@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import combinations, product
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import kmers, rolling_match
+from ..functions.text import rolling_match
 from ..schema import AMINO_ACIDS
 from .models import hashed_uniform
 
@@ -156,10 +156,3 @@ def cardinalities(df: DataFrame, names: list[str]) -> DataFrame:
 def log_histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """(bin, n): log10 of a positive value in bins of equal width; 0 and bins + 1 are beyond."""
     return df.where(F.col(value) > 0).groupBy(F.width_bucket(F.log10(value), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
-
-
-def kmer_grid(k: int, alphabet: str = AMINO_ACIDS) -> list[str]:
-    return ["".join(x) for x in product(alphabet, repeat=k)]
-
-
-__all__ = ["kmers", "Seed", "Signal", "annotate", "cardinalities", "drawn", "implanted", "log_histogram", "quota", "random_receptors", "random_repertoires", "random_sequences", "signal_frequencies", "zipf_counts"]

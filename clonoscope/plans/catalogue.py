@@ -500,11 +500,6 @@ def _prefixes(spark, d):
     return parts(spark, d).select(F.col("id").alias("sequence_id"), F.substring("seq", 1, 6).alias("seq"), (F.col("size") > 25).alias("positive"))
 
 
-def _threshold(spark, d):
-    """The support that fits the oracle's tables; a fixed parameter of the query."""
-    return 200
-
-
 @query(PREFIX + "SELECT motif, support FROM two UNION ALL SELECT pos || '-' || l, count(*) FROM i JOIN one USING (pos, l) GROUP BY pos, l")
 def motif_support(spark, d):
     return M.grown(_prefixes(spark, d), 2, 200).select("motif", "support")
@@ -653,10 +648,6 @@ def cdr3_from_junction(spark, d):
 # splits
 
 
-def _keyed_folds(k: int) -> Column:
-    return (F.col(KEY) % k).cast("int")
-
-
 @query()
 def kfold(spark, d):
     return U.k_fold(metadata(spark, d).select(KEY), KEY, 5)
