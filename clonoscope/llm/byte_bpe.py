@@ -142,6 +142,11 @@ def codec(ranks_file: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def forget() -> None:
+    """Frees the worker's codec, when other stages follow in the same worker."""
+    _codecs.clear()
+
+
 def shared_ranks(docs: DataFrame, path: str | None = None):
     """The vocabulary file (bounded, under a few MB) as a broadcast."""
     import public_tokenizers

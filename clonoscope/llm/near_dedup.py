@@ -33,7 +33,7 @@ WORDS, T100 = 5, 75
 #: The size of a sketch, and how many retained values two sets of similarity 0.75 share at the very least (mean 36, deviation 3).
 K, SHARED = 48, 19
 #: Members of a list that is short, rounds over long ones, members of a block, and cells of a presence matrix.
-SHORT, ROUNDS, BLOCK, CELLS = 32, 1, 256, 1 << 22
+SHORT, ROUNDS, BLOCK, CELLS = 32, 1, 256, 1 << 20
 #: Words of which a worker remembers the hash.
 MEMO = 150_000
 
@@ -131,17 +131,25 @@ def paired(members: DataFrame) -> DataFrame:
 
 
 def shared_counts(sets: list[np.ndarray], m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets i and m + j: by a product of presence matrices over what several sets have."""
+    """Sizes of the intersections of sets i and m + j: by products of presence matrices over what several sets have, a stretch of
+    columns at a time, or pair by pair where that is less work."""
     every, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = np.cumsum(count > 1) - 1
-    width = int(common[-1]) + 1 if len(common) else 0
-    if width * len(sets) > CELLS:
-        return np.array([len(np.intersect1d(sets[p], sets[m + q], assume_unique=True)) for p, q in zip(i, j, strict=True)])
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     keep = count[place] > 1
-    has = np.zeros((len(sets), width), np.float32)
-    has[row[keep], common[place[keep]]] = 1
-    return (has[:m] @ has[m:].T)[i, j]
+    column = (np.cumsum(count > 1) - 1)[place[keep]]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[keep]
+    width = int(column.max(initial=-1)) + 1
+    if len(i) * (150_000 + 200 * len(place) / len(sets)) < width * m * (len(sets) - m):  # in tenths of a nanosecond, about
+        return np.array([len(np.intersect1d(sets[p], sets[m + q], assume_unique=True)) for p, q in zip(i, j, strict=True)])
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((m, len(sets) - m), np.float32)
+    step = max(1, CELLS // len(sets))
+    for lo in range(0, width, step):
+        a, z = np.searchsorted(column, [lo, lo + step])
+        has = np.zeros((len(sets), min(step, width - lo)), np.float32)
+        has[row[a:z], column[a:z] - lo] = 1
+        both += has[:m] @ has[m:].T
+    return both[i, j]
 
 
 def block_links(value: int, x: list, y: list, same: bool) -> list[tuple[int, int]]:

@@ -60,6 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             rows = [own.packed(x) if x else b"" for x in batch]
             yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in rows], "ids": rows, "decoded_sha256": [hashlib.sha256(own.unpacked(x)).hexdigest() for x in rows]}).astype({"n_tokens": "int64"})
+        byte_bpe.forget()
 
     return docs.select("doc_id", "source", both(F.coalesce("text", F.lit(""))).alias("made")).select("doc_id", "source", "made.*")
 
