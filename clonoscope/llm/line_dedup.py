@@ -1,15 +1,16 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are compared without blanks at their ends. A line's signature is the SKETCH smallest hashes of its character shingles; to
-keep it cheap these are the shingles of SHINGLE code points that start a word with one of the letters SAMPLED (in lines with few such
-words those that start any word, and in lines with few words all shingles of EXACT code points). The BOTTOM smallest values are bands of one
-value: two lines whose shingles are similar share one of them nearly always. Each band's list is joined with one of its lines, then
-what isn't one component yet is compared within short lists. Lines of long lists are dealt out anew, by bands of two values: first
-each against one of its list, then short lists, then another of the list, then what is left. Candidates whose signatures agree are
-verified by the exact Jaccard similarity of all their 5-character shingles.
+Lines are compared without blanks at their ends. All signatures are of the hashes of a line's distinct 5-character shingles, which also
+define the similarity. Values of BINS places on the circle of hashes, the next hash from each place on, agree with a probability that is
+the similarity; bands of four of them are shared nearly always by similar lines. Lines of up to SMALL shingles have too few values for
+that and are listed, by the prefix theorem without loss, under pairs of their smallest hashes (up to TINY: under single ones); lines near
+a bound are listed on both sides of it, so that similar lines always have a family of bands in common.
+Each band's list is compared with one of its lines; lines of lists that aren't one component then are compared pair by pair in short lists,
+in long ones with another line first. Candidates whose values agree as often as similar ones practically always do are verified by the
+exact Jaccard similarity of all their shingles.
 A distributed union-find gives the components, and the first line of each, by doc_id and line number, stays.
 
-Equal lines meet as hashes of 128 bits and are one line from the start; texts are only moved for lines with a candidate.
+Equal lines meet as hashes of 128 bits and are one line from the start.
 
 Defined results: null text is one empty line; blank lines stay; lines under five code points are only removed as exact copies; rows
 with a null doc_id are neither compared nor changed; a row that repeats doc_id and text shares its decisions and doesn't
@@ -20,23 +21,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import components, cut
 from .near_dedup import paired, starred
 
-#: Code points of a shingle in a signature and in the verification; values that are bands; least similarity in per cent.
-SHINGLE, EXACT, BOTTOM, T100 = 20, 5, 5, 75
-#: Values of a signature, and how many of the union's smallest both sides must have for a candidate to be verified: lines of the least
-#: similarity have four or five of them.
-SKETCH, AGREE = 8, 3
-#: First letters of the words that are sampled; those beyond ASCII always are.
-SAMPLED = r"a-eo-tA-EO-T0-4\x{80}-\x{10FFFF}"
+#: Code points of a shingle; least similarity in per cent.
+SHINGLE, T100 = 5, 75
+#: Places on the circle of hashes (a power of two), and how many of them bands join: any two bands have one place in common at most.
+BINS, JOINED, TURNS = 32, 4, 3
+BANDS = [[c * (BINS // JOINED) + (i + c * g) % (BINS // JOINED) for c in range(JOINED)] for g in range(TURNS) for i in range(BINS // JOINED)]
+#: Up to so many shingles a line and those similar to it meet by single hashes, and by pairs of hashes.
+TINY, SMALL = 6, 32
+#: Agreeing values of candidates beyond SMALL: similar ones have 24 on average, and fewer than 10 with a chance below 1e-6.
+AGREE = 10
 #: Lines of a short list.
 SHORT = 24
 ENDS = " \t\n\x0b\x0c\r"
-FEW = rf"(?s)(?<![^\x20\x09-\x0D])(?=([{SAMPLED}].{{{SHINGLE - 1}}}))"
-STARTS = rf"(?s)(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{{{SHINGLE - 1}}}))"
-EVERY = r"(?s)(?=(.{%d}))"
+EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
 
 
 def of(text: Column, pattern: str) -> Column:
@@ -44,20 +46,25 @@ def of(text: Column, pattern: str) -> Column:
 
 
 def with_signature(df: DataFrame) -> DataFrame:
-    """df (line, ...) with `sketch`: the SKETCH smallest hashes of its shingles. Columns of their own keep the patterns from
-    being matched for each use."""
-    df = df.withColumn("few", of(F.col("line"), FEW))
-    df = df.withColumn("starts", F.when(F.size("few") >= SKETCH, F.col("few")).otherwise(of(F.col("line"), STARTS)))
-    df = df.withColumn("shingles", F.when(F.size("starts") >= SKETCH, F.col("starts")).otherwise(of(F.col("line"), EVERY % EXACT)))
-    sketch = F.slice(F.sort_array(F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(s)))), 1, SKETCH)
-    return df.withColumn("sketch", sketch).drop("few", "starts", "shingles")
-
-
-def pairs_of(values: Column) -> Column:
-    """A hash for each pair of the first BOTTOM values of an array."""
-    at = [F.get(values, i) for i in range(BOTTOM)]
-    both = [F.when(at[j].isNotNull(), F.xxhash64(at[i], at[j])) for i in range(BOTTOM) for j in range(i + 1, BOTTOM)]
-    return F.array_compact(F.array(*both))
+    """df (line, ...) with n, its number of distinct shingles, `bands`, and `some`: bits of the values at each place. Columns of
+    their own keep what they hold from being computed for each use."""
+    slot = lambda x: F.shiftright(x, 64 - (BINS.bit_length() - 1)) + BINS // 2
+    df = df.withColumn("h", F.sort_array(F.array_distinct(F.transform(of(F.col("line"), EVERY), lambda s: F.xxhash64(s)))))
+    df = df.withColumn("n", F.size("h"))
+    df = df.withColumn("least", F.filter("h", lambda x, i: (i == 0) | (slot(x) != slot(F.get("h", i - 1)))))
+    at = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.get(F.filter("least", lambda x: slot(x) >= b), 0), F.get("least", 0)))
+    df = df.withColumn("at", F.when(F.col("n") > 0, at))
+    wide = F.array(*[F.xxhash64(F.lit(k), *[F.get("at", i) for i in band]) for k, band in enumerate(BANDS)])
+    # Similar lines have T100 % of the larger set in common, so of the smallest n - that + 1 hashes one, of one more two.
+    few = F.col("n") - F.ceil(F.col("n") * T100 / 100).cast("int")
+    df = df.withColumn("first", F.slice("h", F.lit(1), few + 2))
+    both = F.flatten(F.transform("first", lambda x, i: F.transform(F.filter("first", lambda y: y > x), lambda y: F.xxhash64(x, y))))
+    none = F.array().cast("array<long>")
+    over = lambda bound: bound * 100 // T100
+    df = df.withColumn("single", F.when(F.col("n") <= over(TINY), F.slice("h", F.lit(1), few + 1)).otherwise(none))
+    df = df.withColumn("double", F.when((F.col("n") > TINY) & (F.col("n") <= over(SMALL)), both).otherwise(none))
+    df = df.withColumn("bands", F.concat("single", "double", F.when(F.col("n") > SMALL, wide).otherwise(none)))
+    return df.withColumn("some", F.transform("at", lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint"))).drop("h", "least", "at", "first", "single", "double")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -67,16 +74,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines (rep, sketch, line) whose signatures agree and whose exact similarity is high enough, as links (u, v)."""
-    side = lambda name, what: texts.select(F.col("rep").alias(name), F.col(what).alias(f"x{name}"))
-    near = pairs.distinct().join(side("b", "sketch"), "b").join(side("a", "sketch"), "a")
-    near = near.withColumns({"u": F.slice(F.array_sort(F.array_union("xa", "xb")), 1, SKETCH), "i": F.array_intersect("xa", "xb")})
-    both = F.size(F.filter("i", lambda v: v <= F.element_at("u", -1)))
-    near = near.where(both >= F.when(F.size("u") == SKETCH, F.lit(AGREE)).otherwise(F.ceil(F.size("u") * AGREE / SKETCH))).select("a", "b")
+    """The pairs (a, b) of lines (rep, n, some, line) whose signatures agree and whose exact similarity is high enough, as links (u, v)."""
+    side = lambda name, *what: texts.select(F.col("rep").alias(name), *(F.col(x).alias(f"{x}_{name}") for x in what))
+    near = pairs.distinct().join(side("b", "n", "some"), "b").join(side("a", "n", "some"), "a")
+    agree = F.size(F.filter(F.zip_with("some_a", "some_b", lambda x, y: x == y), lambda x: x))
+    near = near.where((F.least("n_a", "n_b") <= SMALL) | (agree >= AGREE)).select("a", "b")
     near = near.join(side("b", "line"), "b").join(side("a", "line"), "a")
     # Arrays of one element name the sets and the sizes, so that each is computed once however often it is used.
-    every = lambda c: F.array_distinct(of(F.col(c), EVERY % EXACT))
-    sets = F.array(F.struct(every("xa").alias("p"), every("xb").alias("q")))
+    every = lambda c: F.array_distinct(of(F.col(c), EVERY))
+    sets = F.array(F.struct(every("line_a").alias("p"), every("line_b").alias("q")))
     sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["p"], s["q"])).alias("i"), (F.size(s["p"]) + F.size(s["q"])).alias("n")))
     similar = F.exists(sizes, lambda s: s["i"] * 100 >= (s["n"] - s["i"]) * T100)
     return near.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -94,17 +100,13 @@ def linked(listed: DataFrame, texts: DataFrame) -> DataFrame:
     links = cut(verified(starred(listed, F.col("rep")), texts))
     members = apart(listed, components(links))
     pairs = paired(members.where(F.col("cnt") <= SHORT))
-    long = cut(members.where(F.col("cnt") > SHORT).select("rep", "n").distinct())
-    if long.isEmpty():
-        return components(links.union(verified(pairs, texts)))
-    again = cut(long.join(texts, "rep").select("rep", "n", F.explode(pairs_of(F.col("sketch"))).alias("value")))
-    links = cut(links.union(verified(pairs.union(starred(again, F.col("rep"))), texts)))
-    members = apart(again, components(links))
     long = members.where(F.col("cnt") > SHORT)
-    pairs = paired(members.where(F.col("cnt") <= SHORT)).union(starred(long, F.xxhash64("comp", "rep")))
+    some = not long.isEmpty()
+    if some:
+        pairs = pairs.union(starred(long, F.xxhash64("comp", "rep")))
     links = cut(links.union(verified(pairs, texts)))
-    if not long.isEmpty():
-        rest = apart(again, components(links)).where(F.col("cnt") > SHORT)
+    if some:
+        rest = apart(long.select("value", "rep", "n"), components(links))
         links = cut(links.union(verified(paired(rest), texts)))
     return components(links)
 
@@ -112,22 +114,19 @@ def linked(listed: DataFrame, texts: DataFrame) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, t, lines): the numbers, from 0, of the lines to remove."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = lines_of(docs)
     h = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
-    lines = with_signature(lines.select("doc_id", "t", "no", *h, F.length("line").alias("n"), "line"))
+    lines = lines_of(docs).select("doc_id", "t", "no", *h, "line")
     places = cut(lines.drop("line"))
-    first = F.min(F.struct("doc_id", "no")).alias("first")
-    distinct = places.groupBy("h1", "h2").agg(first, F.count("*").alias("cnt"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    distinct = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("cnt"))
     distinct = cut(distinct.withColumn("rep", F.monotonically_increasing_id()))
-    posted = distinct.select("rep", F.greatest(F.col("n") - EXACT + 1, F.lit(0)).alias("n"), F.explode(F.slice("sketch", 1, BOTTOM)).alias("value"))
-    several = cut(posted.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value"))
-    listed = cut(posted.join(several, "value").select("value", "rep", "n"))
-    wanted = cut(distinct.join(listed.select("rep").distinct(), "rep", "left_semi").select("rep", "sketch", "first.doc_id", "first.no"))
-    # The texts of those lines: documents meet the numbers of their wanted lines, and only these lines go on.
-    numbers = cut(wanted.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("no", "rep"))).alias("reps")))
-    line = lambda x, no: F.struct(F.try_element_at("reps", no).alias("rep"), F.btrim(x, F.lit(ENDS)).alias("line"))
-    found = docs.join(numbers, "doc_id").select(F.explode(F.filter(F.transform(F.split("text", "\n"), line), lambda x: x["rep"].isNotNull())).alias("x"))
-    texts = cut(found.select("x.*").dropDuplicates(["rep"]).join(wanted.select("rep", "sketch"), "rep"))
+    # The text of each line, from where it is first.
+    keys = ["doc_id", "no", "h1", "h2"]
+    texts = lines.join(distinct.select("first.*", "h1", "h2", "rep"), keys).dropDuplicates(keys).select("rep", "line")
+    texts = cut(with_signature(texts))
+    posted = texts.select("rep", F.greatest(F.length("line") - SHINGLE + 1, F.lit(0)).alias("n"), F.explode("bands").alias("value"))
+    listed = posted.withColumn("df", F.count("*").over(W.partitionBy("value"))).where("df > 1")
+    listed = cut(listed.select("value", "rep", "n"))
+    texts = cut(texts.drop("bands").join(listed.select("rep").distinct(), "rep", "left_semi"))
     joined = linked(listed, texts)
     known = distinct.select("rep", "h1", "h2", "first", "cnt").join(joined.withColumnRenamed("u", "rep"), "rep", "left")
     known = known.join(joined.select(F.col("v").alias("rep"), F.lit(True).alias("root")).distinct(), "rep", "left")

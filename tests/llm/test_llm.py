@@ -287,6 +287,40 @@ def test_line_dedup_edges(spark, nothing, with_null):
     assert collected(line_dedup.without_lines(df)) == [(1, "a line\n\nother"), (2, "b\n"), (3, None)]
 
 
+def linked_lines(spark, pairs):
+    """Of pairs of lines, each in two documents of its own: whether the second one is removed."""
+    rows = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    out = {r[0]: r[2] for r in collected(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))}
+    assert not any(out[2 * i] for i in range(len(pairs)))
+    return [out[2 * i + 1] == 1 for i in range(len(pairs))]
+
+
+def similarity(a, b):
+    x, y = ({t[j : j + 5] for j in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def letters(rnd, n):
+    return " ".join(words(rnd, n, "abcdefghijklmnopqrstuvwxyz"))
+
+
+def test_line_dedup_with_scattered_edits(spark):
+    rnd = random.Random(11)
+    pairs = []
+    for _ in range(1200):
+        a = letters(rnd, rnd.randint(12, 40))
+        b = list(a)
+        for j in rnd.sample(range(len(a)), max(1, round(len(a) * rnd.uniform(0.005, 0.035)))):
+            b[j] = rnd.choice("0123456789")
+        pairs.append((a, "".join(b)))
+    want = [similarity(*p) for p in pairs]
+    got = linked_lines(spark, pairs)
+    assert not any(g for g, w in zip(got, want, strict=True) if w < 0.75)
+    for lo, hi in ((0.75, 0.8), (0.8, 0.85), (0.85, 0.9), (0.9, 1)):
+        band = [g for g, w in zip(got, want, strict=True) if lo <= w < hi]
+        assert len(band) > 50 and np.mean(band) > 0.98
+
+
 # 3: neighbours
 
 
