@@ -321,6 +321,20 @@ def test_line_dedup_with_scattered_edits(spark):
         assert len(band) > 50 and np.mean(band) > 0.98
 
 
+def test_line_dedup_of_lines_less_a_word(spark):
+    rnd = random.Random(12)
+    by = {n: [] for n in (2, 3, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15)}
+    for n, pairs in by.items():
+        while len(pairs) < 60:
+            w = letters(rnd, n).split(" ")
+            gone = rnd.randrange(n)
+            a, b = " ".join(w), " ".join(w[:gone] + w[gone + 1 :]) if n > 5 else " ".join(w)[:-1]
+            if len(b) > 4 and similarity(a, b) >= 0.75:
+                pairs.append((a, b))
+    got = linked_lines(spark, [p for pairs in by.values() for p in pairs])
+    assert min(np.mean(got[i * 60 : i * 60 + 60]) for i in range(len(by))) > 0.96
+
+
 # 3: neighbours
 
 
