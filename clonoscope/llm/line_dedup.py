@@ -123,7 +123,7 @@ def removed(docs: DataFrame) -> DataFrame:
     keys = ["doc_id", "no", "h1", "h2"]
     texts = lines.join(distinct.select("first.*", "h1", "h2", "rep"), keys).dropDuplicates(keys).select("rep", "line")
     texts = cut(with_signature(texts))
-    posted = texts.select("rep", F.greatest(F.length("line") - SHINGLE + 1, F.lit(0)).alias("n"), F.explode("bands").alias("value"))
+    posted = texts.select("rep", "n", F.explode("bands").alias("value"))
     listed = posted.withColumn("df", F.count("*").over(W.partitionBy("value"))).where("df > 1")
     listed = cut(listed.select("value", "rep", "n"))
     texts = cut(texts.drop("bands").join(listed.select("rep").distinct(), "rep", "left_semi"))

@@ -335,6 +335,12 @@ def test_line_dedup_of_lines_less_a_word(spark):
     assert min(np.mean(got[i * 60 : i * 60 + 60]) for i in range(len(by))) > 0.96
 
 
+def test_line_dedup_of_repeated_content(spark):
+    pairs = [("-" * 100, "-" * 40), ("=" * 5, "=" * 50), (". " * 40 + ".", ". " * 9 + "."), ("again and " * 30 + "again", "again and " * 9 + "again"), ("_" * 6, "_" * 300)]
+    assert all(similarity(*p) == 1 for p in pairs)
+    assert all(linked_lines(spark, pairs))
+
+
 # 3: neighbours
 
 
