@@ -164,10 +164,15 @@ class Batch:
         least: dict[bytes, int] = {}
         for d, i in zip(digests, self.ids.tolist(), strict=True):
             least[d] = min(i, least.get(d, LAST))
-        # Copies of a text with a smaller doc_id in the batch, and all but the first row of equal texts.
+        # Copies of a text with a smaller doc_id in the batch, and of equal texts all but the first row with the smallest doc_id, which
+        # stands for them.
         self.copy = np.array([least[d] < i for d, i in zip(digests, self.ids.tolist(), strict=True)], bool)
-        seen: set[bytes] = set()
-        self.again = np.array([d in seen or seen.add(d) is not None for d in digests], bool)
+        stands: dict[bytes, int] = {}
+        for t, d in enumerate(digests):
+            if self.ids[t] == least[d]:
+                stands.setdefault(d, t)
+        self.stands = [stands[d] for d in digests]
+        self.again = np.array([f != t for t, f in enumerate(self.stands)], bool)
         self.digests = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
         self.raw = raw
         self.least = np.array([least[d] for d in digests], np.int64)
@@ -451,10 +456,8 @@ def covered(own: Batch, notes: bytes, answers: list, parts: int) -> np.ndarray:
         np.add.at(edge, at, 1)
         np.add.at(edge, at + lengths[run[use]] - 1 + LENGTH, -1)
     gone = np.cumsum(edge[:-1]) > 0
-    # Texts that repeat an earlier row of the batch: as that row, unless their doc_id is larger.
-    first: dict[bytes, int] = {}
-    for t, d in enumerate(own.digests):
-        f = first.setdefault(d.tobytes(), t)
+    # Texts that another row of the batch stands for: as that row, unless their doc_id is larger.
+    for t, f in enumerate(own.stands):
         a, z = own.starts[t], own.ends[t]
         if z - a < LENGTH:
             gone[a:z] = False

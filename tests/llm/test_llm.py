@@ -457,6 +457,17 @@ def test_suffix_dedup(docs, rows, monkeypatch, batch, hot):
     assert collected(suffix_dedup.suffix_dedup(docs)) == removed_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("batch", [3 << 20, 2000])
+def test_suffix_dedup_of_descending_rows(spark, rows, monkeypatch, batch):
+    """Copies with larger doc_ids come first in a batch; others share passages with them."""
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    some = " ".join(words(random.Random(4), 40))
+    own = [(900, f"{some} x", *rows[0][2:]), (950, some, *rows[0][2:]), (800, some, *rows[0][2:]), (850, f"y {some}", *rows[0][2:])]
+    down = sorted(rows + own, key=lambda r: -r[0])
+    df = spark.createDataFrame(down, SCHEMA).coalesce(1)
+    assert collected(suffix_dedup.suffix_dedup(df)) == removed_by_brute_force(down)
+
+
 def test_suffix_dedup_edges(nothing, with_null):
     assert collected(suffix_dedup.suffix_dedup(nothing)) == []
     assert [r[:4] for r in collected(suffix_dedup.suffix_dedup(with_null))] == [(7, 61, 0, 0), (None, 61, 61, 1), (None, 61, 61, 1)]
