@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonoscope.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup
-from clonoscope.llm.common import cut, table
+from clonoscope.llm.common import cut, squeezed, table
 
 #: A document goes if its language is unknown, or scores less than this.
 LEAST_SCORE = 0.05
@@ -31,18 +31,26 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.where((F.col("__made.lang_pred") != language_id.UNKNOWN) & (F.col("__made.score") >= LEAST_SCORE)).select(*names)
 
 
-def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is decided (doc_id, kept) not to be kept."""
-    gone = cut(decided.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-
-
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, exact_dedup.exact_dedup(docs))
+    """docs but the rows that are copies: rows of one doc_id, or of none, are told apart by their text without blanks."""
+    decided = exact_dedup.exact_dedup(docs)
+    gone = cut(decided.where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__text")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.sha2(squeezed(F.col("text")), 256) == F.col("__text"))
+    return docs.join(gone, same, "left_anti")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, near_dedup.near_dedup(docs))
+    """docs but the rows that are near copies. Where a doc_id has several texts, all but one of them get a key of their own for it, so
+    that each is decided on alone; the keys come after all doc_ids below 2^62."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__doc")).agg(F.min(text).alias("__lo"), F.max(text).alias("__hi"))
+    several = cut(texts.where("__lo < __hi").select("__doc", "__lo"))
+    own = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    keyed = docs.join(several, F.col("doc_id") == F.col("__doc"), "left")
+    keyed = keyed.withColumn("__key", F.when(F.col("__lo") < text, own).otherwise(F.col("doc_id").cast("long"))).drop("__doc", "__lo")
+    decided = near_dedup.near_dedup(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    gone = cut(decided.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
+    return keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -497,3 +497,20 @@ def test_pipeline(spark, docs, rows, tmp_path):
     left = [r for r in rows if r[0] in set(out.doc_id)]
     sets = shingle_sets(left)
     assert all(components_of(sets, 75)[i] == i for i in sets)
+
+
+def test_pipeline_decides_row_by_row(spark):
+    """Null doc_ids, and doc_ids with several texts, of which some are copies or near copies."""
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(21)
+    a, b, c, d, e, f = (" ".join(words(rnd, 60)) for _ in range(6))
+    near = f"{b} more"
+    rows = [(1, a), (2, b), (None, a), (None, c), (None, d), (3, a), (3, e), (4, near), (4, f), (4, f)]
+    df = spark.createDataFrame([(*r, "en", "web", 7, 1, 2, "v") for r in rows], SCHEMA)
+    out = pipeline.without_copies(spark, df, "")
+    assert out.columns == df.columns
+    assert collected(out.select("doc_id", "text")) == sorted([(1, a), (2, b), (None, c), (None, d), (3, e), (4, near), (4, f), (4, f)], key=repr)
+    out = pipeline.without_near_copies(spark, out, "")
+    assert out.columns == df.columns
+    assert collected(out.select("doc_id", "text")) == sorted([(1, a), (2, b), (None, c), (None, d), (3, e), (4, f), (4, f)], key=repr)
