@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager, nullcontext
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,25 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While it holds, Python gets at most so many rows at once, and 8 MB."""
-    now = {f"spark.sql.execution.arrow.{k}": v for k, v in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", str(8 << 20)))}
-    before = {k: spark.conf.get(k) for k in now}
+def settings(spark: SparkSession, now: dict[str, str]) -> Iterator[None]:
+    """While it holds, the session has these settings."""
+    before = {k: spark.conf.get(k, None) for k in now}
     try:
         for k, v in now.items():
             spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later stages don't recompute what made it,
-    and a lost executor costs only its running tasks. rows: of an Arrow batch, where Python makes large values."""
+    and a lost executor costs only its running tasks. The write's own shuffle files go when it is done.
+    rows: of an Arrow batch (of 8 MB at most), where Python makes large values."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    with arrow_batches(spark, rows) if rows else nullcontext():
+    now = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if rows:
+        now |= {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    with settings(spark, now):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

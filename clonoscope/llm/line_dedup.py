@@ -1,14 +1,18 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are compared without blanks at their ends. All signatures are of the hashes of a line's distinct 5-character shingles, which also
-define the similarity. Values of BINS places on the circle of hashes, the next hash from each place on, agree with a probability that is
-the similarity; bands of four of them are shared nearly always by similar lines. Lines of up to SMALL shingles have too few values for
-that and are listed, by the prefix theorem without loss, under pairs of their smallest hashes (up to TINY: under single ones); lines near
-a bound are listed on both sides of it, so that similar lines always have a family of bands in common.
-Each band's list is compared with one of its lines; lines of lists that aren't one component then are compared pair by pair in short lists,
-in long ones with another line first. Candidates whose values agree as often as similar ones practically always do are verified by the
-exact Jaccard similarity of all their shingles.
-A distributed union-find gives the components, and the first line of each, by doc_id and line number, stays.
+Lines are compared without blanks at their ends. The similarity is Jaccard's of the sets of a line's 5-character shingles, and all
+signatures are of these sets, for lines of any length: under each of ORDERS orders of hashes, the least hash that a line has. Two lines
+agree on each of these with a probability that is their similarity, independently. Bands join five of them, one of each of five groups, so
+that any two bands have at most one in common; lines with a similarity of 0.75 share a band with a chance of 0.99, of 0.8 of 0.998, and
+unrelated lines hardly ever do. (The chances are of a simulation of the agreements.)
+
+A line's shingles are made as rows, eight at a time, and its signature is one aggregation of least values, so all of it is compiled code.
+Bands are dealt out a quarter at a time: the lines of each value that several lines have are listed, and compared with the first line
+of the list, which joins most of a group of near copies with as many candidates as members. Lists of more than two lines that aren't one
+component then are compared pair by pair between components, long ones with another line first. Four bits of each of 32 least values
+let only candidates through that agree as often as similar ones practically always do, within the join that makes them; the exact Jaccard
+similarity of all shingles decides. A distributed union-find gives the components, and the first line of each, by doc_id and line
+number, stays.
 
 Equal lines meet as hashes of 128 bits and are one line from the start.
 
@@ -19,52 +23,70 @@ remove its own lines; an empty table gives no rows; other columns don't matter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import components, cut
-from .near_dedup import paired, starred
 
 #: Code points of a shingle; least similarity in per cent.
 SHINGLE, T100 = 5, 75
-#: Places on the circle of hashes (a power of two), and how many of them bands join: any two bands have one place in common at most.
-BINS, JOINED, TURNS = 32, 4, 3
-BANDS = [[c * (BINS // JOINED) + (i + c * g) % (BINS // JOINED) for c in range(JOINED)] for g in range(TURNS) for i in range(BINS // JOINED)]
-#: Up to so many shingles a line and those similar to it meet by single hashes, and by pairs of hashes.
-TINY, SMALL = 6, 32
-#: Agreeing values of candidates beyond SMALL: similar ones have 24 on average, and fewer than 10 with a chance below 1e-6.
-AGREE = 10
-#: Lines of a short list.
-SHORT = 24
+#: Groups of orders, orders of a group (a prime), and turns of bands: a turn's bands have no order in common.
+GROUPS, SIDE, TURNS = 5, 7, 4
+ORDERS = GROUPS * SIDE
+BANDS = [[[g * SIDE + (i + g * turn) % SIDE for g in range(GROUPS)] for i in range(SIDE)] for turn in range(TURNS)]
+#: Of the CHECKED least values, two lines of the least similarity agree on 24 on average, and on fewer than AGREE with a chance below 1e-6.
+CHECKED, AGREE = 32, 12
+#: Shingles of a row that makes the signatures; lines of a short list.
+AT_ONCE, SHORT = 8, 24
 ENDS = " \t\n\x0b\x0c\r"
-EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
-
-
-def of(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-
-
-def with_signature(df: DataFrame) -> DataFrame:
-    """df (line, ...) with n, its number of distinct shingles, `bands`, and `some`: bits of the values at each place. Columns of
-    their own keep what they hold from being computed for each use."""
-    slot = lambda x: F.shiftright(x, 64 - (BINS.bit_length() - 1)) + BINS // 2
-    df = df.withColumn("h", F.sort_array(F.array_distinct(F.transform(of(F.col("line"), EVERY), lambda s: F.xxhash64(s)))))
-    df = df.withColumn("n", F.size("h"))
-    df = df.withColumn("least", F.filter("h", lambda x, i: (i == 0) | (slot(x) != slot(F.get("h", i - 1)))))
-    at = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.get(F.filter("least", lambda x: slot(x) >= b), 0), F.get("least", 0)))
-    df = df.withColumn("at", F.when(F.col("n") > 0, at))
-    wide = F.array(*[F.xxhash64(F.lit(k), *[F.get("at", i) for i in band]) for k, band in enumerate(BANDS)])
-    # Similar lines have T100 % of the larger set in common, so of the smallest n - that + 1 hashes one, of one more two.
-    few = F.col("n") - F.ceil(F.col("n") * T100 / 100).cast("int")
-    df = df.withColumn("first", F.slice("h", F.lit(1), few + 2))
-    both = F.flatten(F.transform("first", lambda x, i: F.transform(F.filter("first", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    none = F.array().cast("array<long>")
-    over = lambda bound: bound * 100 // T100
-    df = df.withColumn("single", F.when(F.col("n") <= over(TINY), F.slice("h", F.lit(1), few + 1)).otherwise(none))
-    df = df.withColumn("double", F.when((F.col("n") > TINY) & (F.col("n") <= over(SMALL)), both).otherwise(none))
-    df = df.withColumn("bands", F.concat("single", "double", F.when(F.col("n") > SMALL, wide).otherwise(none)))
-    return df.withColumn("some", F.transform("at", lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint"))).drop("h", "least", "at", "first", "single", "double")
+STRETCH = rf"(?s)(?=(.{{{SHINGLE},{AT_ONCE + SHINGLE - 1}}})).{{1,{AT_ONCE}}}"
+
+
+def pieces(line: Column) -> Column:
+    """Stretches of a line that hold its shingles, up to AT_ONCE each; none of a line that has none."""
+    return F.regexp_extract_all(line, F.lit(STRETCH), F.lit(1))
+
+
+def hashed(piece: Column) -> list[Column]:
+    """The hashes of the shingles of a stretch; the last one again and again where it has fewer than AT_ONCE."""
+    last = F.length(piece) - (SHINGLE - 1)
+    return [F.xxhash64(F.substring(piece, F.least(F.lit(i + 1), last) if i else F.lit(1), F.lit(SHINGLE))) for i in range(AT_ONCE)]
+
+
+def shingles(line: Column) -> Column:
+    """The hashes of a line's shingles, repeated ones too."""
+    return F.flatten(F.transform(pieces(line), lambda x: F.array(*hashed(x))))
+
+
+def signatures(texts: DataFrame) -> DataFrame:
+    """(rep, s1, s2, bands0, bands1, ...) of lines (rep, line) that have shingles: four bits of each checked value, and the bands by turn."""
+    each = range(AT_ONCE)
+    rows = texts.select("rep", F.explode(pieces(F.col("line"))).alias("x"))
+    rows = rows.select("rep", *[h.alias(f"h0_{i}") for i, h in enumerate(hashed(F.col("x")))])
+    whole = -(-ORDERS // 4)
+    for k in range(1, whole):
+        rows = rows.withColumns({f"h{k}_{i}": F.xxhash64(f"h{k - 1}_{i}") for i in each})
+    # Four orders of a hash: by its bits from the first, the 17th, the 33rd and the 49th on.
+    by = [lambda h: h, lambda h: F.shiftleft(h, 16), lambda h: F.shiftleft(h, 32), lambda h: F.shiftleft(h, 48).bitwiseOR(F.shiftrightunsigned(h, 16))]
+    made = rows.groupBy("rep").agg(*[F.min(F.least(*[by[k % 4](F.col(f"h{k // 4}_{i}")) for i in each])).alias(f"m{k}") for k in range(ORDERS)])
+    bits = [F.shiftleft(F.xxhash64(f"m{k}").bitwiseAND(F.lit(15)), 4 * (k % 16)) for k in range(CHECKED)]
+    some = [reduce(Column.bitwiseOR, bits[lo : lo + 16]).alias(f"s{1 + lo // 16}") for lo in range(0, CHECKED, 16)]
+    # 48 bits of a band's hash: what meets by chance is only compared.
+    bands = [F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(n * SIDE + i), *[f"m{k}" for k in band]), 16) for i, band in enumerate(turn)]).alias(f"bands{n}") for n, turn in enumerate(BANDS)]
+    return made.select("rep", *some, *bands)
+
+
+def agreeing(a: str, b: str) -> Column:
+    """Whether the checked values of columns a1, a2 agree with those of b1, b2 often enough."""
+
+    def differ(x: Column) -> Column:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return differ(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + differ(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2"))) <= CHECKED - AGREE
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -73,41 +95,66 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.withColumn("line", F.btrim("line", F.lit(ENDS))).where("line <> ''")
 
 
+def lists(signed: DataFrame) -> DataFrame:
+    """(value, rep, first) of each value of a band that several lines have, the least rep of them being the first."""
+    found = []
+    for turn in range(TURNS):
+        posted = signed.select("rep", F.explode(f"bands{turn}").alias("value"))
+        several = cut(posted.groupBy("value").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").drop("last"))
+        found.append(cut(posted.join(several, "value").select("value", "rep", "first")))
+    return reduce(DataFrame.union, found)
+
+
+def side(df: DataFrame, name: str, *what: str) -> DataFrame:
+    return df.select(F.col("rep").alias(name), *(F.col(x).alias(f"{name}{k}") for k, x in enumerate(what, 1)))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines (rep, n, some, line) whose signatures agree and whose exact similarity is high enough, as links (u, v)."""
-    side = lambda name, *what: texts.select(F.col("rep").alias(name), *(F.col(x).alias(f"{x}_{name}") for x in what))
-    near = pairs.distinct().join(side("b", "n", "some"), "b").join(side("a", "n", "some"), "a")
-    agree = F.size(F.filter(F.zip_with("some_a", "some_b", lambda x, y: x == y), lambda x: x))
-    near = near.where((F.least("n_a", "n_b") <= SMALL) | (agree >= AGREE)).select("a", "b")
-    near = near.join(side("b", "line"), "b").join(side("a", "line"), "a")
+    """The pairs (a, b) of lines (rep, line) whose exact similarity is high enough, as links (u, v)."""
+    near = pairs.distinct().join(side(texts, "b", "line"), "b").join(side(texts, "a", "line"), "a")
     # Arrays of one element name the sets and the sizes, so that each is computed once however often it is used.
-    every = lambda c: F.array_distinct(of(F.col(c), EVERY))
-    sets = F.array(F.struct(every("line_a").alias("p"), every("line_b").alias("q")))
-    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["p"], s["q"])).alias("i"), (F.size(s["p"]) + F.size(s["q"])).alias("n")))
-    similar = F.exists(sizes, lambda s: s["i"] * 100 >= (s["n"] - s["i"]) * T100)
+    hashes = F.array(F.struct(shingles(F.col("a1")).alias("p"), shingles(F.col("b1")).alias("q")))
+    sizes = F.transform(hashes, lambda s: F.struct(F.size(F.array_intersect(s["p"], s["q"])).alias("i"), F.size(F.array_union(s["p"], s["q"])).alias("n")))
+    similar = F.exists(sizes, lambda s: s["i"] * 100 >= s["n"] * T100)
     return near.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def apart(listed: DataFrame, joined: DataFrame) -> DataFrame:
-    """(value, rep, n, comp, cnt) of the lists that hold several components."""
-    members = listed.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("value", "rep", "n", F.coalesce("v", "rep").alias("comp"))
-    mixed = members.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cnt")).where("lo < hi").select("value", "cnt")
-    return cut(members.join(cut(mixed), "value"))
+    """(value, rep, s1, s2, comp, cnt) of the lists of more than two lines that hold several components."""
+    members = listed.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("value", "rep", "s1", "s2", F.coalesce("v", "rep").alias("comp"))
+    mixed = members.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cnt"))
+    return cut(members.join(cut(mixed.where("lo < hi AND cnt > 2").select("value", "cnt")), "value"))
+
+
+def between(members: DataFrame) -> DataFrame:
+    """Candidates (a, b) of different components within lists."""
+    other = members.select("value", F.col("rep").alias("b"), F.col("comp").alias("d"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    found = members.join(other, "value").where("rep < b AND comp <> d").where(agreeing("s", "t"))
+    return found.select(F.col("rep").alias("a"), "b")
+
+
+def starred(members: DataFrame) -> DataFrame:
+    """Candidates (a, b): the members of each list against the one with the least hash."""
+    centre = members.groupBy("value").agg(F.min(F.struct(F.xxhash64("comp", "rep").alias("h"), F.col("rep").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("comp").alias("d"))).alias("c"))
+    found = members.join(centre.select("value", "c.b", "c.d", "c.t1", "c.t2"), "value").where("comp <> d").where(agreeing("s", "t"))
+    return found.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
 
 
-def linked(listed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Components (u, v) of the lines in lists (value, rep, n)."""
-    links = cut(verified(starred(listed, F.col("rep")), texts))
-    members = apart(listed, components(links))
-    pairs = paired(members.where(F.col("cnt") <= SHORT))
+def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Components (u, v) of the lines in lists (value, rep, first); signed: (rep, s1, s2), texts: (rep, line) of these lines."""
+    pairs = listed.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = pairs.join(side(signed, "b", "s1", "s2"), "b").join(side(signed, "a", "s1", "s2"), "a")
+    links = cut(verified(cut(pairs.where(agreeing("a", "b")).select("a", "b")), texts))
+    members = apart(listed.join(signed, "rep"), components(links))
     long = members.where(F.col("cnt") > SHORT)
     some = not long.isEmpty()
+    pairs = between(members.where(F.col("cnt") <= SHORT))
     if some:
-        pairs = pairs.union(starred(long, F.xxhash64("comp", "rep")))
-    links = cut(links.union(verified(pairs, texts)))
+        pairs = pairs.union(starred(long))
+    links = cut(links.union(verified(cut(pairs.distinct()), texts)))
     if some:
-        rest = apart(long.select("value", "rep", "n"), components(links))
-        links = cut(links.union(verified(paired(rest), texts)))
+        rest = apart(long.select("value", "rep", "s1", "s2"), components(links))
+        links = cut(links.union(verified(cut(between(rest).distinct()), texts)))
     return components(links)
 
 
@@ -117,17 +164,13 @@ def removed(docs: DataFrame) -> DataFrame:
     h = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
     lines = lines_of(docs).select("doc_id", "t", "no", *h, "line")
     places = cut(lines.drop("line"))
-    distinct = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("cnt"))
+    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("cnt"), F.first("line").alias("line"))
     distinct = cut(distinct.withColumn("rep", F.monotonically_increasing_id()))
-    # The text of each line, from where it is first.
-    keys = ["doc_id", "no", "h1", "h2"]
-    texts = lines.join(distinct.select("first.*", "h1", "h2", "rep"), keys).dropDuplicates(keys).select("rep", "line")
-    texts = cut(with_signature(texts))
-    posted = texts.select("rep", "n", F.explode("bands").alias("value"))
-    listed = posted.withColumn("df", F.count("*").over(W.partitionBy("value"))).where("df > 1")
-    listed = cut(listed.select("value", "rep", "n"))
-    texts = cut(texts.drop("bands").join(listed.select("rep").distinct(), "rep", "left_semi"))
-    joined = linked(listed, texts)
+    signed = cut(signatures(distinct))
+    listed = lists(signed)
+    reps = cut(listed.select("rep").distinct())
+    texts = cut(distinct.select("rep", "line").join(reps, "rep", "left_semi"))
+    joined = linked(listed, cut(signed.select("rep", "s1", "s2").join(reps, "rep", "left_semi")), texts)
     known = distinct.select("rep", "h1", "h2", "first", "cnt").join(joined.withColumnRenamed("u", "rep"), "rep", "left")
     known = known.join(joined.select(F.col("v").alias("rep"), F.lit(True).alias("root")).distinct(), "rep", "left")
     known = known.where("cnt > 1 OR v IS NOT NULL OR root").withColumn("comp", F.coalesce("v", "rep"))
