@@ -8,11 +8,12 @@ unrelated lines hardly ever do. (The chances are of a simulation of the agreemen
 
 A line's shingles are made as rows, eight at a time, and its signature is one aggregation of least values, so all of it is compiled code.
 Bands are dealt out a quarter at a time: the lines of each value that several lines have are listed, and compared with the first line
-of the list, which joins most of a group of near copies with as many candidates as members. Lists of more than two lines that aren't one
-component then are compared pair by pair between components, long ones with another line first. Four bits of each of 32 least values
-let only candidates through that agree as often as similar ones practically always do, within the join that makes them; the exact Jaccard
-similarity of all shingles decides. A distributed union-find gives the components, and the first line of each, by doc_id and line
-number, stays.
+of the list, which joins most of a group of near copies with as many candidates as members. Of lists that aren't one component then,
+short ones are compared pair by pair between components, and long ones with another line in each of STARS turns: two similar lines are
+on six lists together on average, so that they have many lines in common to be joined by, and candidates stay in proportion to the lists.
+Four bits of each of 32 least values let only candidates through that agree as often as similar ones practically always do, within the
+join that makes them; the exact Jaccard similarity of all shingles decides. A distributed union-find gives the components, and the first
+line of each, by doc_id and line number, stays.
 
 Equal lines meet as hashes of 128 bits and are one line from the start.
 
@@ -36,10 +37,10 @@ SHINGLE, T100 = 5, 75
 GROUPS, SIDE, TURNS = 5, 7, 4
 ORDERS = GROUPS * SIDE
 BANDS = [[[g * SIDE + (i + g * turn) % SIDE for g in range(GROUPS)] for i in range(SIDE)] for turn in range(TURNS)]
-#: Of the CHECKED least values, two lines of the least similarity agree on 24 on average, and on fewer than AGREE with a chance below 1e-6.
-CHECKED, AGREE = 32, 12
-#: Shingles of a row that makes the signatures; lines of a short list.
-AT_ONCE, SHORT = 8, 24
+#: Of the CHECKED least values, two lines of the least similarity agree on 24.5 on average, and on fewer than AGREE with a chance of 1e-5.
+CHECKED, AGREE = 32, 14
+#: Shingles of a row that makes the signatures; lines of a short list; further stars of long ones.
+AT_ONCE, SHORT, STARS = 8, 8, 2
 ENDS = " \t\n\x0b\x0c\r"
 STRETCH = rf"(?s)(?=(.{{{SHINGLE},{AT_ONCE + SHINGLE - 1}}})).{{1,{AT_ONCE}}}"
 
@@ -120,23 +121,24 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def apart(listed: DataFrame, joined: DataFrame) -> DataFrame:
-    """(value, rep, s1, s2, comp, cnt) of the lists of more than two lines that hold several components."""
-    members = listed.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("value", "rep", "s1", "s2", F.coalesce("v", "rep").alias("comp"))
+    """(value, rep, first, s1, s2, comp, cnt) of the lists of more than two lines that hold several components."""
+    members = listed.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("value", "rep", "first", "s1", "s2", F.coalesce("v", "rep").alias("comp"))
     mixed = members.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cnt"))
     return cut(members.join(cut(mixed.where("lo < hi AND cnt > 2").select("value", "cnt")), "value"))
 
 
-def between(members: DataFrame) -> DataFrame:
-    """Candidates (a, b) of different components within lists."""
+def paired(members: DataFrame) -> DataFrame:
+    """Candidates (a, b) of different components within lists, but those with the first line, which have been compared."""
     other = members.select("value", F.col("rep").alias("b"), F.col("comp").alias("d"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    found = members.join(other, "value").where("rep < b AND comp <> d").where(agreeing("s", "t"))
+    found = members.join(other, "value").where("rep < b AND rep <> first AND comp <> d").where(agreeing("s", "t"))
     return found.select(F.col("rep").alias("a"), "b")
 
 
-def starred(members: DataFrame) -> DataFrame:
-    """Candidates (a, b): the members of each list against the one with the least hash."""
-    centre = members.groupBy("value").agg(F.min(F.struct(F.xxhash64("comp", "rep").alias("h"), F.col("rep").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("comp").alias("d"))).alias("c"))
-    found = members.join(centre.select("value", "c.b", "c.d", "c.t1", "c.t2"), "value").where("comp <> d").where(agreeing("s", "t"))
+def starred(members: DataFrame, turn: int) -> DataFrame:
+    """Candidates (a, b): the members of each list against one of them, another one in each turn and list."""
+    one = F.struct(F.xxhash64("value", "rep", F.lit(turn)).alias("h"), F.col("rep").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("comp").alias("d"))
+    centre = members.groupBy("value").agg(F.min(one).alias("c")).select("value", "c.b", "c.d", "c.t1", "c.t2")
+    found = members.join(centre, "value").where("comp <> d").where(agreeing("s", "t"))
     return found.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
 
 
@@ -145,16 +147,17 @@ def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = listed.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(side(signed, "b", "s1", "s2"), "b").join(side(signed, "a", "s1", "s2"), "a")
     links = cut(verified(cut(pairs.where(agreeing("a", "b")).select("a", "b")), texts))
-    members = apart(listed.join(signed, "rep"), components(links))
-    long = members.where(F.col("cnt") > SHORT)
-    some = not long.isEmpty()
-    pairs = between(members.where(F.col("cnt") <= SHORT))
-    if some:
-        pairs = pairs.union(starred(long))
-    links = cut(links.union(verified(cut(pairs.distinct()), texts)))
-    if some:
-        rest = apart(long.select("value", "rep", "s1", "s2"), components(links))
-        links = cut(links.union(verified(cut(between(rest).distinct()), texts)))
+    members = listed.join(signed, "rep")
+    for turn in range(STARS):
+        members = apart(members.select("value", "rep", "first", "s1", "s2"), components(links))
+        pairs = starred(members.where(F.col("cnt") > SHORT), turn)
+        if not turn:
+            pairs = pairs.union(paired(members.where(F.col("cnt") <= SHORT)))
+        found = cut(verified(cut(pairs.distinct()), texts))
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        members = members.where(F.col("cnt") > SHORT)
     return components(links)
 
 
