@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+#: Where the tables are that cut wrote.
+_paths: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +63,18 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
         now |= {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
     with settings(spark, now):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut wrote and nothing reads any more."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            jvm, sc = table.sparkSession._jvm, table.sparkSession.sparkContext
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def squeezed(text: Column) -> Column:
@@ -95,4 +109,5 @@ def components(links: DataFrame) -> DataFrame:
         large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        before, links = links, cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        drop(before)

@@ -6,8 +6,8 @@ text's kernel values against them, whitened by the landmarks' own kernel matrix,
 regression per language is fitted on them. As all of this is linear in the presence vector, scoring a batch of texts is one
 product of its presence matrix with a (n-grams x languages) matrix, divided by the texts' norms.
 
-Training takes at most PER_LANGUAGE documents of each language: of each of that many hash classes the document with the
-smallest hash. Everything else is fitted and scored on whole texts.
+Training takes at most PER_LANGUAGE documents of each language, fewer where that made more than SAMPLE: of each of that many hash
+classes the document with the smallest hash. Everything else is fitted and scored on whole texts.
 
 Defined results: null text, and text without a letter, is `und` with score 0; with nothing to learn from, every text is; repeated
 rows are scored alike; documents with a null lang aren't learned from; a null doc_id counts as the empty string in the split;
@@ -16,20 +16,20 @@ an empty table gives no rows; other columns don't matter.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the training sample and of the landmarks, per language; the n-gram space; the ridge.
-PER_LANGUAGE, LANDMARKS, SPACE, RIDGE = 400, 48, 1 << 17, 1e-2
-#: Most languages that are learned, the most frequent first; it bounds what the driver and the workers hold.
-LANGUAGES = 512
+from .common import cut
+
+#: Bounds of the training sample, per language and in all (4 of each language at least), and so of the landmarks; the n-gram space; the ridge.
+PER_LANGUAGE, SAMPLE, LANDMARKS, ALL_LANDMARKS, SPACE, RIDGE = 400, 40_000, 48, 4096, 1 << 17, 1e-2
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def present(text: str, flags: np.ndarray) -> np.ndarray:
@@ -51,13 +51,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """lang, text of the sample: one scan that aggregates to PER_LANGUAGE rows per language, then the texts of those."""
+    """lang, text of the sample: one scan that aggregates to a row per language and hash class, then the texts of those."""
     key = F.struct(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").alias("doc_id"))
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    picked = rows.groupBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PER_LANGUAGE)).alias("class")).agg(F.min(key).alias("key"))
-    # Bound: PER_LANGUAGE x LANGUAGES ids.
-    picked = picked.select("lang", F.col("key.doc_id").alias("doc_id")).limit(PER_LANGUAGE * LANGUAGES)
-    return rows.select("doc_id", "lang", "text").join(F.broadcast(picked), ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"])
+    most = max(4, min(PER_LANGUAGE, SAMPLE // max(1, rows.select("lang").distinct().count())))
+    picked = rows.groupBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(most)).alias("class")).agg(F.min(key).alias("key"))
+    # Adaptive execution broadcasts these ids if they are found to be few.
+    picked = picked.select("lang", F.col("key.doc_id").alias("doc_id"))
+    return rows.select("doc_id", "lang", "text").join(picked, ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"])
 
 
 def fitted(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -69,37 +70,51 @@ def fitted(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for batch in batches:
             yield pd.Series([present(x, flags).astype(np.int32) for x in batch])
 
-    frequent = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("lang").count()
-    kept = [r[0] for r in frequent.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not kept:
+    rows = training_rows(docs).select("lang", "doc_id", grams("text").alias("grams")).where(F.size("grams") > 0)
+    names, grams_of = [], []
+    for r in cut(rows).orderBy("lang", F.col("doc_id").cast("string")).toLocalIterator():  # SAMPLE rows, or 4 a language
+        names.append(r["lang"])
+        grams_of.append(np.asarray(r["grams"], np.int32))
+    return fit(names, grams_of)
+
+
+def fit(names: list[str], grams_of: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """The languages, and the (SPACE, languages) matrix that scores presence vectors, of labelled presence vectors. What it holds: the
+    vectors as places, the kernel values (rows x landmarks), the matrix."""
+    langs = sorted(set(names))
+    if not langs:
         return [], np.zeros((SPACE, 0), np.float32)
-    rows = training_rows(docs.where(F.col("lang").isin(kept)) if len(kept) == LANGUAGES else docs)
-    rows = rows.select("lang", "doc_id", grams("text").alias("grams")).where(F.size("grams") > 0).collect()
-    rows.sort(key=lambda r: (r["lang"], str(r["doc_id"])))
-    langs = sorted({r["lang"] for r in rows})
-    grams_of = [np.asarray(r["grams"]) for r in rows]
-    y = np.array([langs.index(r["lang"]) for r in rows])
+    place = {x: k for k, x in enumerate(langs)}
+    y = np.array([place[x] for x in names])
     # Landmarks evenly over each language's sample.
-    most = max(2, min(LANDMARKS, 4096 // len(langs)))
+    most = max(2, min(LANDMARKS, ALL_LANDMARKS // len(langs)))
     marks = np.concatenate([(own := np.flatnonzero(y == k))[np.linspace(0, len(own) - 1, min(most, len(own))).astype(int)] for k in range(len(langs))])
     norm = np.sqrt([len(g) for g in grams_of])
-    space = np.zeros((len(marks), SPACE), np.float32)
-    for row, i in zip(space, marks, strict=True):
-        row[grams_of[i]] = 1 / norm[i]
-    kernel = np.stack([space[:, g].sum(1) for g in grams_of]) / norm[:, None]
+    kernel = np.empty((len(grams_of), len(marks)), np.float32)
+    flags = np.zeros(SPACE, bool)
+    every, ends = np.concatenate(grams_of), np.cumsum([len(g) for g in grams_of])
+    starts = np.concatenate([[0], ends[:-1]])
+    for j, i in enumerate(marks):
+        flags[grams_of[i]] = True
+        kernel[:, j] = np.add.reduceat(flags[every].astype(np.int32), starts) / (norm * norm[i])
+        flags[grams_of[i]] = False
     values, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
     keep = values > 1e-6 * values[-1]
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     z = kernel @ whiten
-    one = np.eye(len(langs))[y]
-    weight = len(y) / (len(langs) * one.sum(0))  # every language counts alike
-    w = weight[y][:, None]
-    beta = np.linalg.solve(z.T @ (z * w) + RIDGE * len(y) * np.eye(z.shape[1]) / z.shape[1], z.T @ (one * w))
-    return langs, (space.T @ (whiten @ beta).astype(np.float32)).astype(np.float32)
+    share = len(y) / (len(langs) * np.bincount(y))  # every language counts alike
+    one = np.zeros((len(y), len(langs)))
+    one[np.arange(len(y)), y] = share[y]
+    beta = np.linalg.solve(z.T @ (z * share[y][:, None]) + RIDGE * len(y) * np.eye(z.shape[1]) / z.shape[1], z.T @ one)
+    by_mark = (whiten @ beta).astype(np.float32)
+    matrix = np.zeros((SPACE, len(langs)), np.float32)
+    for i, row in zip(marks, by_mark, strict=True):
+        matrix[grams_of[i]] += row / norm[i]
+    return langs, matrix
 
 
 def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> Column:
-    """A struct (lang_pred, score) for a text column. The model is broadcast: SPACE x languages floats, LANGUAGES at most."""
+    """A struct (lang_pred, score) for a text column. The model is broadcast: SPACE x languages floats, half a MB for each language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

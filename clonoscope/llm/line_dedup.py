@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, drop
 
 #: Code points of a shingle; least similarity in per cent.
 SHINGLE, T100 = 5, 75
@@ -103,6 +103,7 @@ def lists(signed: DataFrame) -> DataFrame:
         posted = signed.select("rep", F.explode(f"bands{turn}").alias("value"))
         several = cut(posted.groupBy("value").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").drop("last"))
         found.append(cut(posted.join(several, "value").select("value", "rep", "first")))
+        drop(several)
     return reduce(DataFrame.union, found)
 
 
@@ -112,7 +113,7 @@ def side(df: DataFrame, name: str, *what: str) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines (rep, line) whose exact similarity is high enough, as links (u, v)."""
-    near = pairs.distinct().join(side(texts, "b", "line"), "b").join(side(texts, "a", "line"), "a")
+    near = pairs.join(side(texts, "b", "line"), "b").join(side(texts, "a", "line"), "a")
     # Arrays of one element name the sets and the sizes, so that each is computed once however often it is used.
     hashes = F.array(F.struct(shingles(F.col("a1")).alias("p"), shingles(F.col("b1")).alias("q")))
     sizes = F.transform(hashes, lambda s: F.struct(F.size(F.array_intersect(s["p"], s["q"])).alias("i"), F.size(F.array_union(s["p"], s["q"])).alias("n")))
@@ -146,14 +147,16 @@ def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """Components (u, v) of the lines in lists (value, rep, first); signed: (rep, s1, s2), texts: (rep, line) of these lines."""
     pairs = listed.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(side(signed, "b", "s1", "s2"), "b").join(side(signed, "a", "s1", "s2"), "a")
-    links = cut(verified(cut(pairs.where(agreeing("a", "b")).select("a", "b")), texts))
+    links = checked(pairs.where(agreeing("a", "b")).select("a", "b"), texts)
     members = listed.join(signed, "rep")
     for turn in range(STARS):
-        members = apart(members.select("value", "rep", "first", "s1", "s2"), components(links))
+        joined = components(links)
+        members = apart(members.select("value", "rep", "first", "s1", "s2"), joined)
+        drop(joined)
         pairs = starred(members.where(F.col("cnt") > SHORT), turn)
         if not turn:
             pairs = pairs.union(paired(members.where(F.col("cnt") <= SHORT)))
-        found = cut(verified(cut(pairs.distinct()), texts))
+        found = checked(pairs, texts)
         if found.isEmpty():
             break
         links = links.union(found)
@@ -161,6 +164,13 @@ def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     return components(links)
 
 
+def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    pairs = cut(pairs.distinct())
+    links = cut(verified(pairs, texts))
+    drop(pairs)
+    return links
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, t, lines): the numbers, from 0, of the lines to remove."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -173,7 +183,10 @@ def removed(docs: DataFrame) -> DataFrame:
     listed = lists(signed)
     reps = cut(listed.select("rep").distinct())
     texts = cut(distinct.select("rep", "line").join(reps, "rep", "left_semi"))
-    joined = linked(listed, cut(signed.select("rep", "s1", "s2").join(reps, "rep", "left_semi")), texts)
+    some = cut(signed.select("rep", "s1", "s2").join(reps, "rep", "left_semi"))
+    drop(signed, reps)
+    joined = linked(listed, some, texts)
+    drop(some, texts)
     known = distinct.select("rep", "h1", "h2", "first", "cnt").join(joined.withColumnRenamed("u", "rep"), "rep", "left")
     known = known.join(joined.select(F.col("v").alias("rep"), F.lit(True).alias("root")).distinct(), "rep", "left")
     known = known.where("cnt > 1 OR v IS NOT NULL OR root").withColumn("comp", F.coalesce("v", "rep"))

@@ -10,7 +10,7 @@ about `SLICE` rows, and only the counts are summed up in order.
 
 Defined results: null text has size 0; a null source is a source of its own, after all others; the empty string is one, too;
 repeated rows are sampled as rows of their own; a source without words has target 0 and takes nothing; an empty table
-gives no rows. Columns size, source_size, target, copies and taken of the input, if any, are replaced.
+gives no rows. Columns of the input travel as one value apart from those made here, so no name clashes and none is changed.
 """
 
 from __future__ import annotations
@@ -52,18 +52,19 @@ def targets(sizes: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
 
 
 def mixed(docs: DataFrame, most: int = 3, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
-    """docs (doc_id, text, source, ...), or their columns keep, with the columns size, source_size, target, copies and taken."""
-    docs = docs.drop(*MADE)
-    names = keep or docs.columns
+    """For docs (doc_id, text, source, ...) the columns row (a struct of their columns, or of those in keep), doc_id, size, source_size,
+    target, copies and taken."""
+    row = F.struct(*(F.col(f"`{x}`") for x in keep or docs.columns)).alias("row")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    docs = docs.withColumns({"size": size, "__skey": F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))})
+    skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
+    docs = docs.select(row, "doc_id", size.alias("size"), skey.alias("__skey"))
     digits = F.col("size").cast("string")
     # The class is the size's first two digits.
     docs = docs.withColumns({
         "__class": F.rpad(F.substring(digits, 1, 2), F.length(digits), F.lit("0")).cast("long"),
         "__h": md5_u32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
     })
-    docs = cut(docs.select(*{*names, "doc_id"}, "size", "__skey", "__class", "__h"))  # words are counted once
+    docs = cut(docs)  # words are counted once
     classes = docs.groupBy("__skey", "__class").agg(F.count("*").alias("__n"), F.sum("size").alias("__words"))
     sources = targets(classes.groupBy("__skey").agg(F.sum("__words").alias("source_size")).withColumnRenamed("__skey", "skey"), most, seed)
     classes = classes.withColumns({
@@ -86,18 +87,17 @@ def mixed(docs: DataFrame, most: int = 3, seed: int = 0, keep: list[str] | None
     docs = docs.withColumns({"__place": place, "__each": F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))})
     crossed = F.floor(F.col("__each") * F.col("__place") + F.col("__offset")) - F.floor(F.col("__each") * (F.col("__place") - 1) + F.col("__offset"))
     docs = docs.withColumn("copies", F.least(crossed, F.lit(most)).cast("int"))
-    return docs.withColumn("taken", F.col("copies") * F.col("size")).select(*names, *MADE)
+    return docs.withColumn("taken", F.col("copies") * F.col("size")).select("row", "doc_id", *MADE)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs (doc_id, text, source)."""
-    return mixed(docs.select("doc_id", "text", "source"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def sampled(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it, in the columns of docs."""
-    names = docs.columns
-    return mixed(docs).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    return mixed(docs).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 SQL = r"""

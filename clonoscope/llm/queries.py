@@ -20,5 +20,6 @@ QUERIES = {
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.SQL,
+    "op8_near_dedup": near_dedup.SQL,
     "op10_mixing": mixing.SQL,
 }

@@ -473,6 +473,55 @@ def test_suffix_dedup_edges(nothing, with_null):
     assert [r[:4] for r in collected(suffix_dedup.suffix_dedup(with_null))] == [(7, 61, 0, 0), (None, 61, 61, 1), (None, 61, 61, 1)]
 
 
+def test_near_dedup_in_sql(docs, rows):
+    assert collected(near_dedup.near_dedup(docs)) == oracle(near_dedup.SQL, rows)
+
+
+CLASHES = "doc_id long, text string, lang string, source string, size long, target string, __skey int, __class int, row string, made int, gone long, key int, hash string, copies int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 999, "t", 1, 2, "r", 3, 4, 5, "h", 6) for i, t, s in rows], CLASHES)
+
+
+def test_mixing_leaves_clashing_columns_alone(spark):
+    rows = [(i, "word " * (i % 7 + 1), "ab"[i % 2]) for i in range(60)]
+    out = mixing.sampled(clashing(spark, rows))
+    assert out.columns == [x.split()[0] for x in CLASHES.split(", ")]
+    assert {tuple(r)[4:] for r in out.collect()} == {(999, "t", 1, 2, "r", 3, 4, 5, "h", 6)}
+    plain = spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, source string")
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in mixing.sampled(plain).collect())
+
+
+def test_language_letters_and_long_texts(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["the and of", "a house on the hill", "when the wind blows", "some other words here", "and so it was"] * 6)]
+    rows += [(900, "½ ² ① Ⅷ 3", None), (901, "the wind and the hill " * 20_000, None), (902, "the wind and the hill " * 20_000, None), (903, "ª", None)]
+    out = {r["doc_id"]: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert tuple(out[900])[2:] == ("und", 0.0) and out[903]["lang_pred"] == "en"
+    assert out[901]["lang_pred"] == "en" and out[901]["score"] == out[902]["score"]
+
+
+def test_language_model_against_dense_kernel_ridge(monkeypatch):
+    """With a landmark for each text the features span the kernel exactly: the same as kernel ridge regression on the dense kernel."""
+    rnd = random.Random(4)
+    texts = [(k, " ".join(words(rnd, 12, k * 2 + "aeiou"))) for k in ("xyz", "pqr", "lmn") for _ in range(15)]
+    flags = np.zeros(language_id.SPACE, bool)
+    grams = [language_id.present(t, flags) for _, t in texts]
+    langs, matrix = language_id.fit([k for k, _ in texts], grams)
+    presence = np.zeros((len(texts), language_id.SPACE))
+    for row, g in zip(presence, grams, strict=True):
+        row[g] = 1 / np.sqrt(len(g))
+    kernel = presence @ presence.T
+    target = np.array([[k == x for x in langs] for k, _ in texts], float)
+    alpha = np.linalg.solve(kernel + language_id.RIDGE * np.eye(len(texts)), target)
+    new = [" ".join(words(rnd, 9, k * 2 + "aeiou")) for k in ("xyz", "pqr", "lmn") for _ in range(8)]
+    for t in new:
+        g = language_id.present(t, flags)
+        v = np.zeros(language_id.SPACE)
+        v[g] = 1 / np.sqrt(len(g))
+        assert np.allclose(v @ matrix, presence @ v @ alpha, atol=2e-3)
+
+
 # the pipeline
 
 
@@ -514,3 +563,22 @@ def test_pipeline_decides_row_by_row(spark):
     out = pipeline.without_near_copies(spark, out, "")
     assert out.columns == df.columns
     assert collected(out.select("doc_id", "text")) == sorted([(1, a), (2, b), (None, c), (None, d), (3, e), (4, f), (4, f)], key=repr)
+
+
+def test_pipeline_stages_on_clashing_names_and_empty_tables(spark, nothing):
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(31)
+    texts = [" ".join(words(rnd, 40)) for _ in range(12)]
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(texts)] + [(None, texts[0], None), (20, None, "a"), (21, "", "b"), (3, texts[3], "b"), (3, texts[3] + " end", "b"), (22, texts[5] + " word", "a")]
+    docs = clashing(spark, rows)
+    for name, stage in pipeline.STAGES:
+        out, none = stage(spark, docs, ""), stage(spark, nothing, "")
+        assert collected(none) == []
+        if name != "byte_bpe":
+            assert out.columns == docs.columns and none.columns == nothing.columns
+            assert all(tuple(r)[4:] == (999, "t", 1, 2, "r", 3, 4, 5, "h", 6) for r in out.collect())
+        else:
+            assert out.count() == len(rows)
+    kept = {(r["doc_id"], r["text"]) for r in pipeline.without_near_copies(spark, docs, "").collect()}
+    assert (22, rows[-1][1]) not in kept and {(i, t) for i, t in enumerate(texts)} - kept <= {(3, texts[3])} and (20, None) in kept
