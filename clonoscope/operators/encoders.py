@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from .joins import bounded
 
 
 def counted(df: DataFrame, words: Column, key: str, reads: str = "unique") -> DataFrame:
@@ -108,7 +109,7 @@ def property_means(df: DataFrame, table: DataFrame, key: str, row: str = "sequen
     letters = df.select(key, row, F.explode(X.kmers(seq, 1)).alias("letter"))
     # The factors of a letter as one map: a row per letter, not per letter and factor.
     factors = table.groupBy("letter").agg(F.map_from_entries(F.collect_list(F.struct("feature", "factor"))).alias("factors"))
-    known = letters.join(F.broadcast(factors), "letter").select(key, row, F.explode("factors").alias("feature", "factor"))
+    known = letters.join(bounded(factors), "letter").select(key, row, F.explode("factors").alias("feature", "factor"))
     return known.groupBy(key, row, "feature").agg(F.avg("factor").alias("v")).groupBy(key, "feature").agg(F.avg("v").alias("value"))
 
 
@@ -122,20 +123,15 @@ def one_hot(seq: Column | str, size: int, alphabet: str, flatten: bool = False)
 
 
 def position_info(seq: Column | str, size: int, middle: int) -> Column:
-    """For each place weights (start, middle, end): the middle is full where a sequence's ends are at least `middle` away, and falls
-    off to the ends in steps of 1 / middle, start and end being the rest on their sides."""
+    """For each place weights (start, middle, end): start and end fall off from 1 at their own end in steps of 1 / middle, down to 0; the
+    middle is full where both ends are at least `middle` away, and falls off to the nearer one in the same steps. In short sequences start
+    and end overlap. Places after the sequence's end have no weight."""
     n = F.length(X.col(seq))
 
     def weights(i: Column) -> Column:
-        near = F.least(i, n - 1 - i)
-        mid = F.least(near.cast("double") / middle, F.lit(1.0))
-        inside = i < n
-        first = i * 2 < n
-        return F.array(
-            F.when(inside & first, 1 - mid).otherwise(0.0),
-            F.when(inside, mid).otherwise(0.0),
-            F.when(inside & ~first, 1 - mid).otherwise(0.0),
-        )
+        left, right = i.cast("double") / middle, (n - 1 - i).cast("double") / middle
+        parts = (F.greatest(1 - left, F.lit(0.0)), F.least(left, right, F.lit(1.0)), F.greatest(1 - right, F.lit(0.0)))
+        return F.array(*[F.when(i < n, x).otherwise(0.0) for x in parts])
 
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), weights)
 
@@ -158,6 +154,16 @@ def word2vec(df: DataFrame, key: str, seq: str = "seq", k: int = 3, size: int =
     return parts.groupBy(key).agg(*[F.sum(F.col("n") * F.get("vector", i)).alias(f"v{i}") for i in range(size)])
 
 
+def example_weights(examples: DataFrame, weights: DataFrame, key: str, default: float | None = None) -> DataFrame:
+    """examples with `weight` from a table (key, weight); without a default, examples that the table lacks are an error."""
+    out = examples.join(weights.select(key, F.col("weight").cast("double").alias("weight")), key, "left")
+    if default is not None:
+        return out.na.fill(default, ["weight"])
+    if out.where("weight IS NULL").limit(1).count():
+        raise ValueError("examples without a weight")
+    return out
+
+
 def precomputed(df: DataFrame, embeddings: DataFrame, key: str, row: str = "sequence_id") -> DataFrame:
     """Mean-pooled embeddings from a table (row id, embedding) that a language model has filled: (key, feature, value)."""
     joined = df.select(key, row).join(embeddings, row).select(key, F.posexplode("embedding").alias("feature", "v"))

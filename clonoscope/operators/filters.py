@@ -36,7 +36,9 @@ def top_n(df: DataFrame, column: str, n: int, key: str) -> DataFrame:
 
 def random_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows by hash of their key: the same for the same seed."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    from .splits import shuffled
+
+    return df.orderBy(*shuffled(key, seed)).limit(n)
 
 
 def metadata_filter(sequences: DataFrame, metadata: DataFrame, spec: dict, key: str = "repertoire_id") -> tuple[DataFrame, DataFrame]:
@@ -109,14 +111,21 @@ def not_empty(df: DataFrame, what: str = "the result") -> DataFrame:
 
 
 def receptors(df: DataFrame, pair: tuple[str, str] | None = None, order: list[Column] | None = None) -> DataFrame:
-    """Cells with two chains, one row each: of several rows of a cell and locus the best by umi and duplicate counts."""
+    """Cells with two chains, one row each: of several rows of a cell and locus the best by umi, consensus and duplicate counts."""
     if pair:
         df = df.where(F.col("locus").isin(list(pair)))
-    order = order or [F.col("umi_count").desc_nulls_last(), F.col("duplicate_count").desc_nulls_last(), F.col("sequence_id")]
+    counts = [c for c in ("umi_count", "consensus_count", "duplicate_count") if c in df.columns]
+    order = order or [*(F.col(c).desc_nulls_last() for c in counts), F.col("sequence_id")]
     best = df.withColumn("__r", F.row_number().over(W.partitionBy("cell_id", "locus").orderBy(*order))).where("__r = 1").drop("__r")
     return best.withColumn("__n", F.count("*").over(W.partitionBy("cell_id"))).where("__n = 2").drop("__n")
 
 
+def in_order(df: DataFrame, order: str, cell: str = "cell_id") -> DataFrame:
+    """Rows sorted by the place (a column) at which their cell is first, then by locus: the chains of a receptor side by side."""
+    first = df.groupBy(cell).agg(F.min(order).alias("__first"))
+    return df.join(first, cell).orderBy("__first", cell, "locus", order).drop("__first")
+
+
 def paired(df: DataFrame, columns: list[str], cell: str = "cell_id") -> DataFrame:
     """One row per cell of two chains: columns as c_1 and c_2, by locus."""
     number = F.row_number().over(W.partitionBy(cell).orderBy("locus", *columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,47 @@ def match_counts(df: DataFrame, reference: DataFrame, most: int = 0, reads: str
     return found.join(total, key).withColumn("matches", F.col("matches") / F.col("__total")).drop("__total")
 
 
+def receptor_match_counts(df: DataFrame, receptors: DataFrame, most: dict[str, int], reads: str = "unique", genes: bool = True, summed: bool = False, normalised: bool = False, seq: str = "sequence_aa", key: str = "repertoire_id") -> DataFrame:
+    """(key, feature, matches): matches of the chains of reference receptors (cell_id, locus, sequence, v_call, j_call), each locus within
+    its own number of edits. The feature is the cell and the locus, or the locus if summed; normalised, an example's matches
+    are relative to all matches of it."""
+    name = F.col("locus") if summed else F.concat_ws(".", "cell_id", "locus")
+    parts = [match_counts(df, receptors.where(F.col("locus") == locus).withColumn("reference_id", name).drop("cell_id"), n, reads, genes, seq=seq, key=key) for locus, n in most.items()]
+    found = reduce(DataFrame.unionByName, parts).withColumnRenamed("reference_id", "feature").groupBy(key, "feature").agg(F.sum("matches").alias("matches"))
+    if not normalised:
+        return found
+    return found.join(found.groupBy(key).agg(F.sum("matches").alias("all_matches")), key).select(key, "feature", (F.col("matches") / F.col("all_matches")).alias("matches"))
+
+
+def with_zeros(found: DataFrame, examples: DataFrame, features: DataFrame, key: str, value: str) -> DataFrame:
+    """found (key, feature, value) with a row of 0 for each example and feature that it lacks; the list of features is broadcast if small."""
+    grid = examples.select(key).distinct().join(bounded(features.select("feature").distinct()))
+    return grid.join(found, [key, "feature"], "left").na.fill(0, [value])
+
+
+def fuzzy_presence(df: DataFrame, most: int = 1, genes: bool = True, indels: bool = False, key: str = "repertoire_id") -> DataFrame:
+    """(seq, v_call, j_call, key): in which repertoires each distinct sequence of df (key, seq, v_call, j_call) is, or one within the distance."""
+    own = df.select(key, "seq", "v_call", "j_call").distinct().withColumn("id", kind_id(genes))
+    kinds = own.dropDuplicates(["id"]).select("id", "seq", *(["v_call", "j_call"] if genes else [F.lit(None).cast("string").alias("v_call"), F.lit(None).cast("string").alias("j_call")]))
+    near = hamming_pairs(kinds, kinds, most, genes, indels).join(own.select(F.col("id").alias("id_2"), key).distinct(), "id_2")
+    near = near.select(F.col("id_1").alias("id"), key).distinct()
+    return near.join(kinds, "id").select("seq", "v_call", "j_call", key)
+
+
+def kind_id(genes: bool = True) -> Column:
+    """One value for a sequence, with its genes if asked."""
+    return F.sha2(F.to_json(F.struct("seq", "v_call", "j_call") if genes else F.struct("seq")), 256)
+
+
+def fuzzy_jaccard(df: DataFrame, most: int = 1, genes: bool = True, key: str = "repertoire_id") -> DataFrame:
+    """(r1, r2, distance): 1 - i / (n1 + n2 - i), at least 0, i being the pairs of like distinct sequences, for pairs that have some."""
+    columns = ["seq", "v_call", "j_call"] if genes else ["seq"]
+    sizes = df.select(key, *columns).distinct().groupBy(key).agg(F.count("*").alias("n"))
+    side = lambda n: sizes.select(F.col(key).alias(f"r{n}"), F.col("n").alias(f"n{n}"))
+    found = overlap(df, most, genes, counts=False, key=key).join(side(1), "r1").join(side(2), "r2")
+    return found.select("r1", "r2", F.greatest(1 - F.try_divide("overlap", F.col("n1") + F.col("n2") - F.col("overlap")), F.lit(0.0)).alias("distance"))
+
+
 def annotated(df: DataFrame, reference: DataFrame, most: int, column: str, genes: bool = False, seq: str = "sequence_aa", row: str = "sequence_id") -> DataFrame:
     """df with the number of reference sequences of equal length within `most` substitutions."""
     pairs = hamming_pairs(df.select(F.col(row).alias("id"), F.col(seq).alias("seq"), "v_call", "j_call"), reference.select(F.col("reference_id").alias("id"), F.col(seq).alias("seq"), "v_call", "j_call"), most, genes)
@@ -66,9 +109,8 @@ def pattern_matches(df: DataFrame, patterns: DataFrame, v_genes: bool = False, s
 def hamming_pairs(a: DataFrame, b: DataFrame, most: int = 1, genes: bool = True, indels: bool = False) -> DataFrame:
     """(id_1, id_2) of sequences (id, seq, v_call, j_call) within `most` substitutions (or one indel), with equal genes if asked.
 
-    Distances 0 and 1 are equi-joins: on the sequence, or on the sequence with one letter masked (an indel: with one letter left
-    out of the longer one). Larger ones are a hash join on the length with the distance as a residual: exact, but quadratic in sequences
-    of one length."""
+    All distances are equi-joins: 0 on the sequence; 1 on the sequence with one letter masked (an indel: with one letter left out of the
+    longer one); larger ones on the length, the place and the letters of one of most + 1 pieces, of which at least one is equal."""
     def side(df: DataFrame, n: int, keys: Column) -> DataFrame:
         return df.select(F.col("id").alias(f"id_{n}"), F.col("seq").alias(f"seq_{n}"), F.col("v_call").alias(f"v_{n}"), F.col("j_call").alias(f"j_{n}"), F.explode(keys).alias(f"key_{n}"))
 
@@ -87,8 +129,10 @@ def hamming_pairs(a: DataFrame, b: DataFrame, most: int = 1, genes: bool = True,
         if indels:
             out = out.union(met(deletions("seq"), same).select("id_1", "id_2")).union(met(same, deletions("seq")).select("id_1", "id_2"))
         return out.distinct()
-    length = F.array(F.length("seq").cast("string"))
-    return met(length, length).where(hamming("seq_1", "seq_2") <= most).select("id_1", "id_2").distinct()
+    n, parts = F.length("seq"), most + 1
+    start = lambda i: F.floor(n * F.lit(i) / parts).cast("int")
+    pieces = F.array(*[F.concat_ws(":", n.cast("string"), F.lit(str(i)), F.substring(F.col("seq"), start(i) + 1, start(i + 1) - start(i))) for i in range(parts)])
+    return met(pieces, pieces).where(hamming("seq_1", "seq_2") <= most).select("id_1", "id_2").distinct()
 
 
 def overlap(df: DataFrame, most: int = 1, genes: bool = True, counts: bool = True, indels: bool = False, key: str = "repertoire_id") -> DataFrame:

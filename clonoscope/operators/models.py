@@ -5,11 +5,15 @@ from __future__ import annotations
 from math import lgamma, log
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..lineage import cut
+from .joins import bounded
+
 
 def vectors(df: DataFrame, features: str = "features") -> DataFrame:
     """df with an array column as a vector."""
@@ -27,8 +31,6 @@ def classifier(kind: str, label: str = "label", features: str = "features", **pa
 def knn(train: DataFrame, test: DataFrame, k: int, key: str = "id", label: str = "label") -> DataFrame:
     """(key, label): the most frequent label among the k training rows (id, label, features) nearest to each test row. The training side
     is broadcast if small; each test row keeps k candidates per training partition before it meets them."""
-    from .joins import bounded
-
     t = bounded(train.select(F.col(key).alias("t_id"), F.col(label).alias("t_label"), F.col("features").alias("t_x")))
     d = F.aggregate(F.zip_with("features", "t_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     near = test.select(key, "features").join(t, F.lit(True)).select(key, "t_id", "t_label", d.alias("d"))
@@ -100,27 +102,49 @@ def silhouette(df: DataFrame, features: str = "features") -> float:
 
 
 def linked_clusters(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, cluster): single linkage, i.e. connected components over pairs (id_1, id_2); the cluster is its smallest id. Labels take the least
-    neighbour's, and then the label's own label, until none changes."""
-    edges = pairs.select(F.col("id_1").alias("a"), F.col("id_2").alias("b"))
-    edges = edges.union(edges.select("b", "a")).where("a <> b").distinct().persist()
-    labels = ids.select("id", F.col("id").alias("cluster")).checkpoint() if ids.sparkSession.sparkContext.getCheckpointDir() else ids.select("id", F.col("id").alias("cluster"))
-    while True:
-        least = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("cluster").alias("m"))
-        moved = labels.join(least, F.col("id") == F.col("a"), "left").select("id", F.least("cluster", "m").alias("c"), F.col("cluster").alias("old"))
-        jump = moved.select(F.col("id").alias("j"), F.col("c").alias("jc"))
-        fresh = moved.join(jump, F.col("c") == F.col("j"), "left").select("id", F.least("c", "jc").alias("cluster"), "old")
-        fresh = fresh.checkpoint() if ids.sparkSession.sparkContext.getCheckpointDir() else fresh.persist()
-        if fresh.where("cluster <> old").isEmpty():
-            edges.unpersist()
-            return fresh.select("id", "cluster")
-        labels = fresh.select("id", "cluster")
+    """(id, cluster): single linkage, i.e. connected components over pairs (id_1, id_2); the cluster is its smallest id. Large and small stars
+    in turn: larger, then smaller neighbours are linked to the smallest one, until nothing changes, which takes a number
+    of rounds in the logarithm of the vertices; each round's lineage is cut."""
+    links = cut(pairs.select(F.greatest("id_1", "id_2").alias("u"), F.least("id_1", "id_2").alias("v")).where("u <> v").distinct())
+    state = None
+    while (now := links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()) != state and now[0]:
+        state = now
+        both = links.union(links.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("m < u")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        links = cut(large.join(least, "u").where("v > m").select("v", "m").union(least).toDF("u", "v").distinct())
+    return ids.select("id").join(links.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("cluster"))
+
+
+def density_clusters(pairs: DataFrame, ids: DataFrame, least: int = 5) -> DataFrame:
+    """(id, cluster): DBSCAN over pairs (id_1, id_2) of ids within the distance. Ids with at least `least` neighbours, themselves counted, are
+    cores; linked cores are a cluster, named by its smallest core; other ids join the smallest cluster of a core next to
+    them, or none (NULL)."""
+    both = pairs.select("id_1", "id_2").union(pairs.select("id_2", "id_1")).where("id_1 <> id_2").distinct()
+    cores = cut(both.groupBy(F.col("id_1").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select("id"))
+    if least <= 1:
+        cores = ids.select("id")
+    side = lambda n: cores.select(F.col("id").alias(f"id_{n}"))
+    inner = cut(linked_clusters(both.join(side(1), "id_1").join(side(2), "id_2"), cores))
+    border = both.join(inner.select(F.col("id").alias("id_2"), "cluster"), "id_2").groupBy(F.col("id_1").alias("id")).agg(F.min("cluster").alias("near"))
+    return ids.select("id").join(inner, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near").alias("cluster"))
+
+
+def knn_precomputed(distances: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(id, label): the most frequent label (the nearest one's at a tie) of the k ids nearest to each id; distances (id, other, distance) of
+    ids to those with a label (id, label)."""
+    own = labels.select(F.col("id").alias("other"), "label")
+    place = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
+    near = distances.join(own, "other").withColumn("r", place).where(F.col("r") <= k)
+    votes = near.groupBy("id", "label").agg(F.count("*").alias("n"), F.min("r").alias("first"))
+    return votes.groupBy("id").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("label"))
 
 
 def nearest_centroid(centroids: DataFrame, df: DataFrame, key: str = "id") -> DataFrame:
     """(key, cluster): clusters (cluster, features) carried over to other rows."""
     d = F.aggregate(F.zip_with("features", "c_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = df.select(key, "features").join(F.broadcast(centroids.select("cluster", F.col("features").alias("c_x"))), F.lit(True))
+    near = df.select(key, "features").join(bounded(centroids.select("cluster", F.col("features").alias("c_x"))), F.lit(True))
     return near.groupBy(key).agg(F.min_by("cluster", F.struct(d.alias("d"), "cluster")).alias("cluster"))
 
 
@@ -135,25 +159,26 @@ class BetaBinomial:
     Fitted on the driver from one row per example by Newton-free coordinate search on the log-likelihood."""
 
     @staticmethod
-    def _log_likelihood(a: float, b: float, k: np.ndarray, n: np.ndarray) -> float:
-        beta = lambda x, y: np.array([lgamma(p) + lgamma(q) - lgamma(p + q) for p, q in zip(np.broadcast_to(x, k.shape), np.broadcast_to(y, k.shape), strict=True)])
-        return float((beta(k + a, n - k + b) - beta(np.float64(a), np.float64(b))).sum())
+    def _terms(a: float, b: float, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The log-likelihood of each pair of counts."""
+        beta = lambda x, y: np.array([lgamma(p) + lgamma(q) - lgamma(p + q) for p, q in zip(x, y, strict=True)])
+        return beta(k + a, n - k + b) - beta([a], [b])
 
     def fit(self, rows: DataFrame, label: str = "positive") -> BetaBinomial:
+        """From the distinct pairs of counts and how often they are."""
         data = rows.groupBy(label, "relevant", "total").agg(F.count("*").alias("w")).collect()
         self.params, self.prior = {}, {}
         total = sum(r["w"] for r in data)
         for value in (True, False):
             own = [r for r in data if bool(r[label]) == value]
-            self.prior[value] = sum(r["w"] for r in own) / total
-            k = np.repeat([r["relevant"] for r in own], [r["w"] for r in own]).astype(float)
-            n = np.repeat([r["total"] for r in own], [r["w"] for r in own]).astype(float)
+            k, n, w = (np.array([r[x] for r in own], float) for x in ("relevant", "total", "w"))
+            self.prior[value] = w.sum() / total
+            value_of = lambda p: float((w * self._terms(*np.exp(p), k, n)).sum())  # noqa: B023, E731
             best, step = np.array([0.0, 3.0]), 1.0
-            score = self._log_likelihood(*np.exp(best), k, n)
+            score = value_of(best)
             while step > 1e-4:
-                moves = [best + step * np.array(m) for m in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1))]
-                tried = [(self._log_likelihood(*np.exp(np.clip(m, -12, 12)), k, n), tuple(np.clip(m, -12, 12))) for m in moves]
-                top = max(tried)
+                moves = [np.clip(best + step * np.array(m), -12, 12) for m in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1))]
+                top = max((value_of(m), tuple(m)) for m in moves)
                 if top[0] > score + 1e-9:
                     score, best = top[0], np.array(top[1])
                 else:
@@ -161,15 +186,20 @@ class BetaBinomial:
             self.params[value] = tuple(np.exp(best))
         return self
 
-    def log_odds(self, k: float, n: float) -> float:
-        one = lambda v: log(self.prior[v]) + self._log_likelihood(*self.params[v], np.array([float(k)]), np.array([float(n)]))
+    def log_odds(self, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+        one = lambda v: log(self.prior[v]) + self._terms(*self.params[v], np.asarray(k, float), np.asarray(n, float))
         return one(True) - one(False)
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """rows with log_odds and guess; each distinct pair of counts is scored once."""
-        kinds = rows.select("relevant", "total").distinct()
-        score = F.udf(lambda k, n: float(self.log_odds(k, n)), "double")
-        return rows.join(kinds.withColumn("log_odds", score("relevant", "total")), ["relevant", "total"]).withColumn("guess", (F.col("log_odds") > 0).cast("int"))
+        """rows with log_odds and guess; each distinct pair of counts is scored once, in batches."""
+        model = self
+
+        @F.pandas_udf("double")
+        def score(k: pd.Series, n: pd.Series) -> pd.Series:
+            return pd.Series(model.log_odds(k.to_numpy(), n.to_numpy()))
+
+        kinds = rows.select("relevant", "total").distinct().withColumn("log_odds", score("relevant", "total"))
+        return rows.join(kinds, ["relevant", "total"]).withColumn("guess", (F.col("log_odds") > 0).cast("int"))
 
 
 def greedy_rules(df: DataFrame, truth: str, features: list[str], most: int = 5, metric: str = "f1", gain: float = 0.0) -> list[str]:
@@ -228,11 +258,27 @@ def pwm_sample(pwm: DataFrame, lengths: DataFrame, n: int, seed: int = 0) -> Dat
     ids = ids.select("id", pick(F.col("steps"), u("id"), "length").alias("length"))
     letters = cumulative(pwm, ["length", "position"], "letter").groupBy("length", "position").agg(F.sort_array(F.collect_list(F.struct("hi", "letter"))).alias("steps"))
     matrix = letters.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("position", "steps"))).alias("rows"))
-    drawn = ids.join(F.broadcast(matrix), "length")
+    drawn = ids.join(bounded(matrix), "length")
     seq = F.array_join(F.transform("rows", lambda r: pick(r["steps"], u("id", r["position"]), "letter")), "")
     return drawn.select("id", seq.alias("seq"))
 
 
+def save_pwm(pwm: DataFrame, lengths: DataFrame, path: str) -> None:
+    """A fitted model as two tables."""
+    pwm.write.mode("overwrite").parquet(f"{path}/pwm")
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def apply_pwm(spark: SparkSession, path: str, n: int, seed: int = 0) -> DataFrame:
+    """(id, seq): n sequences of a stored model."""
+    return pwm_sample(spark.read.parquet(f"{path}/pwm"), spark.read.parquet(f"{path}/lengths"), n, seed)
+
+
+def with_origin(original: DataFrame, generated: DataFrame, column: str = "generated") -> DataFrame:
+    """Both tables as one, with where each row is from."""
+    return original.withColumn(column, F.lit(False)).unionByName(generated.withColumn(column, F.lit(True)), allowMissingColumns=True)
+
+
 def kmer_model(df: DataFrame, k: int, seq: str = "seq", pseudo: float = 1.0) -> DataFrame:
     """(kmer, log_p): smoothed log-probabilities of k-mers over the seen ones."""
     from ..functions.text import kmers

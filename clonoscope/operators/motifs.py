@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +37,8 @@ def name(positions: str = "positions", letters: str = "letters") -> Column:
 
 def occurrences(df: DataFrame, motifs: DataFrame, seq: str = "seq", key: str = "sequence_id") -> DataFrame:
     """(key, motif): which sequences have which of motifs (motif, positions, letters). A letter group is tested as a set, a lower-case letter as
-    any other. The list of motifs is broadcast only if it is small."""
+    any other. Motifs meet the sequences by their first position and letter, then the other ones are tested; only motifs that
+    begin with a lower-case letter are tested on all sequences, as a broadcast list if it is small."""
     from .joins import bounded
 
     def ok(at: Column, letter: Column) -> Column:
@@ -48,7 +47,13 @@ def occurrences(df: DataFrame, motifs: DataFrame, seq: str = "seq", key: str = "
         return F.exists(one, lambda x: x)
 
     test = F.forall(F.zip_with("positions", "letters", ok), lambda x: x)
-    return df.select(key, seq).join(bounded(motifs.select("motif", "positions", "letters")), test).select(key, "motif")
+    listed = motifs.select("motif", "positions", "letters")
+    first = F.element_at("letters", 1)
+    plain = listed.where(first == F.upper(first)).select("*", F.element_at("positions", 1).alias("position"), F.explode(F.split(first, "")).alias("letter"))
+    rows = df.select(key, seq, F.posexplode(kmers(seq, 1)).alias("position", "letter"))
+    found = rows.join(plain, ["position", "letter"]).where(test).select(key, "motif")
+    other = listed.where(first != F.upper(first))
+    return found if other.isEmpty() else found.union(df.select(key, seq).join(bounded(other), test).select(key, "motif"))
 
 
 def confusion(df: DataFrame, motifs: DataFrame, label: str = "positive", seq: str = "seq", key: str = "sequence_id") -> DataFrame:
@@ -73,11 +78,9 @@ def generalised(motifs: DataFrame) -> DataFrame:
     rest = F.transform("letters", lambda x, i: F.when(i == F.col("flexible"), F.lit("*")).otherwise(x))
     groups = rows.select("positions", rest.alias("rest"), "flexible", "letter").groupBy("positions", "rest", "flexible").agg(F.sort_array(F.collect_set("letter")).alias("some")).where(F.size("some") > 1)
 
-    @F.udf("array<string>")
-    def subsets(some: list[str]) -> list[str]:
-        return ["".join(c) for n in range(2, len(some) + 1) for c in combinations(some, n)]
-
-    out = groups.withColumn("letter", F.explode(subsets("some")))
+    grow = lambda sets, x: F.concat(sets, F.transform(sets, lambda s: F.concat(s, F.array(x))))
+    subsets = F.aggregate("some", F.array(F.array().cast("array<string>")), grow)
+    out = groups.withColumn("letter", F.explode(F.transform(F.filter(subsets, lambda s: F.size(s) > 1), lambda s: F.array_join(s, ""))))
     letters = F.transform("rest", lambda x, i: F.when(i == F.col("flexible"), F.col("letter")).otherwise(x))
     return out.select("positions", letters.alias("letters")).select(name().alias("motif"), "positions", "letters").distinct()
 
@@ -101,13 +104,23 @@ def gap_shares(motifs: DataFrame) -> DataFrame:
     return out.select("size", "gap", (F.col("n") / F.sum("n").over(W.partitionBy("size"))).alias("share"))
 
 
-def precision_by_support(train: DataFrame, test: DataFrame) -> DataFrame:
-    """(training_tp, precision, smoothed): of motifs' confusion counts, the combined test precision per training TP, and its mean over a window
-    that widens until it holds a few motifs on either side, weighted by their number."""
+def precision_by_support(train: DataFrame, test: DataFrame, least: int = 50, spread: float = 5.0, base: float = 10.0) -> DataFrame:
+    """(training_tp, precision, smoothed): of motifs' confusion counts, the combined test precision per training TP, and its mean over all of them
+    with log-normal weights (shape 0.1, mode side at the own TP) whose scale is spread * r + base; r is the least whole distance in TP
+    within which `least` motifs are, or all. The array that each row sees has an element per distinct TP, not per motif."""
     joined = train.select("motif", F.col("tp").alias("training_tp")).join(test.select("motif", "tp", "fp"), "motif")
     rows = joined.groupBy("training_tp").agg(F.sum("tp").cast("double").alias("t"), F.sum("fp").cast("double").alias("f"), F.count("*").alias("motifs"))
-    precision = F.coalesce(F.try_divide("t", F.col("t") + F.col("f")), F.lit(0.0))
-    rows = rows.withColumns({"precision": precision, "bin": F.floor(F.log2("training_tp"))})
-    near = rows.select("bin", "t", "f").groupBy("bin").agg(F.sum("t").alias("bt"), F.sum("f").alias("bf"))
-    smoothed = F.coalesce(F.try_divide("bt", F.col("bt") + F.col("bf")), F.lit(0.0))
-    return rows.join(near, "bin").select("training_tp", "precision", smoothed.alias("smoothed"))
+    rows = rows.withColumn("precision", F.coalesce(F.try_divide("t", F.col("t") + F.col("f")), F.lit(0.0)))
+    every = rows.agg(F.sort_array(F.collect_list(F.struct("training_tp", "precision", "motifs"))).alias("every"), F.least(F.sum("motifs"), F.lit(least)).alias("need"))
+    rows = rows.crossJoin(F.broadcast(every))  # one row
+    within = lambda r: F.aggregate("every", F.lit(0).cast("long"), lambda n, x: n + F.when(F.abs(x["training_tp"] - F.col("training_tp")) <= r, x["motifs"]).otherwise(0))
+    far = F.array_sort(F.transform("every", lambda x: F.abs(x["training_tp"] - F.col("training_tp"))))
+    rows = rows.withColumn("r", F.get(F.filter(far, lambda r: within(r) >= F.col("need")), 0))
+    rows = rows.withColumn("scale", F.col("r") * spread + base)
+
+    def weight(x: Column) -> Column:
+        z = (x["training_tp"] - F.col("training_tp")) / F.col("scale") + 1
+        return F.when(z > 0, F.exp(-F.pow(F.ln(F.when(z > 0, z)), 2) / 0.02) / F.when(z > 0, z)).otherwise(0.0)
+
+    total = lambda f: F.aggregate(F.transform("every", f), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("training_tp", "precision", (total(lambda x: weight(x) * x["precision"]) / total(weight)).alias("smoothed"))

@@ -113,3 +113,36 @@ def receptor_matches(matches: DataFrame, receptors: DataFrame) -> DataFrame:
 def near_items(a: DataFrame, b: DataFrame, most: int = 1) -> DataFrame:
     """Sequences (id, seq, v_call, j_call) of a that have one of b within the distance."""
     return a.join(J.hamming_pairs(a, b, most).select(F.col("id_1").alias("id")).distinct(), "id", "left_semi")
+
+
+def top_coefficients(df: DataFrame, n: int, value: str = "value") -> DataFrame:
+    """The n rows (feature, value) that are farthest from 0, ties by feature."""
+    return df.orderBy(F.abs(value).desc(), "feature").limit(n)
+
+
+def exploded_label(df: DataFrame, label: str, separator: str = ",") -> DataFrame:
+    """A row for each element of a label that is a list, or a text of elements."""
+    column = F.col(label) if df.schema[label].dataType.typeName() == "array" else F.transform(F.split(label, separator), lambda x: F.trim(x))
+    return df.withColumn(label, F.explode(column))
+
+
+def index_by_label(scores: DataFrame, by: list[str], score: str = "score") -> DataFrame:
+    """(by..., mean, sd, scores): a validity index over the runs of each label, the values in ascending order."""
+    return scores.groupBy(*by).agg(F.avg(score).alias("mean"), F.stddev_samp(score).alias("sd"), F.sort_array(F.collect_list(score)).alias("scores"))
+
+
+def with_feature_totals(examples: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """(key, feature, value, total): an example's values, 0 for the features that it lacks, with each feature's sum over all examples."""
+    totals = values.groupBy("feature").agg(F.sum("value").alias("total"))
+    grid = examples.select(key).distinct().join(J.bounded(totals))
+    return grid.join(values.select(key, "feature", "value"), [key, "feature"], "left").na.fill(0.0, ["value"]).select(key, "feature", "value", "total")
+
+
+def matches_table(examples: DataFrame, labels: list[str], counts: DataFrame, key: str = "repertoire_id", value: str = "matches") -> DataFrame:
+    """(key, labels..., feature, matches): examples with their labels and non-zero match counts; examples without any have NULLs."""
+    return examples.select(key, *labels).join(counts.select(key, "feature", value), key, "left")
+
+
+def relevant_table(items: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Relevant sequences for export, their columns renamed; columns that aren't named are left out."""
+    return items.select(*[F.col(a).alias(b) for a, b in names.items()]).distinct()

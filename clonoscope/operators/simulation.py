@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import rolling_match
+from ..lineage import cut
 from ..schema import AMINO_ACIDS
 from .models import hashed_uniform
 
@@ -85,10 +86,10 @@ class Seed:
                     out.append(("".join(body), len(plain) + g))
         return out
 
-    def instances(self) -> list[str]:
-        """The strings without substitutions, gaps filled by the first letter of the alphabet."""
-        gaps = range(self.least_gap, self.most_gap + 1) if "/" in self.letters else [0]
-        return [self.letters.replace("/", self.alphabet[0] * g) for g in gaps]
+    def instances(self) -> list[tuple[str, str, int]]:
+        """What is before and after the gap, and its width, of each width."""
+        left, _, right = self.letters.partition("/")
+        return [(left, right, g) for g in (range(self.least_gap, self.most_gap + 1) if "/" in self.letters else [0])]
 
 
 @dataclass(frozen=True)
@@ -119,19 +120,50 @@ def annotate(df: DataFrame, signals: list[Signal], seq: str = "sequence_aa", cus
 
 
 def implanted(df: DataFrame, signal: Signal, key: str = "sequence_id", seq: str = "sequence_aa", seed: int = 0) -> DataFrame:
-    """Sequences with an instance of the signal laid over a place that a hash picks; shorter ones are left as they are."""
-    options = [x for m in signal.motifs for x in m.instances()]
-    pick = F.get(F.array(*map(F.lit, options)), F.floor(hashed_uniform(key, seed=seed) * len(options)).cast("int"))
-    room = F.length(seq) - F.length("__m") + 1
-    at = F.floor(hashed_uniform(key, seed=seed + 1) * room).cast("int") + 1
-    out = df.withColumn("__m", pick)
-    return out.withColumn(seq, F.when(room > 0, F.overlay(seq, F.col("__m"), at)).otherwise(F.col(seq))).drop("__m")
+    """Sequences with an instance of the signal laid over a place that a hash picks; shorter ones are left as they are. Hashes also pick the
+    motif and the width of its gap, in which the sequence keeps its letters, how many letters are substituted (0 to the motif's most,
+    alike), which, and by which others of the alphabet."""
+    names = ("left", "right", "gap", "most", "alphabet")
+    options = [F.struct(*[F.lit(v).alias(k) for k, v in zip(names, (*x, m.substitutions, m.alphabet), strict=True)]) for m in signal.motifs for x in m.instances()]
+    drawn = lambda n, *by: hashed_uniform(key, *by, seed=seed + n)
+    m = F.col("__m")
+    letters = F.split(F.concat(m["left"], m["right"]), "")
+    count = F.floor(drawn(2) * (m["most"] + 1))
+    places = F.sequence(F.lit(0), F.size(letters) - 1)
+
+    def letter(x: Column, i: Column) -> Column:
+        place = F.size(F.filter(places, lambda j: drawn(3, j) < drawn(3, i)))
+        size = F.length(m["alphabet"])
+        other = F.pmod(F.position(x, m["alphabet"]) + F.floor(drawn(4, i) * (size - 1)).cast("int"), size) + 1
+        return F.when(place < count, F.substring(m["alphabet"], other, F.lit(1))).otherwise(x)
+
+    out = df.withColumn("__m", F.get(F.array(*options), F.floor(drawn(0) * len(options)).cast("int")))
+    out = out.withColumn("__x", F.array_join(F.transform(letters, letter), ""))
+    n = F.length(m["left"])
+    room = F.length(seq) - F.length("__x") - m["gap"] + 1
+    at = F.floor(drawn(1) * room).cast("int") + 1
+    laid = F.overlay(F.col(seq), F.substring(F.col("__x"), F.lit(1), n), at)
+    laid = F.overlay(laid, F.substring(F.col("__x"), n + 1, F.length("__x")), at + n + m["gap"])
+    return out.withColumn(seq, F.when(room > 0, laid).otherwise(F.col(seq))).drop("__m", "__x")
 
 
 def quota(df: DataFrame, signal: str, n: int, skip: int = 0, key: str = "sequence_id") -> DataFrame:
     """n sequences that have a signal, after the first `skip`, in key order."""
-    place = F.row_number().over(W.partitionBy(signal).orderBy(key))
-    return df.where(F.col(signal)).withColumn("__p", place).where(F.col("__p").between(skip + 1, skip + n)).drop("__p")
+    first = df.where(F.col(signal)).orderBy(key).limit(skip + n)  # skip + n rows at most go on
+    return first.withColumn("__p", F.row_number().over(W.orderBy(key))).where(F.col("__p") > skip).drop("__p")
+
+
+def until_quota(make, signal: str, n: int, batch: int = 10_000, most: int = 100, key: str = "sequence_id", keep=None) -> DataFrame:
+    """n sequences that have a signal, from as many batches as it takes, `most` at the utmost: make(i, batch) gives the annotated
+    sequences of batch i; keep, if given, is a condition (of a generation probability, say) that they must meet, too."""
+    got = None
+    for i in range(most):
+        rows = make(i, batch).where(F.col(signal))
+        rows = cut(rows.where(keep) if keep is not None else rows)
+        got = rows if got is None else got.unionByName(rows)
+        if got.count() >= n:
+            return got.orderBy(key).limit(n)
+    raise ValueError(f"{most} batches of {batch} have fewer than {n} sequences with {signal}")
 
 
 def zipf_counts(key: str, most: int = 1000, exponent: float = 2.0, seed: int = 0) -> Column:

@@ -1,4 +1,4 @@
-"""Splits and samples. Random ones order by a hash of the key and a seed: exact in size, and the same again for the same seed."""
+"""Splits and samples. Random ones order by the MD5 of the key and a seed: exact in size, and the same again for the same seed, in any engine."""
 
 from __future__ import annotations
 
@@ -8,17 +8,20 @@ from pyspark.sql import Window as W
 
 
 def shuffled(key: str, seed: int) -> list[Column]:
-    return [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    return [F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)]
 
 
-def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with `place` (from 0) in the order, which begins with a hash. Rows are dealt out by ranges of the hash, counted, and numbered
-    within their range, so that no task sees all of them."""
-    dealt = df.withColumn("__b", F.shiftright(order[0], 48))
-    counts = dealt.groupBy("__b").agg(F.count("*").alias("__n"))
-    ahead = counts.select("__b", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    within = F.row_number().over(W.partitionBy("__b").orderBy(*order))
-    return dealt.join(ahead, "__b").withColumn("place", within - 1 + F.col("__ahead")).drop("__b", "__ahead")
+def ranked(df: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:
+    """df with `place` (from 0) in the order, which begins with a hash; within each value of the columns by. Rows are dealt out by
+    65,536 ranges of the hash, counted, and numbered within their range, so that no task sees all of a value."""
+    by = by or []
+    keys = ["__b", *(f"__k{i}" for i in range(len(by)))]
+    dealt = df.withColumns({"__b": F.conv(F.substring(order[0], 1, 4), 16, 10).cast("int")} | {k: F.to_json(F.struct(c)) for k, c in zip(keys[1:], by, strict=True)})
+    counts = dealt.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = W.partitionBy(*keys[1:]).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    ahead = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    within = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return dealt.join(ahead, keys).withColumn("place", within - 1 + F.col("__ahead")).drop(*keys, "__ahead")
 
 
 def random_split(examples: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
@@ -35,13 +38,12 @@ def k_fold(examples: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
 
 def stratified_k_fold(examples: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
     """As k_fold, within each value of a label."""
-    place = F.row_number().over(W.partitionBy(label).orderBy(*shuffled(key, seed))) - 1
-    return examples.withColumn("fold", (place % k).cast("int"))
+    return ranked(examples, shuffled(key, seed), [label]).withColumn("fold", (F.col("place") % k).cast("int")).drop("place")
 
 
 def leave_one_out(examples: DataFrame, key: str) -> DataFrame:
     """examples with `fold`: a number of its own for each."""
-    return examples.withColumn("fold", (F.row_number().over(W.orderBy(key)) - 1).cast("int"))
+    return ranked(examples, shuffled(key, 0)).withColumnRenamed("place", "fold")
 
 
 def leave_group_out(examples: DataFrame, group: str, least: int = 1) -> DataFrame:

@@ -272,3 +272,22 @@ def feature_comparison(df: DataFrame, label: str, x: str, y: str, keep: float =
         order = W.orderBy(F.abs(F.col("x") - F.col("y")).desc(), "feature")
         both = both.withColumn("r", F.percent_rank().over(order)).where(F.col("r") <= keep).drop("r")
     return both
+
+
+def brier(df: DataFrame, truth: str = "truth", score: str = "score") -> DataFrame:
+    """(brier): the mean squared difference of score and truth (1 or not)."""
+    return df.agg(F.avg(F.pow(F.col(score) - (F.col(truth) == 1).cast("int"), F.lit(2.0))).alias("brier"))
+
+
+def average_precision(df: DataFrame, truth: str = "truth", score: str = "score") -> DataFrame:
+    """(average_precision): the mean over positives of the precision at their score. Rows are counted per score first, and ahead of it
+    by ranges of the score, so that no task sees all scores."""
+    t = F.col(truth) == 1
+    counts = df.groupBy(F.col(score).alias("s")).agg(F.count_if(t).alias("p"), F.count("*").alias("n"))
+    counts = counts.withColumn("b", F.floor(F.col("s") * 4096))
+    ahead = counts.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    above = W.orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)
+    ahead = ahead.select("b", *[F.coalesce(F.sum(f"b{c}").over(above), F.lit(0)).alias(f"a{c}") for c in "pn"])
+    within = W.partitionBy("b").orderBy(F.desc("s"))
+    rows = counts.join(ahead, "b").select("p", *[(F.sum(c).over(within) + F.col(f"a{c}")).alias(f"c{c}") for c in "pn"])
+    return rows.agg((F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.sum("p")).alias("average_precision"))

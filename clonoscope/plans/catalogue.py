@@ -43,7 +43,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: The stand-ins in SQL: s is sequences, m metadata, p distinct named parts.
-BASE = """WITH s AS (
+BASE = """WITH RECURSIVE s AS (
   SELECT l_suppkey AS repertoire_id, l_orderkey || '_' || l_linenumber AS sequence_id, l_orderkey AS cell_id, l_linenumber AS n, l_partkey AS item,
          l_quantity::BIGINT AS duplicate_count, l_returnflag AS locus, p_brand AS v_call, p_type AS j_call, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS seq
   FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -145,9 +145,9 @@ def kmer_imgt_gapped(spark, d):
     return E.kmer_frequencies(sequences(spark, d), KEY, strategy="IMGT_GAPPED_KMER", normalisation="NONE", by_locus=False, k_left=1, k_right=1, min_gap=1, max_gap=1)
 
 
-@query(", k AS (SELECT cell_id, locus || '_' || substr(seq, i, 3) AS feature FROM s, unnest(range(1, length(seq) - 1)) AS t(i) WHERE n <= 2) SELECT cell_id, feature, count(*)::DOUBLE AS value FROM k GROUP BY ALL")
+@query(", k AS (SELECT cell_id, locus || '_' || substr(seq, i, 3) AS feature FROM s, unnest(range(1, length(seq) - 1)) AS t(i)) SELECT cell_id, feature, count(*)::DOUBLE AS value FROM k GROUP BY ALL")
 def kmer_receptors(spark, d):
-    return E.kmer_frequencies(sequences(spark, d).where("n <= 2"), "cell_id", normalisation="NONE", k=3)
+    return E.kmer_frequencies(sequences(spark, d), "cell_id", normalisation="NONE", k=3)
 
 
 @query(COUNTS + ", f AS (SELECT feature, sum(v) / n AS mu, sqrt(greatest(sum(v * v) / n - (sum(v) / n) ** 2, 0)) AS sd FROM c, (SELECT count(*)::DOUBLE AS n FROM m) GROUP BY feature, n) SELECT m.repertoire_id, f.feature, round((coalesce(c.v, 0) - mu) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END, 6) AS value FROM m CROSS JOIN f LEFT JOIN c ON m.repertoire_id = c.repertoire_id AND f.feature = c.feature")
@@ -185,7 +185,7 @@ def criteria_top_n(spark, d):
     return P.top_n(metadata(spark, d), "balance", 7, KEY).select(KEY, "balance")
 
 
-@query()
+@query("SELECT * FROM m ORDER BY md5(repertoire_id || ':0'), repertoire_id LIMIT 7")
 def criteria_random_n(spark, d):
     return P.random_n(metadata(spark, d), 7, KEY)
 
@@ -195,9 +195,9 @@ def length_filter(spark, d):
     return P.by_length(sequences(spark, d), "seq", 9, 10).select("sequence_id", "seq")
 
 
-@query(", f AS (SELECT * FROM s WHERE n <= 2 AND length(seq) >= 9) SELECT cell_id, n, seq FROM f QUALIFY count(*) OVER (PARTITION BY cell_id) = 2")
+@query(", f AS (SELECT * FROM s WHERE length(seq) >= 9) SELECT cell_id, n, seq FROM f QUALIFY count(*) OVER (PARTITION BY cell_id) = 2")
 def length_filter_pairs(spark, d):
-    return P.pairs_by_length(sequences(spark, d).where("n <= 2"), "seq", 9).select("cell_id", "n", "seq")
+    return P.pairs_by_length(sequences(spark, d), "seq", 9).select("cell_id", "n", "seq")
 
 
 @query("SELECT sequence_id, duplicate_count FROM s WHERE duplicate_count >= 20")
@@ -379,12 +379,11 @@ def morisita_counts(spark, d):
 
 # association
 
-TESTED = ", x AS (SELECT DISTINCT repertoire_id, item FROM s WHERE item % 7 = 0), t AS (SELECT count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS q FROM m), c AS (SELECT item, count(*) FILTER (positive) AS a, count(*) FILTER (NOT positive) AS b FROM x JOIN m USING (repertoire_id) GROUP BY item), f AS (SELECT item, a, b, p - a AS c, q - b AS d FROM c, t), v AS (SELECT item, a, b, c, d, CASE WHEN a + b <= 1 THEN 2.0 ELSE least(1.0, list_sum([exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)) FOR k IN range(a, least(a + b, a + c) + 1)])) END AS p_value FROM f) "
+TESTED = ", x AS (SELECT DISTINCT repertoire_id, item FROM s), t AS (SELECT count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS q FROM m), c AS (SELECT item, count(*) FILTER (positive) AS a, count(*) FILTER (NOT positive) AS b FROM x JOIN m USING (repertoire_id) GROUP BY item), f AS (SELECT item, a, b, p - a AS c, q - b AS d FROM c, t), v AS (SELECT item, a, b, c, d, CASE WHEN a + b <= 1 THEN 2.0 ELSE least(1.0, list_sum([exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)) FOR k IN range(a, least(a + b, a + c) + 1)])) END AS p_value FROM f) "
 
 
 def _tested(spark, d):
-    """Every seventh part: items are fewer, so that their contingency tables are more different."""
-    return J.presence(sequences(spark, d).where("item % 7 = 0"), ["item"]), metadata(spark, d).select(KEY, "positive")
+    return J.presence(sequences(spark, d), ["item"]), metadata(spark, d).select(KEY, "positive")
 
 
 @query(TESTED + "SELECT item, a AS positive_present, b AS negative_present, c AS positive_absent, d AS negative_absent FROM f")
@@ -408,7 +407,7 @@ def seq_abundance(spark, d):
     return A.abundance(present, A.relevant(present, labels, ["item"], 0.2))
 
 
-@query(TESTED.replace("SELECT DISTINCT repertoire_id, item FROM s WHERE item % 7 = 0", "SELECT DISTINCT repertoire_id, v_call || substr(seq, i, 4) AS item FROM s, unnest(range(1, length(seq) - 2)) AS t(i)") + "SELECT repertoire_id, count(y.item) AS relevant, count(*) AS total FROM x LEFT JOIN (SELECT item FROM v WHERE p_value < 0.2) y ON x.item = y.item GROUP BY ALL")
+@query(TESTED.replace("SELECT DISTINCT repertoire_id, item FROM s", "SELECT DISTINCT repertoire_id, v_call || substr(seq, i, 4) AS item FROM s, unnest(range(1, length(seq) - 2)) AS t(i)") + "SELECT repertoire_id, count(y.item) AS relevant, count(*) AS total FROM x LEFT JOIN (SELECT item FROM v WHERE p_value < 0.2) y ON x.item = y.item GROUP BY ALL")
 def kmer_abundance(spark, d):
     df = sequences(spark, d)
     present = df.select(KEY, F.explode(F.transform(X.kmers("seq", 4), lambda k: F.concat("v_call", k))).alias("item")).distinct()
@@ -451,6 +450,60 @@ def match_reference_sum(spark, d):
     return found.groupBy(KEY).agg(F.sum("matches").alias("matches"))
 
 
+#: Reference receptors: cell, locus, sequence; the edits that each locus may have.
+RECEPTORS, EDITS = [("c1", "A", "SMALLRING"), ("c1", "N", "REDWIDGET"), ("c2", "A", "BLUEBOLT"), ("c2", "N", "REDBOLT")], {"A": 1, "N": 0}
+REC_SQL = ", rec AS (SELECT * FROM (VALUES " + ", ".join(str((*r, EDITS[r[1]])) for r in RECEPTORS) + ") AS t(cell, rl, rs, most)), rm AS (SELECT repertoire_id, cell, locus, duplicate_count FROM s JOIN rec ON locus = rl AND levenshtein(seq, rs) <= most) "
+
+
+def _receptor_matches(spark, d, **params):
+    rows = spark.createDataFrame([(*r, None, None) for r in RECEPTORS], "cell_id string, locus string, seq string, v_call string, j_call string")
+    return J.receptor_match_counts(sequences(spark, d), rows, EDITS, genes=False, seq="seq", **params)
+
+
+@query(REC_SQL + "SELECT repertoire_id, cell || '.' || locus AS feature, sum(duplicate_count)::BIGINT AS matches FROM rm GROUP BY ALL")
+def receptor_matches(spark, d):
+    return _receptor_matches(spark, d, reads="all")
+
+
+@query(REC_SQL + "SELECT repertoire_id, locus AS feature, count(*) AS matches FROM rm GROUP BY ALL")
+def receptor_matches_sum(spark, d):
+    return _receptor_matches(spark, d, summed=True)
+
+
+@query(REC_SQL + ", c AS (SELECT repertoire_id, cell || '.' || locus AS feature, count(*) AS n FROM rm GROUP BY ALL) SELECT repertoire_id, feature, round(n / sum(n) OVER (PARTITION BY repertoire_id), 6)::DOUBLE AS matches FROM c")
+def receptor_matches_norm(spark, d):
+    return rounded(_receptor_matches(spark, d, normalised=True), "matches")
+
+
+@query(REC_SQL + ", c AS (SELECT repertoire_id, cell || '.' || locus AS feature, count(*) AS n FROM rm GROUP BY ALL) SELECT m.repertoire_id, rec.cell || '.' || rl AS feature, coalesce(c.n, 0) AS matches FROM m CROSS JOIN rec LEFT JOIN c ON c.repertoire_id = m.repertoire_id AND c.feature = rec.cell || '.' || rl")
+def receptor_matches_zeros(spark, d):
+    features = spark.createDataFrame([(f"{c}.{k}",) for c, k, _ in RECEPTORS], "feature string")
+    return J.with_zeros(_receptor_matches(spark, d), metadata(spark, d), features, KEY, "matches")
+
+
+FUZZY = ", k AS (SELECT DISTINCT repertoire_id, seq, v_call, j_call FROM s), u AS (SELECT DISTINCT seq, v_call, j_call FROM k), fp AS (SELECT DISTINCT u.seq, u.v_call, u.j_call, k.repertoire_id FROM u JOIN k ON u.v_call = k.v_call AND u.j_call = k.j_call AND length(u.seq) = length(k.seq) AND hamming(u.seq, k.seq) <= 1) "
+
+
+def _fuzzy(spark, d):
+    return J.fuzzy_presence(sequences(spark, d), 1).withColumn("item", F.concat_ws("_", "seq", "v_call", "j_call"))
+
+
+@query(FUZZY + "SELECT seq, v_call, j_call, count(*) AS repertoires FROM fp GROUP BY ALL")
+def fuzzy_presence(spark, d):
+    return _fuzzy(spark, d).groupBy("seq", "v_call", "j_call").agg(F.count("*").alias("repertoires"))
+
+
+@query(TESTED.replace(", x AS (SELECT DISTINCT repertoire_id, item FROM s)", FUZZY + ", x AS (SELECT repertoire_id, seq || '_' || v_call || '_' || j_call AS item FROM fp)") + "SELECT repertoire_id, count(y.item) AS relevant, count(*) AS total FROM x LEFT JOIN (SELECT item FROM v WHERE p_value < 0.2) y ON x.item = y.item GROUP BY ALL")
+def fuzzy_abundance(spark, d):
+    present, labels = _fuzzy(spark, d).select(KEY, "item"), metadata(spark, d).select(KEY, "positive")
+    return A.abundance(present, A.relevant(present, labels, ["item"], 0.2))
+
+
+@query(", k AS (SELECT DISTINCT repertoire_id AS r, seq, v_call, j_call FROM s), z AS (SELECT r, count(*) AS n FROM k GROUP BY r), q AS (SELECT a.r AS r1, b.r AS r2, count(*) AS i FROM k a JOIN k b ON a.v_call = b.v_call AND a.j_call = b.j_call AND length(a.seq) = length(b.seq) AND hamming(a.seq, b.seq) <= 1 GROUP BY ALL) SELECT r1, r2, round(greatest(coalesce(1 - i / nullif(a.n + b.n - i, 0), 0), 0), 6) AS distance FROM q JOIN z a ON a.r = r1 JOIN z b ON b.r = r2")
+def fuzzy_jaccard(spark, d):
+    return rounded(J.fuzzy_jaccard(sequences(spark, d), 1), "distance")
+
+
 PATTERNS = [("p1", "RED.*", None), ("p2", "[BG]L?[UR]", None), ("p3", "BOLT$", "Brand#4")]
 
 
@@ -493,38 +546,38 @@ def significant_kmer_positions(spark, d):
 
 # motifs
 
-PREFIX = ", f AS (SELECT id, substr(seq, 1, 6) AS seq, size > 25 AS positive FROM p), i AS (SELECT id, j - 1 AS pos, substr(seq, j, 1) AS l, positive FROM f, unnest(range(1, 7)) AS t(j)), one AS (SELECT pos, l FROM i GROUP BY ALL HAVING count(*) >= 200), two AS (SELECT a.pos || '&' || b.pos || '-' || a.l || '&' || b.l AS motif, count(*) AS support, count(*) FILTER (a.positive) AS tp, count(*) FILTER (NOT a.positive) AS fp FROM i a JOIN i b ON a.id = b.id AND a.pos < b.pos JOIN one oa ON oa.pos = a.pos AND oa.l = a.l JOIN one ob ON ob.pos = b.pos AND ob.l = b.l GROUP BY ALL HAVING count(*) >= 200) "
+GROWN = ", f AS (SELECT id, seq, size > 25 AS positive FROM p), i AS (SELECT id, j - 1 AS pos, substr(seq, j, 1) AS l, positive FROM f, unnest(range(1, length(seq) + 1)) AS t(j)), one AS (SELECT pos, l FROM i GROUP BY ALL HAVING count(*) >= 200), two AS (SELECT a.pos || '&' || b.pos || '-' || a.l || '&' || b.l AS motif, count(*) AS support, count(*) FILTER (a.positive) AS tp, count(*) FILTER (NOT a.positive) AS fp FROM i a JOIN i b ON a.id = b.id AND a.pos < b.pos JOIN one oa ON oa.pos = a.pos AND oa.l = a.l JOIN one ob ON ob.pos = b.pos AND ob.l = b.l GROUP BY ALL HAVING count(*) >= 200) "
 
 
-def _prefixes(spark, d):
-    return parts(spark, d).select(F.col("id").alias("sequence_id"), F.substring("seq", 1, 6).alias("seq"), (F.col("size") > 25).alias("positive"))
+def _labelled(spark, d):
+    return parts(spark, d).select(F.col("id").alias("sequence_id"), "seq", (F.col("size") > 25).alias("positive"))
 
 
-@query(PREFIX + "SELECT motif, support FROM two UNION ALL SELECT pos || '-' || l, count(*) FROM i JOIN one USING (pos, l) GROUP BY pos, l")
+@query(GROWN + "SELECT motif, support FROM two UNION ALL SELECT pos || '-' || l, count(*) FROM i JOIN one USING (pos, l) GROUP BY pos, l")
 def motif_support(spark, d):
-    return M.grown(_prefixes(spark, d), 2, 200).select("motif", "support")
+    return M.grown(_labelled(spark, d), 2, 200).select("motif", "support")
 
 
-@query(PREFIX + "SELECT motif, tp, fp, (SELECT count(*) FROM f WHERE positive) - tp AS fn, (SELECT count(*) FROM f WHERE NOT positive) - fp AS tn FROM two")
+@query(GROWN + "SELECT motif, tp, fp, (SELECT count(*) FROM f WHERE positive) - tp AS fn, (SELECT count(*) FROM f WHERE NOT positive) - fp AS tn FROM two")
 def motif_confusion(spark, d):
-    df = _prefixes(spark, d)
+    df = _labelled(spark, d)
     return M.confusion(df, M.grown(df, 2, 200).where(F.size("positions") == 2))
 
 
-@query(PREFIX + "SELECT motif, tp, fp FROM two WHERE tp >= 90 AND tp / (tp + fp) >= 0.48")
+@query(GROWN + "SELECT motif, tp, fp FROM two WHERE tp >= 90 AND tp / (tp + fp) >= 0.48")
 def motif_selected(spark, d):
-    df = _prefixes(spark, d)
+    df = _labelled(spark, d)
     return M.selected(M.confusion(df, M.grown(df, 2, 200).where(F.size("positions") == 2)), 0.48, 0.0, 90).select("motif", "tp", "fp")
 
 
 @query()
 def motif_generalised(spark, d):
-    return M.generalised(M.grown(_prefixes(spark, d), 2, 200).where(F.size("positions") == 2)).select("motif")
+    return M.generalised(M.grown(_labelled(spark, d), 2, 200).where(F.size("positions") == 2)).select("motif")
 
 
-@query(PREFIX + ", g AS (SELECT split_part(motif, '-', 1) AS ps FROM two), h AS (SELECT split_part(ps, '&', 2)::BIGINT - split_part(ps, '&', 1)::BIGINT - 1 AS gap FROM g) SELECT 2::BIGINT AS size, gap, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM h GROUP BY gap")
+@query(GROWN + ", g AS (SELECT split_part(motif, '-', 1) AS ps FROM two), h AS (SELECT split_part(ps, '&', 2)::BIGINT - split_part(ps, '&', 1)::BIGINT - 1 AS gap FROM g) SELECT 2::BIGINT AS size, gap, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM h GROUP BY gap")
 def motif_gaps(spark, d):
-    out = M.gap_shares(M.grown(_prefixes(spark, d), 2, 200))
+    out = M.gap_shares(M.grown(_labelled(spark, d), 2, 200))
     return rounded(out.select(F.col("size").cast("long").alias("size"), F.col("gap").cast("long").alias("gap"), "share"), "share")
 
 
@@ -541,6 +594,32 @@ def one_hot(spark, d):
     return parts(spark, d).select("id", F.array_join(E.one_hot("seq", 12, "ABCDE", flatten=True).cast("array<string>"), "").alias("bits"))
 
 
+@query(", z AS (SELECT id, i AS position, i / 3::DOUBLE AS l, (length(seq) - 1 - i) / 3::DOUBLE AS r, length(seq) AS n FROM p, unnest(range(0, 12)) AS t(i)) SELECT id, position, round(CASE WHEN position < n THEN greatest(1 - l, 0) ELSE 0 END, 6)::DOUBLE AS first, round(CASE WHEN position < n THEN least(l, r, 1) ELSE 0 END, 6)::DOUBLE AS middle, round(CASE WHEN position < n THEN greatest(1 - r, 0) ELSE 0 END, 6)::DOUBLE AS last FROM z")
+def position_weights(spark, d):
+    rows = parts(spark, d).select("id", F.posexplode(E.position_info("seq", 12, 3)).alias("position", "w"))
+    w = lambda i: F.round(F.get("w", i), 6)
+    return rows.select("id", F.col("position").cast("long").alias("position"), w(0).alias("first"), w(1).alias("middle"), w(2).alias("last"))
+
+
+@query(COUNTS + ", t AS (SELECT feature, sum(v) AS total FROM c GROUP BY feature) SELECT m.repertoire_id, t.feature, coalesce(c.v, 0) AS value, total FROM m CROSS JOIN t LEFT JOIN c ON c.repertoire_id = m.repertoire_id AND c.feature = t.feature")
+def feature_totals(spark, d):
+    return T.with_feature_totals(metadata(spark, d), _frequencies("NONE")(spark, d), KEY)
+
+
+@query(", l AS (SELECT repertoire_id, trim(x) AS place FROM (SELECT repertoire_id, unnest(split(region || ',' || nation, ',')) AS x FROM m)), a AS (SELECT repertoire_id, avg(duplicate_count) AS score FROM s GROUP BY ALL) SELECT place, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, count(*) AS runs FROM l JOIN a USING (repertoire_id) GROUP BY place")
+def index_by_label(spark, d):
+    labelled = T.exploded_label(metadata(spark, d).select(KEY, F.concat_ws(",", "region", "nation").alias("place")), "place")
+    scores = sequences(spark, d).groupBy(KEY).agg(F.avg("duplicate_count").alias("score"))
+    out = T.index_by_label(labelled.join(scores, KEY), ["place"])
+    return rounded(out.select("place", "mean", "sd", F.size("scores").cast("long").alias("runs")), "mean", "sd")
+
+
+@query(REF_SQL + ", c AS (SELECT repertoire_id, reference_id AS feature, count(*) AS matches FROM s JOIN ref ON levenshtein(seq, rs) <= 1 GROUP BY ALL) SELECT m.repertoire_id, region, feature, matches FROM m LEFT JOIN c USING (repertoire_id)")
+def matches_table(spark, d):
+    counts = J.match_counts(_one_locus(spark, d), reference(spark), 1, genes=False, seq="seq").withColumnRenamed("reference_id", "feature")
+    return T.matches_table(metadata(spark, d), ["region"], counts)
+
+
 FACTORS = [(a, n, round((ord(a) * k) % 17 / 10 - 0.8, 3)) for a in "ABCDEGILMORSTUW" for k, n in ((3, "f1"), (7, "f2"))]
 
 
@@ -575,23 +654,21 @@ def feature_mean_err(spark, d):
 
 @query(COUNTS + ", x AS (SELECT feature, sum(v)::DOUBLE AS total FROM c GROUP BY ALL) SELECT feature, total FROM x ORDER BY abs(total) DESC, feature LIMIT 10")
 def coef_top_n(spark, d):
-    return _frequencies("NONE")(spark, d).groupBy("feature").agg(F.sum("value").alias("total")).orderBy(F.abs("total").desc(), "feature").limit(10)
+    return T.top_coefficients(_frequencies("NONE")(spark, d).groupBy("feature").agg(F.sum("value").alias("total")), 10, "total")
 
 
-@query("SELECT id, seq, NULL::VARCHAR AS extra FROM p WHERE id < 50 UNION ALL SELECT id, NULL, v_call FROM p WHERE id BETWEEN 40 AND 60")
+@query("SELECT id, seq, NULL::VARCHAR AS extra FROM p UNION ALL SELECT id, NULL, v_call FROM p")
 def union_fill(spark, d):
     from ..dataset import union
 
     df = parts(spark, d)
-    return union(df.where("id < 50").select("id", "seq"), df.where("id BETWEEN 40 AND 60").select("id", F.col("v_call").alias("extra")), fill=True)
+    return union(df.select("id", "seq"), df.select("id", F.col("v_call").alias("extra")), fill=True)
 
 
-@query(", a AS (SELECT DISTINCT item FROM s WHERE repertoire_id = 1), b AS (SELECT DISTINCT item FROM s WHERE repertoire_id = 2) SELECT count(*) FILTER (b.item IS NULL) AS only_a, count(*) FILTER (a.item IS NOT NULL AND b.item IS NOT NULL) AS both, count(*) FILTER (a.item IS NULL) AS only_b FROM a FULL JOIN b ON a.item = b.item")
+@query(", x AS (SELECT DISTINCT region, item FROM s JOIN m USING (repertoire_id)), a AS (SELECT item FROM x WHERE region = 'ASIA'), b AS (SELECT item FROM x WHERE region = 'EUROPE') SELECT count(*) FILTER (b.item IS NULL) AS only_found, count(*) FILTER (a.item IS NOT NULL AND b.item IS NOT NULL) AS both, count(*) FILTER (a.item IS NULL) AS only_truth FROM a FULL JOIN b ON a.item = b.item")
 def venn_counts(spark, d):
-    df = sequences(spark, d)
-    side = lambda r, name: df.where(F.col(KEY) == r).select("item").distinct().withColumn(name, F.lit(True))
-    both = side(1, "a").join(side(2, "b"), "item", "full")
-    return both.agg(F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a").isNull()).alias("only_b"))
+    df = sequences(spark, d).join(metadata(spark, d).select(KEY, "region"), KEY)
+    return T.recovered(df.where("region = 'ASIA'"), df.where("region = 'EUROPE'"), ["item"])
 
 
 # import
@@ -599,7 +676,7 @@ def venn_counts(spark, d):
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_flatten(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>")["k"].cast("long").alias("k"))
+    return R.json_fields(table(spark, d, "events"), "props", {"k": "k"}).select("event_id", F.col("k").cast("long").alias("k"))
 
 
 @query(", c AS (SELECT id, i, translate(substr(seq, i, 3), 'BEDFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS codon FROM p, unnest(range(1, length(seq) - 1, 3)) AS t(i)), aa AS (SELECT * FROM (VALUES " + ", ".join(str((k, v)) for k, v in X.CODONS.items()) + ") AS t(codon, letter)) SELECT id, string_agg(coalesce(letter, '_'), '' ORDER BY i) AS protein FROM c LEFT JOIN aa USING (codon) GROUP BY id")
@@ -648,17 +725,17 @@ def cdr3_from_junction(spark, d):
 # splits
 
 
-@query()
+@query("SELECT repertoire_id, ((row_number() OVER (ORDER BY md5(repertoire_id || ':0'), repertoire_id) - 1) % 5)::INT AS fold FROM m")
 def kfold(spark, d):
     return U.k_fold(metadata(spark, d).select(KEY), KEY, 5)
 
 
-@query()
+@query("SELECT repertoire_id, CASE WHEN row_number() OVER (ORDER BY md5(repertoire_id || ':0'), repertoire_id) <= floor((SELECT count(*) FROM m) * 0.7) THEN 'train' ELSE 'test' END AS part FROM m")
 def random_split(spark, d):
     return U.random_split(metadata(spark, d).select(KEY), KEY, 0.7)
 
 
-@query()
+@query("SELECT repertoire_id, region, ((row_number() OVER (PARTITION BY region ORDER BY md5(repertoire_id || ':0'), repertoire_id) - 1) % 3)::INT AS fold FROM m")
 def stratified_kfold(spark, d):
     return U.stratified_k_fold(metadata(spark, d).select(KEY, "region"), KEY, "region", 3)
 
@@ -674,9 +751,19 @@ def manual_split(spark, d):
     return U.manual_split(m, KEY, m.where("repertoire_id % 3 = 0"), m.where("repertoire_id % 3 = 1"))
 
 
-@query("SELECT repertoire_id, least(count(*), 10) AS n FROM s GROUP BY ALL")
+@query("SELECT repertoire_id, sequence_id FROM s QUALIFY row_number() OVER (PARTITION BY repertoire_id ORDER BY md5(sequence_id || ':0'), sequence_id) <= 10")
 def subsample(spark, d):
-    return U.subsample(sequences(spark, d), 10).groupBy(KEY).agg(F.count("*").alias("n"))
+    return U.subsample(sequences(spark, d), 10).select(KEY, "sequence_id")
+
+
+@query("SELECT sequence_id FROM s ORDER BY md5(sequence_id || ':3'), sequence_id LIMIT (SELECT round(count(*) * 0.01)::BIGINT FROM s)")
+def sampled_examples(spark, d):
+    return U.sample(sequences(spark, d), "sequence_id", 0.01, 3).select("sequence_id")
+
+
+@query("SELECT repertoire_id, row_number() OVER (ORDER BY md5(repertoire_id || ':0'), repertoire_id) - 1 AS fold FROM m")
+def leave_one_out(spark, d):
+    return U.leave_one_out(metadata(spark, d).select(KEY), KEY)
 
 
 # metrics
@@ -742,6 +829,16 @@ def ari_nmi_contingency(spark, d):
     return rounded(out, *out.columns)
 
 
+@query(SCORES + "SELECT round(avg((score - truth) ** 2), 6) AS brier FROM g")
+def brier(spark, d):
+    return rounded(A.brier(_scored(spark, d)), "brier")
+
+
+@query(SCORES + ", c AS (SELECT score, count(*) FILTER (truth = 1) AS p, count(*) AS n FROM g GROUP BY score), o AS (SELECT p, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM c WINDOW w AS (ORDER BY score DESC)) SELECT round(sum(p * cp / cn) / sum(p), 6)::DOUBLE AS average_precision FROM o")
+def average_precision(spark, d):
+    return rounded(A.average_precision(_scored(spark, d)), "average_precision")
+
+
 # models, all but the first without SQL
 
 
@@ -786,7 +883,7 @@ def knn_vote(spark, d):
 
 @query()
 def word2vec(spark, d):
-    return E.word2vec(parts(spark, d), "j_call", size=4).select("j_call", F.lit(True).alias("embedded"))
+    return E.word2vec(parts(spark, d), "j_call", size=4)
 
 
 @query()
@@ -830,10 +927,9 @@ def match_summary(spark, d):
     return rounded(T.match_summary(df, df.where("v_call = 'Brand#4'")), "share", "clonal_share")
 
 
-@query(", f AS (SELECT id, substr(seq, 1, 6) AS seq, j_call FROM p), x AS (SELECT a.j_call, hamming(a.seq, b.seq)::BIGINT AS distance FROM f a JOIN f b ON a.j_call = b.j_call AND a.id < b.id), c AS (SELECT j_call, distance, count(*) AS n FROM x GROUP BY ALL) SELECT j_call, distance, round(n / sum(n) OVER (PARTITION BY j_call), 6) AS share FROM c")
+@query(", x AS (SELECT a.j_call, hamming(a.seq, b.seq)::BIGINT AS distance FROM p a JOIN p b ON a.j_call = b.j_call AND a.id < b.id AND length(a.seq) = length(b.seq)), c AS (SELECT j_call, distance, count(*) AS n FROM x GROUP BY ALL) SELECT j_call, distance, round(n / sum(n) OVER (PARTITION BY j_call), 6) AS share FROM c")
 def distance_histogram(spark, d):
-    df = parts(spark, d).withColumn("seq", F.substring("seq", 1, 6))
-    return rounded(T.distance_histogram(df, "j_call").withColumn("distance", F.col("distance").cast("long")), "share")
+    return rounded(T.distance_histogram(parts(spark, d), "j_call").withColumn("distance", F.col("distance").cast("long")), "share")
 
 
 @query(TESTED + ", n AS (SELECT positive, repertoire_id, th, count(*) FILTER (p_value < th) AS n FROM x JOIN v USING (item) JOIN m USING (repertoire_id), unnest([0.1, 0.3]::DOUBLE[]) AS u(th) GROUP BY ALL) SELECT 1::BIGINT AS k, th AS p, positive, round(avg(n), 6) AS relevant FROM n GROUP BY ALL")
@@ -888,9 +984,9 @@ def signal_shares(spark, d):
     return rounded(T.origin_shares(_flagged(spark, d), "locus", ["red", "bol", "long"]), "share")
 
 
-@query(FLAGGED + "SELECT 'red' AS a, 'long' AS b, round(count(*) FILTER (red AND long) / count(*), 6) AS joint, round(count(*) FILTER (red AND long) / count(*) FILTER (long), 6) AS given FROM b")
+@query(FLAGGED + ", f AS (SELECT unnest(['red', 'bol', 'long']) AS a, unnest([red, bol, long]) AS x, [red, bol, long] AS y FROM b), h AS (SELECT a, unnest(['red', 'bol', 'long']) AS b, x, unnest(y) AS y FROM f) SELECT a, b, round(count(*) FILTER (x AND y) / count(*), 6) AS joint, round(count(*) FILTER (x AND y) / count(*) FILTER (y), 6) AS given FROM h GROUP BY a, b")
 def signal_conditional(spark, d):
-    return rounded(T.conditional(_flagged(spark, d), ["red", "long"]).where("a = 'red' AND b = 'long'"), "joint", "given")
+    return rounded(T.conditional(_flagged(spark, d), ["red", "bol", "long"]), "joint", "given")
 
 
 @query("SELECT CASE WHEN log10(l_extendedprice) < 3 THEN 0 WHEN log10(l_extendedprice) >= 5 THEN 11 ELSE floor((log10(l_extendedprice) - 3) / 0.2) + 1 END::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -914,11 +1010,29 @@ def cluster_labels(spark, d):
     return A.crosstab(df, "label", "cluster")
 
 
-@query(PAIRS + "SELECT id, min(least(id, other)) AS cluster FROM (SELECT r1 AS id, r1 AS other FROM g WHERE r1 = r2) GROUP BY id")
+NEAR = PAIRS + ", e AS (SELECT r1, r2 FROM g WHERE r1 <> r2 AND 1 - i / (n1 + n2 - i) <= 0.822 UNION SELECT r2, r1 FROM g WHERE r1 <> r2 AND 1 - i / (n1 + n2 - i) <= 0.822)"
+
+
+def _near(spark, d):
+    pairs = A.jaccard(_pairs(spark, d)).where("r1 <> r2 AND distance <= 0.822")
+    return pairs.select(F.col("r1").alias("id_1"), F.col("r2").alias("id_2")), metadata(spark, d).select(F.col(KEY).alias("id"))
+
+
+@query(NEAR + ", c AS (SELECT repertoire_id AS id, repertoire_id AS v FROM m UNION SELECT c.id, e.r2 FROM c JOIN e ON e.r1 = c.v) SELECT id, min(v) AS cluster FROM c GROUP BY id")
 def single_linkage(spark, d):
-    """Repertoires with a Jaccard distance of 0 at most are one cluster: here each is its own."""
-    pairs = A.jaccard(_pairs(spark, d)).where("distance <= 0").select(F.col("r1").alias("id_1"), F.col("r2").alias("id_2"))
-    return L.linked_clusters(pairs, metadata(spark, d).select(F.col(KEY).alias("id")))
+    return L.linked_clusters(*_near(spark, d))
+
+
+@query(NEAR + ", k AS (SELECT r1 AS id FROM e GROUP BY r1 HAVING count(*) >= 2), c AS (SELECT id, id AS v FROM k UNION SELECT c.id, e.r2 FROM c JOIN e ON e.r1 = c.v JOIN k ON k.id = e.r2), l AS (SELECT id, min(v) AS cluster FROM c GROUP BY id), b AS (SELECT e.r1 AS id, min(cluster) AS near FROM e JOIN l ON l.id = e.r2 GROUP BY e.r1) SELECT repertoire_id AS id, coalesce(l.cluster, b.near) AS cluster FROM m LEFT JOIN l ON l.id = repertoire_id LEFT JOIN b ON b.id = repertoire_id")
+def density_clusters(spark, d):
+    return L.density_clusters(*_near(spark, d), least=3)
+
+
+@query(PAIRS + ", f AS (SELECT r1 AS id, r2 AS other, i, n1, n2 FROM g WHERE r1 <> r2 UNION ALL SELECT r2, r1, i, n1, n2 FROM g WHERE r1 <> r2), o AS (SELECT id, region, row_number() OVER (PARTITION BY id ORDER BY 1 - i / (n1 + n2 - i), other) AS r FROM f JOIN m ON m.repertoire_id = other), v AS (SELECT id, region, count(*) AS n, min(r) AS f FROM o WHERE r <= 5 GROUP BY ALL) SELECT id, arg_max(region, n * 100 - f) AS label FROM v GROUP BY id")
+def knn_precomputed(spark, d):
+    pairs = A.jaccard(_pairs(spark, d)).where("r1 <> r2")
+    both = pairs.select(F.col("r1").alias("id"), F.col("r2").alias("other"), "distance").union(pairs.select("r2", "r1", "distance"))
+    return L.knn_precomputed(both, metadata(spark, d).select(F.col(KEY).alias("id"), F.col("region").alias("label")), 5)
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..dataset import Dataset
 from ..functions import text as X
+from ..operators.joins import bounded
 from ..schema import AMINO_ACIDS, FLAGS, NUCLEOTIDES, PAIRS, TYPES, region_column
 
 #: What stands for no value, and for true, in input files; characters that column names lose.
@@ -42,7 +43,7 @@ class Options:
 
 
 def scan(spark: SparkSession, o: Options) -> DataFrame:
-    """Files of a folder (*.tsv, *.csv, *.txt) or one file, as strings, with file_name. Only mapped and core columns are read on."""
+    """Files of a folder (*.tsv, *.csv, *.txt) or one file, as strings, with file_name. All columns stay; those that nothing uses later Catalyst leaves out of the rows."""
     reader = spark.read.options(sep=o.separator, header=str(o.header).lower(), pathGlobFilter="*.{tsv,csv,txt}", recursiveFileLookup="true")
     df = reader.csv(o.path).withColumn("file_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     if not o.header:
@@ -96,16 +97,43 @@ def legal_only(df: DataFrame, column: str, alphabet: str) -> DataFrame:
     return df.where(F.col(column).isNull() | F.regexp_like(F.col(column), F.lit(f"^[{alphabet}]*$")))
 
 
-def with_flag(df: DataFrame, column: str, dropped: str) -> DataFrame:
-    """Rows that a flag doesn't speak against."""
-    return df.where(~F.col(column).eqNullSafe(F.lit(dropped))) if column in df.columns else df
+def by_file(df: DataFrame, **facts) -> DataFrame:
+    """df with aggregates over the file that a row is from; over all rows where there is no file name. Files are few beside rows, so that
+    adaptive execution broadcasts the table of facts."""
+    facts = [f.alias(k) for k, f in facts.items()]
+    if "file_name" in df.columns:
+        return df.join(df.groupBy("file_name").agg(*facts), "file_name")
+    return df.crossJoin(F.broadcast(df.agg(*facts)))  # one row
+
+
+def with_flag(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose flag is T; files in which a row has no flag stay whole."""
+    if column not in df.columns:
+        return df
+    return by_file(df, __all=F.bool_and(F.col(column).isNotNull())).where(~F.col("__all") | (F.col(column) == "T")).drop("__all")
 
 
 def with_locus(df: DataFrame) -> DataFrame:
-    """The locus by its own name, or by the first letters of the V or J call."""
-    named = [X.locus_of("locus")] if "locus" in df.columns else []
-    calls = [X.locus_of(F.substring(c, 1, 3)) for c in ("v_call", "j_call") if c in df.columns]
-    return df.withColumn("locus", F.coalesce(*named, *calls)) if named or calls else df
+    """The locus by its own name if all rows of the file have one; else by the first letters of the V calls, if all have one, else of the
+    J calls, if all have one; else as it is."""
+    own = X.locus_of("locus") if "locus" in df.columns else F.lit(None).cast("string")
+    calls = [c for c in ("v_call", "j_call") if c in df.columns]
+    every = lambda c: F.coalesce(F.bool_and(F.col(c).isNotNull()), F.lit(False))
+    facts = {f"__{c}": every(c) for c in ["locus", *calls] if c in df.columns}
+    if not facts:
+        return df
+    df = by_file(df, **facts)
+    locus = F.when(F.col("__locus"), own) if "__locus" in facts else None
+    for c in calls:
+        by = X.locus_of(F.substring(c, 1, 3))
+        locus = F.when(F.col(f"__{c}"), by) if locus is None else locus.when(F.col(f"__{c}"), by)
+    return df.withColumn("locus", locus.otherwise(own)).drop(*facts)
+
+
+def json_fields(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
+    """df with keys of a JSON object column as columns (key to name); text that isn't such an object gives NULLs."""
+    values = F.from_json(column, "map<string,string>")
+    return df.withColumns({name: values[key] for key, name in fields.items()})
 
 
 def with_ids(df: DataFrame) -> DataFrame:
@@ -135,9 +163,9 @@ def chain(df: DataFrame, o: Options) -> DataFrame:
         for c in there:
             df = legal_only(df, c, (AMINO_ACIDS + ("*" if o.stop_codon_allowed else "")) if c.endswith("_aa") else NUCLEOTIDES)
     if o.only_productive:
-        df = with_flag(df, "productive", "F")
+        df = with_flag(df, "productive")
     if o.only_in_frame:
-        df = with_flag(df, "vj_in_frame", "F")
+        df = with_flag(df, "vj_in_frame")
     df = with_locus(df)
     if o.receptor_chains:
         df = df.where(F.col("locus").isin(*PAIRS[o.receptor_chains]))
@@ -183,18 +211,19 @@ def igor_rows(df: DataFrame, o: Options) -> DataFrame:
 
 
 def vdjdb_rows(df: DataFrame, o: Options) -> DataFrame:
-    """JSON columns as columns; sequence_id from complex and chain, numbered where several rows have it."""
-    for c in ("Meta", "CDR3fix", "Method"):
-        if c in df.columns:
-            df = df.withColumn(c, F.from_json(c, "map<string,string>"))
+    """JSON columns as columns; sequence_id from complex and chain, numbered by the rows' content where several rows have it. Complex 0 stands
+    for no pair: such rows have no cell, and get a hash as their id."""
+    everything = F.to_json(F.struct(*sorted(c for c in df.columns if c != "file_name")))
+    df = df.withColumn("__row", everything)
     if "Meta" in df.columns:
-        df = df.withColumns({"subject_id": F.col("Meta")["subject.id"], "epitope_frequency": F.col("Meta")["frequency"]})
-    base = F.concat_ws("_", "complex_id", "Gene")
-    df = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__id", base)
-    w = W.partitionBy("__id")
+        df = json_fields(df, "Meta", {"subject.id": "subject_id", "frequency": "epitope_frequency"})
+    pair = F.nullif(F.regexp_replace("complex_id", r"\.0$", ""), F.lit("0"))
+    df = df.withColumns({"cell_id": pair, "locus": F.col("Gene")}).withColumn("__id", F.concat("cell_id", F.lit("_"), "Gene"))
+    # Rows without a pair are numbered apart, each for itself, and the number isn't used.
+    w = W.partitionBy(F.coalesce("__id", "__row"))
     number = F.row_number().over(w.orderBy("__row"))
     df = df.withColumn("sequence_id", F.when(F.count("*").over(w) > 1, F.concat("__id", F.lit("_"), number)).otherwise(F.col("__id")))
-    return df.withColumns({"cell_id": F.col("complex_id"), "locus": F.col("Gene")}).drop("__row", "__id", "Meta", "CDR3fix", "Method")
+    return df.drop("__row", "__id", "Meta", "CDR3fix", "Method")
 
 
 def imgt_gene(c: str):
@@ -219,7 +248,7 @@ def immunoseq_rows(df: DataFrame, o: Options) -> DataFrame:
             df = df.withColumn(ours, imgt_gene(src))
             if o.gene_map:
                 table = df.sparkSession.read.csv(o.gene_map, header=True).toDF("__name", "__imgt")
-                df = df.join(F.broadcast(table), F.col(src) == F.col("__name"), "left").withColumn(ours, F.coalesce("__imgt", ours)).drop("__name", "__imgt")
+                df = df.join(bounded(table.dropDuplicates(["__name"])), F.col(src) == F.col("__name"), "left").withColumn(ours, F.coalesce("__imgt", ours)).drop("__name", "__imgt")
     return df.withColumn("junction_aa", F.col(aa))
 
 

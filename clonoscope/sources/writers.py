@@ -14,10 +14,15 @@ def neutral(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, F.lit(NEUTRAL[TYPES[c]])) for c in df.columns if c in TYPES})
 
 
+def salted(df: DataFrame, key: str = "repertoire_id", parts: int = 16) -> DataFrame:
+    """Rows dealt out by key and a part of their hash: a large repertoire is several tasks, and files."""
+    return df.repartition(key, F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+
+
 def write_airr(data: Dataset, path: str) -> None:
     """Tables of tab-separated text under path/sequences (a folder per repertoire), metadata under path/metadata."""
     rows = neutral(data.sequences)
-    writer = rows.repartition("repertoire_id").write.partitionBy("repertoire_id") if data.kind == "repertoire" else rows.write
+    writer = salted(rows).write.partitionBy("repertoire_id") if data.kind == "repertoire" else rows.write
     writer.options(sep="\t", header="true").csv(f"{path}/sequences")
     if data.metadata is not None:
         data.metadata.write.options(header="true").csv(f"{path}/metadata")
@@ -49,7 +54,7 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 def write_bags(data: Dataset, path: str) -> None:
     """Repertoires as folders of tab-separated sequences and counts, for an outside trainer."""
-    data.sequences.select("repertoire_id", "sequence_aa", "duplicate_count").repartition("repertoire_id").write.partitionBy("repertoire_id").options(sep="\t", header="true").csv(path)
+    salted(data.sequences.select("repertoire_id", "sequence_aa", "duplicate_count")).write.partitionBy("repertoire_id").options(sep="\t", header="true").csv(path)
 
 
 def save_model(model, path: str) -> None:

@@ -12,6 +12,7 @@ from clonoscope.operators import filters as P
 from clonoscope.operators import joins as J
 from clonoscope.operators import models as L
 from clonoscope.operators import motifs as M
+from clonoscope.operators import reports as T
 from clonoscope.operators import simulation as G
 from clonoscope.operators import splits as U
 from clonoscope.operators import stats as A
@@ -253,3 +254,116 @@ def test_dataset(spark):
     with pytest.raises(ValueError):
         union(seqs, meta)
     assert union(seqs, meta, fill=True).count() == 5
+
+
+def test_position_weights_of_short_sequences(spark):
+    assert one(spark, "AAA", E.position_info("s", 4, 2)) == [[1, 0, 0], [0.5, 0.5, 0.5], [0, 0, 1], [0, 0, 0]]
+    assert one(spark, "AA", E.position_info("s", 2, 3)) == [[1, 0, pytest.approx(2 / 3)], [pytest.approx(2 / 3), 0, 1]]
+
+
+def test_precision_by_support_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(1)
+    train = [(f"m{i}", rnd.randint(1, 30)) for i in range(60)]
+    test = [(m, rnd.randint(0, 9), rnd.randint(0, 9)) for m, _ in train[:50]]
+    got = {r["training_tp"]: (r["precision"], r["smoothed"]) for r in M.precision_by_support(spark.createDataFrame(train, "motif string, tp long"), spark.createDataFrame(test, "motif string, tp long, fp long"), 10, 5.0, 10.0).collect()}
+    of = dict(train)
+    x = sorted({of[m] for m, *_ in test})
+    sums = {v: [sum(r[k] for r in test if of[r[0]] == v) for k in (1, 2)] for v in x}
+    y = {v: t / (t + f) if t + f else 0 for v, (t, f) in sums.items()}
+    number = {v: sum(of[m] == v for m, *_ in test) for v in x}
+    assert set(got) == set(x)
+    for v in x:
+        r = 0
+        while sum(n for w, n in number.items() if abs(w - v) <= r) < 10:
+            r += 1
+        scale = 5.0 * r + 10.0
+        pdf = lambda w: 0 if w - v + scale <= 0 else math.exp(-(math.log((w - v + scale) / scale) ** 2) / 0.02) / (w - v + scale)  # noqa: B023, E731
+        assert got[v] == (pytest.approx(y[v]), pytest.approx(sum(pdf(w) * y[w] for w in x) / sum(map(pdf, x))))
+
+
+def test_receptor_matches(spark):
+    cell = lambda i, a, b, c: [(i, a, "TRA", "TRAV1", "TRAJ1", c), (i, b, "TRB", "TRBV1", "TRBJ1", c)]
+    rows = [*cell(1, "AAAA", "AAAA", 10), *cell(2, "SSSS", "SSSS", 10), *cell(3, "AAAA", "AAAA", 5), *cell(3, "CCCC", "AAAA", 5)]
+    df = spark.createDataFrame(rows, "repertoire_id int, sequence_aa string, locus string, v_call string, j_call string, duplicate_count long")
+    ref = spark.createDataFrame([("100", "TRA", "AAAA", "TRAV1", "TRAJ1"), ("100", "TRB", "SSSS", "TRBV1", "TRBJ1"), ("200", "TRA", "CCCC", "TRAV1", "TRAJ1"), ("200", "TRB", "TTTT", "TRBV1", "TRBJ1")], "cell_id string, locus string, sequence_aa string, v_call string, j_call string")
+    got = lambda **k: {tuple(r) for r in J.receptor_match_counts(df, ref, {"TRA": 0, "TRB": 0}, **k).collect()}
+    assert got() == {(1, "100.TRA", 1), (2, "100.TRB", 1), (3, "100.TRA", 1), (3, "200.TRA", 1)}
+    assert got(reads="all") == {(1, "100.TRA", 10), (2, "100.TRB", 10), (3, "100.TRA", 5), (3, "200.TRA", 5)}
+    assert got(normalised=True) == {(1, "100.TRA", 1), (2, "100.TRB", 1), (3, "100.TRA", 0.5), (3, "200.TRA", 0.5)}
+    assert got(summed=True) == {(1, "TRA", 1), (2, "TRB", 1), (3, "TRA", 2)}
+
+
+def test_fuzzy_presence(spark):
+    df = spark.createDataFrame([(1, "AAA", "V1", "J1"), (2, "AAC", "V1", "J1"), (2, "CCC", "V1", "J1"), (3, "AAA", "V2", "J1")], "repertoire_id int, seq string, v_call string, j_call string")
+    got = {(r["seq"], r["v_call"], r["repertoire_id"]) for r in J.fuzzy_presence(df, 1).collect()}
+    assert got == {("AAA", "V1", 1), ("AAA", "V1", 2), ("AAC", "V1", 1), ("AAC", "V1", 2), ("CCC", "V1", 2), ("AAA", "V2", 3)}
+    assert {(r["seq"], r["repertoire_id"]) for r in J.fuzzy_presence(df, 1, genes=False).collect()} >= {("AAC", 3), ("AAA", 2), ("AAA", 3)}
+
+
+def test_density_clusters(spark):
+    points = [0.0, 1.0, 2.0, 3.0, 10.0, 11.0, 20.0, 21.5, 3.9]
+    pairs = [(i, j) for i in range(9) for j in range(9) if i < j and abs(points[i] - points[j]) <= 1]
+    out = {r["id"]: r["cluster"] for r in L.density_clusters(spark.createDataFrame(pairs, "id_1 long, id_2 long"), spark.range(9), 3).collect()}
+    assert out == {0: 1, 1: 1, 2: 1, 3: 1, 8: 1, 4: None, 5: None, 6: None, 7: None}
+
+
+def test_implants_substitute_and_keep_the_gap(spark):
+    df = spark.createDataFrame([(str(i), "GGGGGGGGGG") for i in range(200)], "sequence_id string, sequence_aa string")
+    seed = G.Seed("AC/D", 1, 2, substitutions=1, alphabet="ACDE")
+    out = [r["sequence_aa"] for r in G.implanted(df, G.Signal("x", (seed,))).collect()]
+    import re
+
+    bodies = [re.fullmatch("G*([ACDE]{2})(G{1,2})([ACDE])G*", x) for x in out]
+    assert all(bodies) and {len(x) for x in out} == {10}
+    changed = [sum(a != b for a, b in zip(m[1] + m[3], "ACD")) for m in bodies]
+    assert set(changed) == {0, 1} and 60 < sum(changed) < 140 and {len(m[2]) for m in bodies} == {1, 2}
+
+
+def test_until_quota(spark):
+    def make(i, n):
+        return spark.range(i * n, i * n + n).select(F.col("id").alias("sequence_id"), (F.col("id") % 5 == 0).alias("sig"), (F.col("id") % 2).alias("p"))
+
+    assert [r[0] for r in G.until_quota(make, "sig", 5, 10, keep="p = 0").orderBy("sequence_id").collect()] == [0, 10, 20, 30, 40]
+    with pytest.raises(ValueError):
+        G.until_quota(make, "sig", 50, 10, 3)
+
+
+def test_small_tables(spark, tmp_path):
+    ex = spark.createDataFrame([(1,), (2,)], "repertoire_id int")
+    w = spark.createDataFrame([(1, 2.0)], "repertoire_id int, weight double")
+    assert {tuple(r) for r in E.example_weights(ex, w, "repertoire_id", 1.0).collect()} == {(1, 2.0), (2, 1.0)}
+    with pytest.raises(ValueError):
+        E.example_weights(ex, w, "repertoire_id")
+    cells = spark.createDataFrame([("b", "TRB", 0), ("a", "TRA", 1), ("b", "TRA", 2), ("a", "TRB", 3)], "cell_id string, locus string, i int")
+    assert [(r["cell_id"], r["locus"]) for r in P.in_order(cells, "i").collect()] == [("b", "TRA"), ("b", "TRB"), ("a", "TRA"), ("a", "TRB")]
+    both = L.with_origin(ex, spark.createDataFrame([(9,)], "repertoire_id int"))
+    assert {tuple(r) for r in both.collect()} == {(1, False), (2, False), (9, True)}
+    pwm, lengths = L.pwm_fit(spark.createDataFrame([("AC",), ("AD",)], "seq string")), spark.createDataFrame([(2, 1.0)], "length int, p double")
+    L.save_pwm(pwm, lengths, f"{tmp_path}/m")
+    assert L.apply_pwm(spark, f"{tmp_path}/m", 20, 3).collect() == L.pwm_sample(pwm, lengths, 20, 3).collect()
+    items = spark.createDataFrame([("AAA", "V1", 0.1), ("AAA", "V1", 0.1)], "seq string, v_call string, p double")
+    assert [tuple(r) for r in T.relevant_table(items, {"seq": "sequence_aa", "v_call": "v_call"}).collect()] == [("AAA", "V1")]
+    weights = L.centroids(spark.createDataFrame([(0, [0.0]), (0, [2.0]), (1, [9.0])], "cluster int, features array<double>"), 1)
+    near = L.nearest_centroid(weights, spark.createDataFrame([(5, [3.0]), (6, [8.0])], "id int, features array<double>"))
+    assert {tuple(r) for r in near.collect()} == {(5, 0), (6, 1)}
+    degrees = spark.createDataFrame([("a", 0, 2), ("b", 0, 4), ("a", 1, 1)], "r string, degree int, sequences long")
+    assert {r["degree"]: r["mean"] for r in T.degree_summary(degrees.drop("r"), []).collect()} == {0: 3, 1: 1}
+    side = spark.createDataFrame([("m", 1, 2, 3, 4)], "motif string, tp int, fp int, fn int, tn int")
+    assert T.motif_scores(side, side).first()["test_fp"] == 2
+    assert [r["id"] for r in L.worst(spark.createDataFrame([(1, 0.5), (2, 0.9)], "id int, divergence double"), 1).collect()] == [2]
+    z = spark.range(2000).select(G.zipf_counts("id").alias("n"))
+    assert z.agg(F.min("n")).first()[0] == 1 and z.where("n = 1").count() > 800
+
+
+def test_rows_by_file(spark):
+    from clonoscope.sources import readers as R
+
+    rows = [("x", "T", "TRBV1", None), ("x", "F", "TRBV2", None), ("y", "T", "IGHV1", "TRB"), ("y", None, None, "IGH"), ("y", "F", "IGHV2", "TRA")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "file_name string, productive string, v_call string, locus string, i int")
+    assert sorted(r["i"] for r in R.with_flag(df, "productive").collect()) == [0, 2, 3, 4]
+    assert [r["locus"] for r in R.with_locus(df).orderBy("i").collect()] == ["TRB", "TRB", "TRB", "IGH", "TRA"]
+    v = spark.createDataFrame([("0", "TRA", "A"), ("0", "TRA", "B"), ("7", "TRA", "C"), ("7", "TRB", "D"), ("8", "TRB", "F"), ("8", "TRB", "E")], "complex_id string, Gene string, CDR3 string")
+    got = {r["CDR3"]: (r["sequence_id"], r["cell_id"]) for r in R.vdjdb_rows(v, R.Options()).collect()}
+    assert got == {"A": (None, None), "B": (None, None), "C": ("7_TRA", "7"), "D": ("7_TRB", "7"), "E": ("8_TRB_1", "8"), "F": ("8_TRB_2", "8")}
