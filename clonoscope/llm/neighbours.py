@@ -3,7 +3,7 @@
 Inner products are searched as distances: each vector gets one more component that brings all of them to the largest norm, queries get
 a zero there. A bounded sample is clustered with a penalty on large clusters; the centroids and a graph over them (each one's
 nearest, and a few far ones) are broadcast. The ratio up to which lists are looked at is measured on the sample. Beam search in that graph, for a block of vectors at once, finds the
-nearest centroids. A vector is put on the lists of its nearest centroid and of those hardly farther (boundary vectors are on several
+nearest centroids, as many as it needs. A vector is put on the lists of its nearest centroid and of those hardly farther (boundary vectors are on several
 lists); a query looks at the lists whose distance is within a ratio of the nearest one's. Lists are split into blocks of bounded
 size, as are the queries of a list; a pair of blocks is one matrix product in double precision, which leaves each query's best.
 
@@ -12,7 +12,7 @@ a vector that a third of the rows hold nor a query of that kind makes a large gr
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite components take no part;
 rows that repeat vec_id and vector count once, and null vec_ids take no part; ties go to the smaller vec_id; an empty table
-gives no rows; other columns don't matter. With up to SMALL classes there is one list, and the search is exact.
+gives no rows; other columns don't matter. With one list the search is exact.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from pyspark.sql import Window as W
 
 from .common import cut
 
-#: Bounds of the sample: vectors per list, vectors, bytes. Bound of the number of lists.
-PER_LIST, SAMPLE, SAMPLE_BYTES, LISTS = 64, 65_536, 64 << 20, 4096
-#: Vectors of a list, about; up to how many classes there is one list; links of a centroid, and how many of them are far.
-SIZE, SMALL, LINKS, FAR = 2048, 2500, 24, 4
+#: Bounds of the sample: vectors per list, vectors, bytes. Least sampled vectors per list, which bounds the lists.
+PER_LIST, SAMPLE, SAMPLE_BYTES, LEAST = 64, 65_536, 64 << 20, 4
+#: Lists per root of the number of vectors; links of a centroid, and how many of them are far; centroids that a search looks for at first.
+SHARE, LINKS, FAR, FIRST = 0.5, 24, 4, 16
 #: Replicas of a vector, and how much farther their centroids may be.
 REPLICAS, REPLICA_RATIO = 4, 1.01
 #: The share of a sample's nearest neighbours whose lists the ratio for queries has to reach, and queries of that sample.
@@ -54,12 +54,28 @@ class Index:
         x = x.astype(np.float64)
         return np.concatenate([x, np.sqrt(np.maximum(self.norm2 - (x * x).sum(1), 0))[:, None]], 1)
 
+    def within(self, x: np.ndarray, ratio: float, enough: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(row, centroid) of the centroids whose distance is within `ratio` of the nearest one's, and of as many nearest ones as hold
+        `least` postings (enough: of each centroid); and how many centroids were looked for. Each row's search is as wide as it has to
+        be: rows whose widest find still belongs to the result search again, twice as wide."""
+        rows, found, width, looked = np.arange(len(x)), [], min(FIRST, len(self.centroids)), 0
+        while len(rows):
+            at, d = self.nearest(x[rows], width)
+            held = np.cumsum(enough[at], axis=1) - enough[at]
+            ok = (d <= ratio**2 * d[:, :1] + 1e-12) | (held < least)
+            open_ = ok[:, -1] & (width < len(self.centroids))
+            i, j = np.nonzero(ok & ~open_[:, None])
+            found.append((rows[i], at[i, j]))
+            looked += int(width * (~open_).sum())
+            rows, width = rows[open_], min(2 * width, len(self.centroids))
+        return np.concatenate([a for a, _ in found] or [rows]), np.concatenate([b for _, b in found] or [rows]), looked
+
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest centroids of each row and their squared distances, ascending, by beam search in the graph."""
         n, lists = len(x), len(self.centroids)
         c2 = (self.centroids * self.centroids).sum(1)
         x2 = (x * x).sum(1)
-        beam = min(lists, max(2 * k, 32))
+        beam = min(lists, max(k + k // 2, 32))
         rows = np.arange(n)[:, None]
         seen = np.zeros((n, lists), bool)
         opened = np.zeros((n, lists), bool)
@@ -151,9 +167,10 @@ def ratio_for(index: Index, sample: np.ndarray, k: int) -> float:
     product = sample[tried] @ sample.T
     product[np.arange(len(tried)), tried] = -np.inf
     best = np.argsort(-product, axis=1)[:, :k]
-    order, far = index.nearest(np.concatenate([sample[tried], np.zeros((len(tried), 1))], 1), lists)
-    far = np.sqrt(far / np.maximum(far[:, :1], 1e-12))
-    need = [far[i][held[order[i]][:, best[i]].argmax(0)] for i in range(len(tried))]
+    x = np.concatenate([sample[tried], np.zeros((len(tried), 1))], 1)
+    far = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (index.centroids * index.centroids).sum(1) - 2 * x @ index.centroids.T, 0))
+    far /= np.maximum(far.min(1, keepdims=True), 1e-12)
+    need = [np.where(held[:, best[i]], far[i][:, None], np.inf).min(0) for i in range(len(tried))]
     return float(np.quantile(np.concatenate(need), AIM))
 
 
@@ -166,9 +183,9 @@ def valid(vectors: DataFrame) -> DataFrame:
     return v.where(F.size("embedding") == (dim["dim"] if dim else 0))
 
 
-def neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by `every` the k other vectors of vectors (vec_id, embedding) with
-    the largest inner product."""
+    the largest inner product. lists: their number, instead of one that follows the number of vectors."""
     spark = vectors.sparkSession
     v = valid(vectors)
     dim = len(first["embedding"]) if (first := v.first()) else 1
@@ -180,13 +197,14 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     classes = v.join(some.select("cid", "ids"), F.col("vec_id") == F.col("cid")).select("cid", "ids", "embedding").dropDuplicates(["cid"])
     classes = cut(classes)
     n, norm2 = classes.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).first()
-    lists = 1 if n <= SMALL else min(LISTS, max(2, n // SIZE))
+    lists = lists or max(1, int(SHARE * n**0.5))
     size = max(1, min(max(lists * PER_LIST, 8192), SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    lists = max(1, min(lists, size // LEAST))
     picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(size).select("embedding").toPandas()["embedding"]
     sample = np.stack(picked) if len(picked) else np.ones((1, dim))
     index = built(sample, float(norm2 or 1), lists)
     ratio = ratio_for(index, sample, max(1, -(-k * len(sample) // max(n, 1))))
-    shared = spark.sparkContext.broadcast(index)  # LISTS x (dim + 1) doubles and LISTS x LINKS links at most
+    shared = spark.sparkContext.broadcast(index)  # a LEAST-th of the sample's bytes, and LINKS links a list, at most
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
@@ -202,7 +220,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     postings = cut(classes.mapInPandas(posted, f"list long, cid long, ids array<long>, embedding {vector}"))
     sizes = postings.groupBy("list").agg(F.count("*").alias("size"))
     filled = np.zeros(len(index.centroids), int)
-    for row in sizes.collect():  # LISTS rows at most
+    for row in sizes.collect():  # a row per list
         filled[row["list"]] = row["size"]
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,13 +229,9 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
                 x = np.stack(part["embedding"])
-                at, d = own.nearest(np.concatenate([x, np.zeros((len(x), 1))], 1), len(own.centroids))
-                ok = d <= ratio**2 * d[:, :1] + 1e-12
                 # Lists enough to hold k + 1 vectors, replicas taken off.
-                got = np.cumsum(filled[at], axis=1) - filled[at]
-                ok |= got < REPLICAS * (k + 1)
-                i, j = np.nonzero(ok)
-                yield pd.DataFrame({"list": at[i, j], "qid": part["qid"].to_numpy()[i], "embedding": part["embedding"].to_numpy()[i]})
+                i, at, _ = own.within(np.concatenate([x, np.zeros((len(x), 1))], 1), ratio, filled, REPLICAS * (k + 1))
+                yield pd.DataFrame({"list": at, "qid": part["qid"].to_numpy()[i], "embedding": part["embedding"].to_numpy()[i]})
 
     queries = ids.where(F.col("vec_id") % every == 0).join(some.select("e1", "e2", F.col("cid").alias("qid")), ["e1", "e2"]).select("vec_id", "qid")
     queries = cut(queries)

@@ -359,7 +359,7 @@ def test_neighbours_are_exact_in_one_list(spark):
     rows += [(300 + i, rows[20][1]) for i in range(50)] + [(20, rows[20][1])]
     bad = [(900, None), (920, []), (940, [0.0] * 6), (960, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (980, [float("nan")] * 6), (1000, [1.0, 2.0]), (None, [1.0] * 6), (1020, [float("inf")] * 6)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows + bad], "vec_id long, embedding array<float>, list string, cid int")
-    got = neighbours.neighbours(df).toPandas().sort_values(["query_id", "rank"])
+    got = neighbours.neighbours(df, lists=1).toPandas().sort_values(["query_id", "rank"])
     want = exact_neighbours([(i, np.float32(v)) for i, v in rows])
     assert {q: list(g.vec_id) for q, g in got.groupby("query_id")} == want
     vectors = {i: np.float32(v).astype(float) for i, v in rows}
@@ -367,9 +367,29 @@ def test_neighbours_are_exact_in_one_list(spark):
     assert collected(neighbours.neighbours(df.where("false"))) == []
 
 
-def test_neighbours_recall(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "SMALL", 100)
-    monkeypatch.setattr(neighbours, "SIZE", 100)
+def test_neighbours_of_few_vectors(spark):
+    """Fewer candidates than places: all of them, whatever the lists."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(0, 300, 20)], "vec_id long, embedding array<float>")
+    got = neighbours.neighbours(df, lists=4).toPandas()
+    assert len(got) == 15 * 14 and (got.groupby("query_id").vec_id.nunique() == 14).all()
+
+
+def test_centroid_search_is_as_wide_as_it_needs():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 16)) * 4
+    sample = (centres[rng.integers(0, 200, 30_000)] + rng.normal(size=(30_000, 16))).astype(float)
+    index = neighbours.built(sample, float((sample * sample).sum(1).max()), 512)
+    x = np.concatenate([sample[:200], np.zeros((200, 1))], 1)
+    ratio = 1.1
+    i, at, looked = index.within(x, ratio, np.full(len(index.centroids), 60), 84)
+    d = np.sqrt(((x[:, None, :] - index.centroids) ** 2).sum(2))
+    want = {(r, c) for r, c in zip(*np.nonzero(d <= ratio * d.min(1, keepdims=True)))}
+    got = set(zip(i.tolist(), at.tolist()))
+    assert len(want - got) <= 0.05 * len(want) and looked / 200 < len(index.centroids) / 4
+
+
+def test_neighbours_recall(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=12) * (1 + i % 3)]) for i in range(1500)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
