@@ -54,10 +54,12 @@ def training_rows(docs: DataFrame) -> DataFrame:
     """lang, text of the sample: one scan that aggregates to a row per language and hash class, then the texts of those."""
     key = F.struct(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").alias("doc_id"))
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    most = max(4, min(PER_LANGUAGE, SAMPLE // max(1, rows.select("lang").distinct().count())))
+    languages = rows.select("lang").distinct().count()
+    most = max(4, min(PER_LANGUAGE, SAMPLE // max(1, languages)))
     picked = rows.groupBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(most)).alias("class")).agg(F.min(key).alias("key"))
-    # Adaptive execution broadcasts these ids if they are found to be few.
     picked = picked.select("lang", F.col("key.doc_id").alias("doc_id"))
+    if languages * most <= SAMPLE:  # so many ids at most
+        picked = F.broadcast(picked)
     return rows.select("doc_id", "lang", "text").join(picked, ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"])
 
 

@@ -5,7 +5,8 @@ a zero there. A bounded sample is clustered with a penalty on large clusters; th
 nearest, and a few far ones) are broadcast. The ratio up to which lists are looked at is measured on the sample. Beam search in that graph, for a block of vectors at once, finds the
 nearest centroids, as many as it needs. A vector is put on the lists of its nearest centroid and of those hardly farther (boundary vectors are on several
 lists); a query looks at the lists whose distance is within a ratio of the nearest one's. Lists are split into blocks of bounded
-size, as are the queries of a list; a pair of blocks is one matrix product in double precision, which leaves each query's best.
+size, as are the queries of a list; a pair of blocks is one matrix product in double precision, which leaves each query's best. A query's nearest
+list is searched first, and the others give only vectors that are as good as the last place there.
 
 Equal vectors are one class from the start, listed once with its smallest ids; equal queries are searched once. So neither
 a vector that a third of the rows hold nor a query of that kind makes a large group.
@@ -54,8 +55,8 @@ class Index:
         x = x.astype(np.float64)
         return np.concatenate([x, np.sqrt(np.maximum(self.norm2 - (x * x).sum(1), 0))[:, None]], 1)
 
-    def within(self, x: np.ndarray, ratio: float, enough: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(row, centroid) of the centroids whose distance is within `ratio` of the nearest one's, and of as many nearest ones as hold
+    def within(self, x: np.ndarray, ratio: float, enough: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(row, centroid, place) of the centroids whose distance is within `ratio` of the nearest one's, and of as many nearest ones as hold
         `least` postings (enough: of each centroid); and how many centroids were looked for. Each row's search is as wide as it has to
         be: rows whose widest find still belongs to the result search again, twice as wide."""
         rows, found, width, looked = np.arange(len(x)), [], min(FIRST, len(self.centroids)), 0
@@ -65,10 +66,10 @@ class Index:
             ok = (d <= ratio**2 * d[:, :1] + 1e-12) | (held < least)
             open_ = ok[:, -1] & (width < len(self.centroids))
             i, j = np.nonzero(ok & ~open_[:, None])
-            found.append((rows[i], at[i, j]))
+            found.append((rows[i], at[i, j], j))
             looked += int(width * (~open_).sum())
             rows, width = rows[open_], min(2 * width, len(self.centroids))
-        return np.concatenate([a for a, _ in found] or [rows]), np.concatenate([b for _, b in found] or [rows]), looked
+        return *(np.concatenate([x[k] for x in found] or [rows]) for k in range(3)), looked
 
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest centroids of each row and their squared distances, ascending, by beam search in the graph."""
@@ -230,32 +231,33 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | No
                 part = batch.iloc[lo : lo + 256]
                 x = np.stack(part["embedding"])
                 # Lists enough to hold k + 1 vectors, replicas taken off.
-                i, at, _ = own.within(np.concatenate([x, np.zeros((len(x), 1))], 1), ratio, filled, REPLICAS * (k + 1))
-                yield pd.DataFrame({"list": at, "qid": part["qid"].to_numpy()[i], "embedding": part["embedding"].to_numpy()[i]})
+                i, at, place, _ = own.within(np.concatenate([x, np.zeros((len(x), 1))], 1), ratio, filled, REPLICAS * (k + 1))
+                yield pd.DataFrame({"list": at, "qid": part["qid"].to_numpy()[i], "embedding": part["embedding"].to_numpy()[i], "first": place == 0})
 
     queries = ids.where(F.col("vec_id") % every == 0).join(some.select("e1", "e2", F.col("cid").alias("qid")), ["e1", "e2"]).select("vec_id", "qid")
     queries = cut(queries)
     asked = queries.select("qid").distinct().join(classes.select(F.col("cid").alias("qid"), "embedding"), "qid")
-    asked = asked.mapInPandas(probed, f"list long, qid long, embedding {vector}")
+    asked = cut(asked.mapInPandas(probed, f"list long, qid long, embedding {vector}, first boolean"))
 
     def blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
-        """(list, ids, vectors, more): the rows of a list in blocks, as bytes; more: how many ids each class has, and the ids."""
+        """(list, ids, vectors, more): the rows of a list in blocks, as bytes; more: how many ids each class has, and the ids, or
+        of queries the score that a vector must have."""
         count = cut(rows.groupBy("list").agg(F.ceil(F.count("*") / most).alias("parts")))
         rows = rows.join(count, "list").withColumn("part", F.pmod(F.xxhash64(key), "parts"))
 
         def pack(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(key)
-            more = b"" if key == "qid" else np.array([len(x) for x in frame["ids"]], np.int64).tobytes() + np.concatenate(list(frame["ids"])).astype(np.int64).tobytes()
+            more = frame["bound"].to_numpy(float).tobytes() if key == "qid" else np.array([len(x) for x in frame["ids"]], np.int64).tobytes() + np.concatenate(list(frame["ids"])).astype(np.int64).tobytes()
             return pd.DataFrame({"list": frame["list"].iloc[:1], "ids": [frame[key].to_numpy(np.int64).tobytes()], "vectors": [np.stack(frame["embedding"]).tobytes()], "more": [more]})
 
         return cut(rows.groupBy("list", "part").applyInPandas(pack, "list long, ids binary, vectors binary, more binary"), rows=8)
 
-    left = blocks(cut(asked), "qid", QUERIES).select("list", F.col("ids").alias("qids"), F.col("vectors").alias("q"))
     right = blocks(postings, "cid", BLOCK)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for qids, q, ids, x, more in batch[["qids", "q", "ids", "vectors", "more"]].itertuples(index=False):
+            for qids, q, bounds, ids, x, more in batch[["qids", "q", "bounds", "ids", "vectors", "more"]].itertuples(index=False):
+                bounds = np.frombuffer(bounds)
                 qids, cid = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
                 qv, xv = np.frombuffer(q).reshape(len(qids), -1), np.frombuffer(x).reshape(len(cid), -1)
                 more = np.frombuffer(more, np.int64)
@@ -264,9 +266,11 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | No
                 most = min(k + 1, len(cid))
                 product = qv @ xv.T
                 # Everything at the last place's score, up to rounding, is scored again in one fixed order of summation.
-                limit = np.partition(product, len(cid) - most, axis=1)[:, len(cid) - most]
+                limit = np.maximum(np.partition(product, len(cid) - most, axis=1)[:, len(cid) - most], bounds)
                 i, j = np.nonzero(product >= (limit - 1e-12 * np.abs(product).max())[:, None])
                 score = (qv[i] * xv[j]).sum(1)
+                ok = score >= bounds[i]
+                i, j, score = i[ok], j[ok], score[ok]
                 order = np.lexsort((cid[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
                 first = np.searchsorted(i, np.arange(len(qids)))
@@ -276,8 +280,16 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | No
                 member = held[np.repeat(start[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 yield pd.DataFrame({"qid": np.repeat(qids[i], n), "vec_id": member, "score": np.repeat(score, n)})
 
-    found = cut(left.join(right, "list").mapInPandas(scored, "qid long, vec_id long, score double"), rows=4).distinct()
+    def searched(rows: DataFrame) -> DataFrame:
+        left = blocks(rows, "qid", QUERIES).select("list", F.col("ids").alias("qids"), F.col("vectors").alias("q"), F.col("more").alias("bounds"))
+        return cut(left.join(right, "list").mapInPandas(scored, "qid long, vec_id long, score double"), rows=4)
+
+    # The nearest list first: the others have to give only what is as good as its last place.
     best = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    near = searched(asked.where("first").withColumn("bound", F.lit(float("-inf"))))
+    bounds = cut(near.withColumn("place", F.row_number().over(best)).where(F.col("place") == k + 1).select("qid", F.col("score").alias("bound")))
+    rest = asked.where("NOT first").join(bounds, "qid", "left").na.fill(float("-inf"), ["bound"])
+    found = near.union(searched(rest)).distinct()
     found = cut(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"))
     out = queries.withColumnRenamed("vec_id", "query_id").join(found, "qid").where("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

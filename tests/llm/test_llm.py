@@ -382,7 +382,7 @@ def test_centroid_search_is_as_wide_as_it_needs():
     index = neighbours.built(sample, float((sample * sample).sum(1).max()), 512)
     x = np.concatenate([sample[:200], np.zeros((200, 1))], 1)
     ratio = 1.1
-    i, at, looked = index.within(x, ratio, np.full(len(index.centroids), 60), 84)
+    i, at, _, looked = index.within(x, ratio, np.full(len(index.centroids), 60), 84)
     d = np.sqrt(((x[:, None, :] - index.centroids) ** 2).sum(2))
     want = {(r, c) for r, c in zip(*np.nonzero(d <= ratio * d.min(1, keepdims=True)))}
     got = set(zip(i.tolist(), at.tolist()))
