@@ -73,6 +73,9 @@ class Index:
 
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest centroids of each row and their squared distances, ascending, by beam search in the graph."""
+        if len(x) > 512:  # bounds the block of link vectors
+            parts = [self.nearest(x[lo : lo + 512], k) for lo in range(0, len(x), 512)]
+            return np.concatenate([a for a, _ in parts]), np.concatenate([d for _, d in parts])
         n, lists = len(x), len(self.centroids)
         c2 = (self.centroids * self.centroids).sum(1)
         x2 = (x * x).sum(1)
