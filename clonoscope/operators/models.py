@@ -153,6 +153,70 @@ def centroids(df: DataFrame, size: int, cluster: str = "cluster") -> DataFrame:
     return df.groupBy(cluster).agg(F.array(*[F.avg(F.get("features", i)) for i in range(size)]).alias("features"))
 
 
+#: Rows at most that kernel components are fitted on.
+LANDMARKS = 1000
+
+
+def kernel_values(x: np.ndarray, y: np.ndarray, kind: str, gamma: float, degree: int, add: float) -> np.ndarray:
+    dot = x @ y.T
+    if kind == "rbf":
+        return np.exp(-gamma * np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * dot, 0))
+    return dot if kind == "linear" else (gamma * dot + add) ** degree
+
+
+def kernel_pca(df: DataFrame, k: int, kind: str = "rbf", gamma: float | None = None, degree: int = 3, add: float = 1.0, key: str = "id", most: int = LANDMARKS, seed: int = 0) -> DataFrame:
+    """df (key, features: arrays) with `components`: by a linear, rbf or poly kernel, centred. Fitted on all rows, or on the `most` that come first by
+    the MD5 of the key, a sample that bounds what the driver holds; every row is projected, by one matrix product per batch. A component's
+    largest coefficient is positive. gamma is 1 / features by default; components without variance are 0."""
+    from .splits import shuffled
+
+    df = df.withColumn("features", F.col("features").cast("array<double>"))
+    marks = np.array([r[0] for r in df.where("features IS NOT NULL").orderBy(*shuffled(key, seed)).limit(most).select("features").collect()], dtype=np.float64)
+    if not len(marks):
+        return df.withColumn("components", F.lit(None).cast("array<double>"))
+    scale = gamma if gamma is not None else 1 / marks.shape[1]
+    own = kernel_values(marks, marks, kind, scale, degree, add)
+    means, mean = own.mean(0), own.mean()
+    values, axes = np.linalg.eigh(own - means[None, :] - means[:, None] + mean)
+    order = np.argsort(-values)[:k]
+    values, axes = values[order], axes[:, order]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(len(order))])
+    axes = np.where(values > 1e-12 * max(values[0], 1e-300), axes / np.sqrt(np.maximum(values, 1e-300)), 0)
+    shared = df.sparkSession.sparkContext.broadcast((marks, means, mean, axes))
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        marks, means, mean, axes = shared.value
+        out = pd.Series([None] * len(x), dtype=object)
+        there = np.flatnonzero(x.notna())
+        if len(there):
+            v = kernel_values(np.stack(x.iloc[there].to_list()).astype(np.float64), marks, kind, scale, degree, add)
+            v = (v - v.mean(1)[:, None] - means[None, :] + mean) @ axes
+            out.iloc[there] = list(v)
+        return out
+
+    return df.withColumn("components", project("features"))
+
+
+def stability(df: DataFrame, settings: dict[str, int], size: int, runs: int = 5, key: str = "id", seed: int = 0) -> DataFrame:
+    """(setting, run, adjusted_rand): how far clusterings hold on other rows. In each run the rows (key, features) are halved at random; both halves are
+    clustered, with settings (name: number of clusters), and the clusters that the first half gives the second by its
+    nearest centroids are compared with the second's own."""
+    from .splits import random_split
+    from .stats import clustering_agreement
+
+    rows = []
+    for run in range(runs):
+        halves = cut(random_split(df.select(key, "features"), key, 0.5, seed + run))
+        first, second = (halves.where(F.col("part") == part).drop("part") for part in ("train", "test"))
+        for name, k in settings.items():
+            found = kmeans(first, k, seed + run).select("cluster", vector_to_array("features").alias("features"))
+            given = nearest_centroid(centroids(found, size), second, key).withColumnRenamed("cluster", "given")
+            both = kmeans(second, k, seed + run).select(key, "cluster").join(given, key)
+            rows.append((name, run, float(clustering_agreement(both, "cluster", "given").first()["adjusted_rand"])))
+    return df.sparkSession.createDataFrame(rows, "setting string, run int, adjusted_rand double")
+
+
 class BetaBinomial:
     """Two beta-binomial models of (relevant, total) counts, for positive and negative examples; predicts by posterior odds.
 

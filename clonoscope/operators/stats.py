@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import lgamma
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -291,3 +292,70 @@ def average_precision(df: DataFrame, truth: str = "truth", score: str = "score")
     within = W.partitionBy("b").orderBy(F.desc("s"))
     rows = counts.join(ahead, "b").select("p", *[(F.sum(c).over(within) + F.col(f"a{c}")).alias(f"c{c}") for c in "pn"])
     return rows.agg((F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.sum("p")).alias("average_precision"))
+
+
+def multiclass_auc(df: DataFrame, pairwise: bool = False, truth: str = "truth", name: str = "class", score: str = "score") -> DataFrame:
+    """(auc): the mean area under the ROC curve over classes, from rows (truth, class, score) of each example and class: each class against
+    all others, or pairwise against one other in turn. Rows are counted per distinct score first; a class without rows of both sides has no area."""
+    counts = df.groupBy(F.col(name).alias("c"), F.col(score).alias("s"), F.col(truth).alias("t")).agg(F.count("*").cast("double").alias("n"))
+    own, other = counts.where("t = c"), counts.where("t <> c")
+    if pairwise:
+        other = other.select("c", "s", F.col("t").alias("o"), F.lit(0.0).alias("p"), F.col("n").alias("q"))
+        against = other.select("c", "o").distinct()
+        sides = own.select("c", "s", F.col("n").alias("p")).join(against, "c").select("c", "s", "o", "p", F.lit(0.0).alias("q")).union(other)
+    else:
+        sides = counts.select("c", "s", F.lit("").alias("o"), F.when(F.col("t") == F.col("c"), F.col("n")).otherwise(0.0).alias("p"), F.when(F.col("t") != F.col("c"), F.col("n")).otherwise(0.0).alias("q"))
+    points = sides.groupBy("c", "o", "s").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    below = F.coalesce(F.sum("q").over(W.partitionBy("c", "o").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    areas = points.withColumn("w", F.col("p") * (below + F.col("q") / 2)).groupBy("c", "o")
+    return areas.agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("q")).alias("a")).agg(F.avg("a").alias("auc"))
+
+
+def internal_indices(df: DataFrame, size: int, cluster: str = "cluster", features: str = "features") -> DataFrame:
+    """(calinski_harabasz, davies_bouldin) of clusters of rows with feature arrays of a size: the scatter between clusters over that within,
+    each by its degrees of freedom (1 if there is none within), and the mean over clusters of the worst ratio of spreads to distance."""
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    mean = F.array(*[F.avg(F.get(features, i)) for i in range(size)])
+    middle = df.groupBy(F.col(cluster).alias("c")).agg(mean.alias("m"), F.count("*").alias("n"))
+    d2 = far(F.col(features), F.col("m"))
+    spread = df.join(middle, F.col(cluster) == F.col("c")).groupBy("c").agg(F.sum(d2).alias("w"), F.avg(F.sqrt(d2)).alias("s"))
+    spread = spread.join(middle, "c").join(df.agg(mean.alias("g")), F.lit(True))
+    total = F.sum("n")
+    within, between = F.sum("w") / (total - F.count("*")), F.sum(F.col("n") * far(F.col("m"), F.col("g"))) / (F.count("*") - 1)
+    first = spread.agg(F.when(F.sum("w") == 0, 1.0).otherwise(between / within).alias("calinski_harabasz"))
+    side = spread.select(F.col("c").alias("c2"), F.col("m").alias("m2"), F.col("s").alias("s2"))
+    pairs = spread.select("c", "m", "s").join(side, F.col("c") != F.col("c2"))
+    worst = pairs.groupBy("c").agg(F.max(F.coalesce(F.try_divide(F.col("s") + F.col("s2"), F.sqrt(far(F.col("m"), F.col("m2")))), F.lit(0.0))).alias("r"))
+    return first.join(worst.agg(F.avg("r").alias("davies_bouldin")), F.lit(True))
+
+
+def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(expected, adjusted): mutual information that labelings of these cluster sizes have by chance, and what is left of theirs beyond it, as a
+    share of the mean entropy's. The expectation is taken once for each two distinct sizes, of which there are few."""
+    from .joins import bounded
+
+    sizes = lambda c, name: df.groupBy(c).agg(F.count("*").alias(name)).groupBy(name).agg(F.count("*").alias(f"{name}_times"))
+    n = df.agg(F.count("*").alias("t"))
+    grid = sizes(a, "x").join(bounded(sizes(b, "y")), F.lit(True)).join(F.broadcast(n), F.lit(True))
+
+    @F.pandas_udf("double")
+    def chance(x: pd.Series, y: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([expected_information(int(i), int(j), int(k)) for i, j, k in zip(x, y, t, strict=True)], dtype="float64")
+
+    made = grid.agg(F.sum(chance("x", "y", "t") * F.col("x_times") * F.col("y_times")).alias("expected"))
+    entropy = lambda c, name: df.groupBy(c).agg(F.count("*").alias("x")).join(F.broadcast(n), F.lit(True)).agg((-F.sum(F.col("x") / F.col("t") * F.ln(F.col("x") / F.col("t")))).alias(name))
+    mi = clustering_agreement(df, a, b).select("mutual_information")
+    row = made.join(mi, F.lit(True)).join(entropy(a, "ha"), F.lit(True)).join(entropy(b, "hb"), F.lit(True))
+    mean = (F.col("ha") + F.col("hb")) / 2
+    return row.select("expected", F.coalesce(F.try_divide(F.col("mutual_information") - F.col("expected"), mean - F.col("expected")), F.lit(1.0)).alias("adjusted"))
+
+
+def expected_information(x: int, y: int, t: int) -> float:
+    """The expected share of two clusters of sizes x and y of t rows in the mutual information: over the sizes n that their intersection can have,
+    by the hypergeometric distribution, whose probabilities follow from each other."""
+    lo, hi = max(1, x + y - t), min(x, y)
+    n = np.arange(lo, hi + 1, dtype=np.float64)
+    steps = np.log(x - n[:-1]) + np.log(y - n[:-1]) - np.log(n[1:]) - np.log(t - x - y + n[1:])
+    start = lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(lo + 1) - lgamma(x - lo + 1) - lgamma(y - lo + 1) - lgamma(t - x - y + lo + 1)
+    logs = start + np.concatenate([[0.0], np.cumsum(steps)])
+    return float((n / t * np.log(t * n / (x * y)) * np.exp(logs)).sum())

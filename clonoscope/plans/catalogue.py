@@ -839,6 +839,27 @@ def average_precision(spark, d):
     return rounded(A.average_precision(_scored(spark, d)), "average_precision")
 
 
+@query(", v AS (SELECT l_returnflag AS truth, l_quantity::DOUBLE AS x, l_discount::DOUBLE AS y FROM lineitem), t AS (SELECT truth, 'A' AS class, x AS score FROM v UNION ALL SELECT truth, 'N', y FROM v UNION ALL SELECT truth, 'R', x * y FROM v), c AS (SELECT class, truth = class AS own, CASE WHEN truth <> class THEN truth END AS other, score, count(*)::DOUBLE AS n FROM t GROUP BY ALL), pr AS (SELECT a.class, b.other, sum(a.n * b.n * CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS w, sum(a.n * b.n) AS z FROM c a JOIN c b ON a.class = b.class AND a.own AND NOT b.own GROUP BY ALL) SELECT round((SELECT avg(r) FROM (SELECT sum(w) / sum(z) AS r FROM pr GROUP BY class)), 6) AS ovr, round((SELECT avg(w / z) FROM pr), 6) AS ovo")
+def auc_multiclass(spark, d):
+    df = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("truth"), F.col("l_quantity").cast("double").alias("x"), F.col("l_discount").cast("double").alias("y"))
+    scores = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), v.alias("score")) for c, v in (("A", F.col("x")), ("N", F.col("y")), ("R", F.col("x") * F.col("y")))]))
+    df = df.select("truth", scores.alias("s")).select("truth", "s.*")
+    both = A.multiclass_auc(df).withColumnRenamed("auc", "ovr").join(A.multiclass_auc(df, pairwise=True).withColumnRenamed("auc", "ovo"), F.lit(True))
+    return rounded(both, "ovr", "ovo")
+
+
+@query(", e AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, 65)) AS t(i)), mu AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT i, avg(x) AS g FROM e GROUP BY i), dd AS (SELECT vec_id, label, sum((x - m) ** 2) AS d2 FROM e JOIN mu USING (label, i) GROUP BY ALL), sp AS (SELECT label, sum(d2) AS w, avg(sqrt(d2)) AS s, count(*) AS n FROM dd GROUP BY label), b AS (SELECT sum(n * (m - g) ** 2) AS b FROM mu JOIN g USING (i)), pr AS (SELECT a.label, z.label AS other, sqrt(sum((a.m - z.m) ** 2)) AS far FROM mu a JOIN mu z ON a.i = z.i AND a.label <> z.label GROUP BY ALL), r AS (SELECT pr.label, max((a.s + z.s) / far) AS r FROM pr JOIN sp a ON a.label = pr.label JOIN sp z ON z.label = pr.other GROUP BY pr.label) SELECT round((SELECT b FROM b) / ((SELECT count(*) FROM sp) - 1) / ((SELECT sum(w) FROM sp) / ((SELECT sum(n) FROM sp) - (SELECT count(*) FROM sp))), 6) AS calinski_harabasz, round((SELECT avg(r) FROM r), 6) AS davies_bouldin")
+def cluster_indices(spark, d):
+    df = _vectors(spark, d).withColumnRenamed("label", "cluster")
+    return rounded(A.internal_indices(df, 64), "calinski_harabasz", "davies_bouldin")
+
+
+@query(", t AS (SELECT label AS a, vec_id % 7 AS b FROM embeddings), c AS (SELECT a, b, count(*)::DOUBLE AS n FROM t GROUP BY ALL), ra AS (SELECT a, sum(n) AS x FROM c GROUP BY a), rb AS (SELECT b, sum(n) AS y FROM c GROUP BY b), z AS (SELECT sum(n) AS t FROM c), em AS (SELECT sum(n / t * ln(t * n / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(x - n + 1) - lgamma(y - n + 1) - lgamma(t - x - y + n + 1))) AS expected FROM ra, rb, z, unnest(range(greatest(1, x + y - t)::BIGINT, least(x, y)::BIGINT + 1)) AS u(n)), mi AS (SELECT sum(n / t * ln(n * t / (x * y))) AS mi FROM c JOIN ra USING (a) JOIN rb USING (b), z), ha AS (SELECT -sum(x / t * ln(x / t)) AS ha FROM ra, z), hb AS (SELECT -sum(y / t * ln(y / t)) AS hb FROM rb, z) SELECT round(expected, 6) AS expected, round((mi - expected) / ((ha + hb) / 2 - expected), 6) AS adjusted FROM em, mi, ha, hb")
+def ami(spark, d):
+    df = table(spark, d, "embeddings").select(F.col("label").alias("a"), (F.col("vec_id") % 7).alias("b"))
+    return rounded(A.adjusted_mutual_information(df, "a", "b"), "expected", "adjusted")
+
+
 # models, all but the first without SQL
 
 
@@ -869,6 +890,16 @@ def pca(spark, d):
     return L.pca(_vectors(spark, d), 2).select("id", F.round(F.get("components", 0), 6).alias("c1"), F.round(F.get("components", 1), 6).alias("c2"))
 
 
+@query()
+def kernel_pca(spark, d):
+    return L.kernel_pca(_vectors(spark, d), 2).select("id", F.round(F.get("components", 0), 6).alias("c1"), F.round(F.get("components", 1), 6).alias("c2"))
+
+
+@query()
+def clustering_stability(spark, d):
+    return L.stability(_vectors(spark, d), {"k2": 2, "k4": 4}, 64, runs=2)
+
+
 @query()
 def logreg_cv(spark, d):
     df = _vectors(spark, d).withColumns({"label": (F.col("label") > 4).cast("double"), "fold": (F.col("id") % 3).cast("int")})

@@ -367,3 +367,61 @@ def test_rows_by_file(spark):
     v = spark.createDataFrame([("0", "TRA", "A"), ("0", "TRA", "B"), ("7", "TRA", "C"), ("7", "TRB", "D"), ("8", "TRB", "F"), ("8", "TRB", "E")], "complex_id string, Gene string, CDR3 string")
     got = {r["CDR3"]: (r["sequence_id"], r["cell_id"]) for r in R.vdjdb_rows(v, R.Options()).collect()}
     assert got == {"A": (None, None), "B": (None, None), "C": ("7_TRA", "7"), "D": ("7_TRB", "7"), "E": ("8_TRB_1", "8"), "F": ("8_TRB_2", "8")}
+
+
+def test_more_indices(spark):
+    from math import comb, log
+
+    import numpy as np
+
+    from clonoscope.operators import stats as A
+
+    rng = np.random.default_rng(5)
+    truth, scores = rng.choice(list("abc"), 60), rng.integers(0, 6, (60, 3)) / 5
+    df = spark.createDataFrame([(t, c, float(v)) for t, row in zip(truth.tolist(), scores) for c, v in zip("abc", row)], "truth string, class string, score double")
+
+    def area(p, q):
+        return np.mean([(x > y) + (x == y) / 2 for x in p for y in q])
+
+    ovr = np.mean([area(scores[truth == c, i], scores[truth != c, i]) for i, c in enumerate("abc")])
+    ovo = np.mean([area(scores[truth == c, i], scores[truth == o, i]) for i, c in enumerate("abc") for o in "abc" if o != c])
+    assert abs(A.multiclass_auc(df).first()[0] - ovr) < 1e-9 and abs(A.multiclass_auc(df, pairwise=True).first()[0] - ovo) < 1e-9
+
+    t = 9
+    for x in range(1, t + 1):
+        for y in range(1, t + 1):
+            plain = sum(n / t * log(t * n / (x * y)) * comb(x, n) * comb(t - x, y - n) / comb(t, y) for n in range(max(1, x + y - t), min(x, y) + 1))
+            assert abs(A.expected_information(x, y, t) - plain) < 1e-12
+    same = spark.createDataFrame([(i % 3, i % 3) for i in range(30)], "a int, b int")
+    assert abs(A.adjusted_mutual_information(same, "a", "b").first()["adjusted"] - 1) < 1e-9
+    one = spark.createDataFrame([(1, 1), (1, 1)], "a int, b int")
+    assert A.adjusted_mutual_information(one, "a", "b").first()["adjusted"] == 1
+
+    points = spark.createDataFrame([(0, [0.0, 0.0]), (0, [0.0, 2.0]), (1, [6.0, 0.0]), (1, [6.0, 2.0])], "cluster int, features array<double>")
+    got = A.internal_indices(points, 2).first()
+    assert abs(got["calinski_harabasz"] - 18) < 1e-9 and abs(got["davies_bouldin"] - 1 / 3) < 1e-9
+
+
+def test_kernel_components_and_stability(spark):
+    import numpy as np
+
+    from clonoscope.operators import models as L
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id int, features array<double>")
+    for kind in ("rbf", "linear", "poly"):
+        rows = {r["id"]: r["components"] for r in L.kernel_pca(df, 2, kind).collect()}
+        assert rows.pop(99) is None
+        got = np.array([rows[i] for i in range(40)])
+        d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+        kernel = {"rbf": np.exp(-d2 / 3), "linear": x @ x.T, "poly": (x @ x.T / 3 + 1) ** 3}[kind]
+        centre = np.eye(40) - 1 / 40
+        values, axes = np.linalg.eigh(centre @ kernel @ centre)
+        for j in range(2):
+            want = axes[:, -1 - j] * np.sqrt(values[-1 - j])
+            assert min(np.abs(got[:, j] - want).max(), np.abs(got[:, j] + want).max()) < 1e-8
+    assert all(len(r["components"]) == 2 for r in L.kernel_pca(df.where("id < 40"), 2, most=10).collect())
+    assert L.kernel_pca(df.where("id < 0"), 2).collect() == []
+    apart = spark.createDataFrame([(i, [float(i % 2) * 50 + v[0], v[1]]) for i, v in enumerate(x.tolist())], "id int, features array<double>")
+    assert [r["adjusted_rand"] for r in L.stability(apart, {"two": 2}, 2, runs=2).collect()] == [1.0, 1.0]
