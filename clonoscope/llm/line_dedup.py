@@ -8,9 +8,10 @@ unrelated lines hardly ever do. (The chances are of a simulation of the agreemen
 
 A line's shingles are made as rows, eight at a time, and its signature is one aggregation of least values, so all of it is compiled code.
 Bands are dealt out a quarter at a time: the lines of each value that several lines have are listed, and compared with the first line
-of the list, which joins most of a group of near copies with as many candidates as members. Of lists that aren't one component then,
-short ones are compared pair by pair between components, and long ones with another line in each of STARS turns: two similar lines are
-on six lists together on average, so that they have many lines in common to be joined by, and candidates stay in proportion to the lists.
+of the list, which joins most of a group of near copies with as many candidates as members. Lists that aren't one component then go on in
+turns, in each of which a few lines outside a list's largest component are compared with all of the list and leave it, WIDER times as many
+as in the turn before, until what is left of the list is one component. So all lines of a list that no link joins are compared, and
+a group of near copies takes one comparison or two for each of its lines.
 Four bits of each of 32 least values let only candidates through that agree as often as similar ones practically always do, within the
 join that makes them; the exact Jaccard similarity of all shingles decides. A distributed union-find gives the components, and the first
 line of each, by doc_id and line number, stays.
@@ -39,8 +40,8 @@ ORDERS = GROUPS * SIDE
 BANDS = [[[g * SIDE + (i + g * turn) % SIDE for g in range(GROUPS)] for i in range(SIDE)] for turn in range(TURNS)]
 #: Of the CHECKED least values, two lines of the least similarity agree on 24.5 on average, and on fewer than AGREE with a chance of 1e-5.
 CHECKED, AGREE = 32, 14
-#: Shingles of a row that makes the signatures; lines of a short list; further stars of long ones.
-AT_ONCE, SHORT, STARS = 8, 8, 2
+#: Shingles of a row that makes the signatures; lines of a list that one turn settles; growth of the number of centres by turns.
+AT_ONCE, SHORT, WIDER = 8, 8, 8
 ENDS = " \t\n\x0b\x0c\r"
 STRETCH = rf"(?s)(?=(.{{{SHINGLE},{AT_ONCE + SHINGLE - 1}}})).{{1,{AT_ONCE}}}"
 
@@ -121,25 +122,29 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return near.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def apart(listed: DataFrame, joined: DataFrame) -> DataFrame:
-    """(value, rep, first, s1, s2, comp, cnt) of the lists of more than two lines that hold several components."""
-    members = listed.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("value", "rep", "first", "s1", "s2", F.coalesce("v", "rep").alias("comp"))
-    mixed = members.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cnt"))
-    return cut(members.join(cut(mixed.where("lo < hi AND cnt > 2").select("value", "cnt")), "value"))
+def apart(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Those of members (value, rep, s1, s2) whose lists hold several components (u, v), with comp, their list's largest component,
+    its number of lines cnt and of lines outside that component."""
+    members = members.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("value", "rep", "s1", "s2", F.coalesce("v", "rep").alias("comp"))
+    parts = members.groupBy("value", "comp").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("value").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("cnt"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = cut(mixed.select("value", "cnt", F.col("most.comp").alias("largest"), (F.col("cnt") - F.col("most.n")).alias("others")))
+    out = cut(members.join(mixed, "value"))
+    drop(mixed)
+    return out
 
 
-def paired(members: DataFrame) -> DataFrame:
-    """Candidates (a, b) of different components within lists, but those with the first line, which have been compared."""
-    other = members.select("value", F.col("rep").alias("b"), F.col("comp").alias("d"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    found = members.join(other, "value").where("rep < b AND rep <> first AND comp <> d").where(agreeing("s", "t"))
-    return found.select(F.col("rep").alias("a"), "b")
+def is_centre(width: int) -> Column:
+    """Whether a member of a list is compared with all of it in this turn: about width of the lines outside the largest component,
+    all of these in short lists."""
+    dealt = F.pmod(F.xxhash64("value", "rep", F.lit(width)), F.col("others")) < width
+    return (F.col("comp") != F.col("largest")) & ((F.col("cnt") <= SHORT) | dealt)
 
 
-def starred(members: DataFrame, turn: int) -> DataFrame:
-    """Candidates (a, b): the members of each list against one of them, another one in each turn and list."""
-    one = F.struct(F.xxhash64("value", "rep", F.lit(turn)).alias("h"), F.col("rep").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("comp").alias("d"))
-    centre = members.groupBy("value").agg(F.min(one).alias("c")).select("value", "c.b", "c.d", "c.t1", "c.t2")
-    found = members.join(centre, "value").where("comp <> d").where(agreeing("s", "t"))
+def starred(members: DataFrame, width: int) -> DataFrame:
+    """Candidates (a, b): the members of each list against its centres in other components."""
+    centres = members.where(is_centre(width)).select("value", F.col("rep").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("comp").alias("d"))
+    found = members.join(centres, "value").where("comp <> d").where(agreeing("s", "t"))
     return found.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
 
 
@@ -147,21 +152,16 @@ def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """Components (u, v) of the lines in lists (value, rep, first); signed: (rep, s1, s2), texts: (rep, line) of these lines."""
     pairs = listed.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(side(signed, "b", "s1", "s2"), "b").join(side(signed, "a", "s1", "s2"), "a")
-    links = checked(pairs.where(agreeing("a", "b")).select("a", "b"), texts)
-    members = listed.join(signed, "rep")
-    for turn in range(STARS):
-        joined = components(links)
-        members = apart(members.select("value", "rep", "first", "s1", "s2"), joined)
-        drop(joined)
-        pairs = starred(members.where(F.col("cnt") > SHORT), turn)
-        if not turn:
-            pairs = pairs.union(paired(members.where(F.col("cnt") <= SHORT)))
-        found = checked(pairs, texts)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        members = members.where(F.col("cnt") > SHORT)
-    return components(links)
+    joined = components(checked(pairs.where(agreeing("a", "b")).select("a", "b"), texts))
+    members, width = apart(listed.where("rep <> first").join(signed, "rep"), joined), 1
+    while not members.isEmpty():
+        found = checked(starred(members, width), texts)
+        before, joined = joined, components(joined.union(found))
+        # Centres have met all of their lists and leave them.
+        left, members = members, apart(members.where(~is_centre(width)).select("value", "rep", "s1", "s2"), joined)
+        drop(before, found, left)
+        width *= WIDER
+    return joined
 
 
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:

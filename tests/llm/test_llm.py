@@ -341,6 +341,27 @@ def test_line_dedup_of_repeated_content(spark):
     assert all(linked_lines(spark, pairs))
 
 
+def test_line_dedup_settles_long_lists(spark):
+    """One list of lines of one template, none alike but pairs and a chain: nothing is left out, however long the list."""
+    rnd = random.Random(13)
+    base = letters(rnd, 30)
+    lines = [f"{base} {letters(rnd, 14)}" for _ in range(150)]
+    lines += [x[:-1] + "7" for x in lines[:60]]
+    chain = list(letters(rnd, 30))
+    for i in range(40):
+        chain[3 * i] = "8"
+        lines.append("".join(chain))
+    rnd.shuffle(lines)
+    sets = {i: {x[j : j + 5] for j in range(len(x) - 4)} for i, x in enumerate(lines)}
+    want = components_of(sets, 75)
+    texts = spark.createDataFrame(list(enumerate(lines)), "rep long, line string")
+    listed = texts.selectExpr("1L AS value", "rep", "0L AS first")
+    joined = line_dedup.linked(listed, line_dedup.signatures(texts).select("rep", "s1", "s2"), texts)
+    got = {r.u: r.v for r in joined.collect()}
+    assert {i: got.get(i, i) for i in want} == want
+    assert len(set(want.values())) == 151
+
+
 # 3: neighbours
 
 
