@@ -16,17 +16,22 @@ def items(df: DataFrame, seq: str = "seq", key: str = "sequence_id") -> DataFram
 def grown(df: DataFrame, size: int, support: int, no_gaps: bool = False, seq: str = "seq", key: str = "sequence_id") -> DataFrame:
     """(motif, positions, letters, support): motifs of up to `size` positions that at least `support` sequences have, level by level:
     a motif is only extended, to the right, by a letter at a position that is frequent itself, and only while it is frequent."""
-    own = items(df, seq, key)
-    frequent = own.groupBy("position", "letter").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    own = own.join(F.broadcast(frequent.drop("n")), ["position", "letter"])
-    level = own.select(key, F.array("position").alias("positions"), F.array("letter").alias("letters"))
-    out = level.groupBy("positions", "letters").agg(F.count("*").alias("support"))
-    for _ in range(size - 1):
+    # Equal sequences are one row; those of one key go together. Estimates of sizes don't know how many rows an explode makes, so joins whose
+    # sides may be large are told not to broadcast.
+    letters = df.groupBy(seq).agg(F.count("*").alias("n")).select("n", F.posexplode(kmers(seq, 1)).alias("position", "letter"))
+    frequent = letters.groupBy("position", "letter").agg(F.sum("n").alias("support")).where(F.col("support") >= support)
+    out = frequent.select(F.array("position").alias("positions"), F.array("letter").alias("letters"), "support")
+    kinds = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(seq)).alias("seqs")).groupBy("seqs").agg(F.count("*").alias("n"))
+    each = kinds.select("seqs", "n", F.explode("seqs").alias("one")).select("seqs", "n", F.posexplode(kmers("one", 1)).alias("position", "letter"))
+    own = each.join(F.broadcast(frequent.drop("support")), ["position", "letter"]).groupBy("seqs", "n").agg(F.sort_array(F.collect_list(F.struct("position", "letter"))).alias("own"))
+    level = own.select("own", "n", F.explode("own").alias("x")).select("own", "n", F.array("x.position").alias("positions"), F.array("x.letter").alias("letters"))
+    for i in range(size - 1):
         last = F.element_at("positions", -1)
-        after = (F.col("position") == last + 1) if no_gaps else (F.col("position") > last)
-        level = level.join(own, key).where(after).select(key, F.array_append("positions", F.col("position")).alias("positions"), F.array_append("letters", F.col("letter")).alias("letters"))
-        counts = level.groupBy("positions", "letters").agg(F.count("*").alias("support")).where(F.col("support") >= support)
-        level = level.join(counts.drop("support"), ["positions", "letters"])
+        after = F.filter("own", lambda x: (x["position"] == last + 1) if no_gaps else (x["position"] > last))
+        level = level.withColumn("x", F.explode(after)).select("own", "n", F.array_append("positions", F.col("x.position")).alias("positions"), F.array_append("letters", F.col("x.letter")).alias("letters"))
+        counts = level.groupBy("positions", "letters").agg(F.sum("n").alias("support")).where(F.col("support") >= support)
+        if i < size - 2:
+            level = level.join(counts.drop("support").hint("merge"), ["positions", "letters"])
         out = out.unionByName(counts)
     return out.select(name().alias("motif"), "positions", "letters", "support")
 
@@ -38,7 +43,11 @@ def name(positions: str = "positions", letters: str = "letters") -> Column:
 def occurrences(df: DataFrame, motifs: DataFrame, seq: str = "seq", key: str = "sequence_id") -> DataFrame:
     """(key, motif): which sequences have which of motifs (motif, positions, letters). A letter group is tested as a set, a lower-case letter as
     any other. Motifs meet the sequences by their first position and letter, then the other ones are tested; only motifs that
-    begin with a lower-case letter are tested on all sequences, as a broadcast list if it is small."""
+    begin with a lower-case letter are tested on all sequences. The motifs are a broadcast list if they are few."""
+    return _occurrences(df, motifs, seq, [key])
+
+
+def _occurrences(df: DataFrame, motifs: DataFrame, seq: str, keep: list[str]) -> DataFrame:
     from .joins import bounded
 
     def ok(at: Column, letter: Column) -> Column:
@@ -50,17 +59,22 @@ def occurrences(df: DataFrame, motifs: DataFrame, seq: str = "seq", key: str = "
     listed = motifs.select("motif", "positions", "letters")
     first = F.element_at("letters", 1)
     plain = listed.where(first == F.upper(first)).select("*", F.element_at("positions", 1).alias("position"), F.explode(F.split(first, "")).alias("letter"))
-    rows = df.select(key, seq, F.posexplode(kmers(seq, 1)).alias("position", "letter"))
-    found = rows.join(plain, ["position", "letter"]).where(test).select(key, "motif")
+    rows = df.select(*keep, seq, F.posexplode(kmers(seq, 1)).alias("position", "letter"))
+    found = rows.join(bounded(plain), ["position", "letter"]).where(test).select(*keep, "motif")
     other = listed.where(first != F.upper(first))
-    return found if other.isEmpty() else found.union(df.select(key, seq).join(bounded(other), test).select(key, "motif"))
+    return found if other.isEmpty() else found.union(df.select(*keep, seq).join(bounded(other), test).select(*keep, "motif"))
 
 
 def confusion(df: DataFrame, motifs: DataFrame, label: str = "positive", seq: str = "seq", key: str = "sequence_id") -> DataFrame:
-    """(motif, tp, fp, fn, tn) over sequences with a boolean label."""
+    """(motif, tp, fp, fn, tn) over sequences with a boolean label; equal ones are tested once, those without a key only count in fn and tn."""
+    from ..lineage import cut
+
+    motifs = cut(motifs.select("motif", "positions", "letters"))
     totals = df.agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("q"))
-    found = occurrences(df, motifs, seq, key).join(df.select(key, label), key).groupBy("motif").agg(F.count_if(label).alias("tp"), F.count_if(~F.col(label)).alias("fp"))
-    rows = motifs.select("motif").distinct().join(found, "motif", "left").na.fill(0, ["tp", "fp"]).crossJoin(F.broadcast(totals))
+    kinds = df.where(F.col(key).isNotNull()).groupBy(F.col(seq).alias("seq"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    times = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    found = _occurrences(kinds, motifs, "seq", ["label", "n"]).groupBy("motif").agg(times(F.col("label")).alias("tp"), times(~F.col("label")).alias("fp"))
+    rows = motifs.select("motif").distinct().join(found.hint("merge"), "motif", "left").na.fill(0, ["tp", "fp"]).crossJoin(F.broadcast(totals))
     return rows.select("motif", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("q") - F.col("fp")).alias("tn"))
 
 

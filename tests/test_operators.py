@@ -1,7 +1,9 @@
 """Operators against literal expected values."""
 
+import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -425,3 +427,25 @@ def test_kernel_components_and_stability(spark):
     assert L.kernel_pca(df.where("id < 0"), 2).collect() == []
     apart = spark.createDataFrame([(i, [float(i % 2) * 50 + v[0], v[1]]) for i, v in enumerate(x.tolist())], "id int, features array<double>")
     assert [r["adjusted_rand"] for r in L.stability(apart, {"two": 2}, 2, runs=2).collect()] == [1.0, 1.0]
+
+
+def test_motifs_and_confusion_broadcast_no_sequences(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "".join(rng.choice(list("ACD"), 4)), bool(i % 3)) for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, "AAAA", True)], "sequence_id long, seq string, positive boolean")
+    level = M.grown(df, 3, 5)
+    plan = level._jdf.queryExecution().optimizedPlan().toString() + M.confusion(df, level)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in x and "(sequence_id" in x for x in plan.splitlines())
+    got = {r["motif"]: r["support"] for r in level.collect()}
+    want, positive = {}, {}
+    for key, s, y in [*rows, (None, "AAAA", True)]:
+        for size in (1, 2, 3):
+            for at in itertools.combinations(range(4), size):
+                name = "&".join(map(str, at)) + "-" + "&".join(s[i] for i in at)
+                if key is not None or size == 1:
+                    want[name] = want.get(name, 0) + 1
+                if key is not None:
+                    positive.setdefault(name, []).append(y)
+    assert got == {k: n for k, n in want.items() if n >= 5}
+    for r in M.confusion(df, level).collect():
+        assert (r["tp"], r["fp"]) == (sum(positive[r["motif"]]), len(positive[r["motif"]]) - sum(positive[r["motif"]]))
