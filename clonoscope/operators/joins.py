@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import deletions, genes_match, hamming, masked
+from ..functions.text import genes as some
 
 #: Rows up to which a reference list is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -149,13 +150,40 @@ def overlap(df: DataFrame, most: int = 1, genes: bool = True, counts: bool = Tru
     return pairs.join(left, "id_1").join(right, "id_2").groupBy("r1", "r2").agg(F.sum(F.col("n1") * F.col("n2")).alias("overlap"))
 
 
+def edit_matches(df: DataFrame, reference: DataFrame, most: int, genes: bool = True) -> DataFrame:
+    """Distinct rows of df (seq, v_call, j_call, locus) with a sequence of the reference within `most` edits, of the same locus and, if asked,
+    with a common V and J gene. An equi-join: of most + 1 pieces of a reference sequence one is unchanged, and moved by `most` places at most;
+    a locus, a V and J gene in common and that piece are the key. The distance is computed only for what meets there."""
+    def side(rows: DataFrame, n: int, keys: list[Column]) -> DataFrame:
+        named = lambda c: F.when(F.size(some(c)) > 0, some(c)).otherwise(F.array(F.lit("")))
+        rows = rows.where("seq IS NOT NULL AND locus IS NOT NULL").withColumn("piece", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))))
+        for c in ("v_call", "j_call"):
+            rows = rows.withColumn(f"one_{c}", F.explode(named(c)) if genes else F.lit(""))
+        key = F.struct("locus", F.col("one_v_call").alias("v"), F.col("one_j_call").alias("j"), "piece")
+        return rows.select(*[F.col(c).alias(f"{c}_{n}") for c in ("seq", "v_call", "j_call", "locus")], key.alias(f"key_{n}"))
+
+    size, parts = F.length("seq"), most + 1
+    at = lambda length, i: F.floor(length * F.lit(i) / parts).cast("int")
+
+    def piece(length: Column, i: int, moved: int) -> Column:
+        start, end = at(length, i) + moved, at(length, i + 1) + moved
+        return F.when((length >= 0) & (start >= 0) & (end <= size), F.struct(length.alias("length"), F.lit(i).alias("no"), F.substring("seq", start + 1, end - start).alias("letters")))
+
+    every = [piece(size + more, i, moved) for more in range(-most, most + 1) for i in range(parts) for moved in range(-most, most + 1)]
+    met = side(df, 1, every).join(side(reference, 2, [piece(size, i, 0) for i in range(parts)]), F.col("key_1") == F.col("key_2"))
+    near = met.where(F.levenshtein(F.col("seq_1"), F.col("seq_2"), most) >= 0)
+    return near.select(*[F.col(f"{c}_1").alias(c) for c in ("seq", "v_call", "j_call", "locus")]).distinct()
+
+
 def similar_to_positive(df: DataFrame, positives: DataFrame, most: int = 1, metric: str = "hamming", genes: bool = True) -> DataFrame:
     """df (id, seq, v_call, j_call, locus) with `similar`: whether a positive sequence is within the distance."""
     if metric == "hamming":
         near = hamming_pairs(df, positives, most, genes).select(F.col("id_1").alias("id")).distinct()
     else:
-        ref = positives.select(F.col("id").alias("reference_id"), "seq", "v_call", "j_call", "locus")
-        near = reference_matches(df, ref, most, genes, "seq").select("id").distinct()
+        names = ["seq", "v_call", "j_call", "locus"]
+        near = edit_matches(df.select(*names).distinct(), positives.select(*names).distinct(), most, genes).select(*[F.col(c).alias(f"__{c}") for c in names], F.lit(True).alias("similar"))
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names])
+        return df.join(near, same, "left").select(*[F.col(c) for c in df.columns], F.coalesce("similar", F.lit(False)).alias("similar"))
     return df.join(near.withColumn("similar", F.lit(True)), "id", "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
 
 

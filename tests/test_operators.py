@@ -449,3 +449,27 @@ def test_motifs_and_confusion_broadcast_no_sequences(spark):
     assert got == {k: n for k, n in want.items() if n >= 5}
     for r in M.confusion(df, level).collect():
         assert (r["tp"], r["fp"]) == (sum(positive[r["motif"]]), len(positive[r["motif"]]) - sum(positive[r["motif"]]))
+
+
+def test_similar_by_edits_meets_by_pieces(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = np.random.default_rng(2)
+    rows = [(i, "".join(rng.choice(list("AC"), rng.integers(0, 9))), ["V1*01", "V1,V2", "", None][i % 4], ["J1", None][i % 2], "L" if i % 9 else None) for i in range(150)]
+    df = spark.createDataFrame([*rows, (500, None, "V1", "J1", "L")], "id long, seq string, v_call string, j_call string, locus string")
+    positive = df.where("id % 10 = 3 OR id = 500")
+    near = J.similar_to_positive(df, positive, 2, "levenshtein")
+    assert "levenshtein" in (plan := near._jdf.queryExecution().optimizedPlan().toString())
+    assert not any("Join" in x and "levenshtein" in x and "key_1" not in x for x in plan.splitlines())
+    names = lambda c: {x.split("*")[0] for x in (c or "").split(",")} - {""}
+    like = lambda a, b: bool(names(a) & names(b)) or not names(a) and not names(b)
+    held = {r["id"]: r for r in positive.collect()}
+    for r in near.collect():
+        want = r["seq"] is not None and any(p["seq"] is not None and r["locus"] and r["locus"] == p["locus"] and like(r["v_call"], p["v_call"]) and like(r["j_call"], p["j_call"]) and edits(r["seq"], p["seq"]) <= 2 for p in held.values())
+        assert r["similar"] == bool(want), r
