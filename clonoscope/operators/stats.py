@@ -132,12 +132,9 @@ def abundance(present: DataFrame, items: DataFrame, key: str = "repertoire_id")
 
 def shared_items(present: DataFrame, item: list[str], key: str = "repertoire_id") -> DataFrame:
     """(r1, r2, shared, n1, n2) of all pairs r1 <= r2 of examples, those that share nothing included."""
-    sizes = present.groupBy(key).agg(F.count("*").alias("n"))
-    a = present.select(F.col(key).alias("r1"), *item)
-    b = present.select(F.col(key).alias("r2"), *item)
-    both = a.join(b, item).where("r1 <= r2").groupBy("r1", "r2").agg(F.count("*").alias("shared"))
-    grid = sizes.select(F.col(key).alias("r1"), F.col("n").alias("n1")).join(sizes.select(F.col(key).alias("r2"), F.col("n").alias("n2")), F.col("r1") <= F.col("r2"))
-    return grid.join(both, ["r1", "r2"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    from .products import shared
+
+    return shared(present, item, key)
 
 
 def jaccard(pairs: DataFrame) -> DataFrame:
@@ -158,8 +155,13 @@ def morisita_horn(overlap: DataFrame, totals: DataFrame) -> DataFrame:
     a = size.select(F.col("r").alias("r1"), F.col("total").alias("t1"), F.col("own").alias("o1"))
     b = size.select(F.col("r").alias("r2"), F.col("total").alias("t2"), F.col("own").alias("o2"))
     grid = a.join(b, F.col("r1") <= F.col("r2")).join(overlap, ["r1", "r2"], "left")
+    return morisita_horn_sums(grid)
+
+
+def morisita_horn_sums(pairs: DataFrame) -> DataFrame:
+    """pairs (r1, r2, overlap, t1, t2, o1, o2): with each one's total and overlap with itself."""
     x = 2 * F.coalesce("overlap", F.lit(0.0)) / ((F.col("o1") / (F.col("t1") * F.col("t1")) + F.col("o2") / (F.col("t2") * F.col("t2"))) * F.col("t1") * F.col("t2"))
-    return grid.select("r1", "r2", F.greatest(1 - x, F.lit(0.0)).alias("distance"))
+    return pairs.select("r1", "r2", F.greatest(1 - x, F.lit(0.0)).alias("distance"))
 
 
 def overlap_percent(pairs: DataFrame) -> DataFrame:

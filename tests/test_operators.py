@@ -429,6 +429,26 @@ def test_kernel_components_and_stability(spark):
     assert [r["adjusted_rand"] for r in L.stability(apart, {"two": 2}, 2, runs=2).collect()] == [1.0, 1.0]
 
 
+def test_products_by_blocks_equal_brute_force(spark, monkeypatch):
+    from clonoscope.operators import products as V
+
+    rng = np.random.default_rng(3)
+    held = {f"r{i}": set(rng.choice(60, size=rng.integers(1, 20), replace=False).tolist()) for i in range(30)}
+    present = spark.createDataFrame([(k, x) for k, v in held.items() for x in v], "repertoire_id string, item long")
+    for dense in (4e-11, 1.0):  # made one by one, too
+        monkeypatch.setattr(V, "WITHIN", dense)
+        monkeypatch.setattr(V, "SMALL", 10)
+        got = {(r["r1"], r["r2"]): (r["shared"], r["n1"], r["n2"]) for r in V.shared(present, ["item"]).collect()}
+        assert got == {(a, b): (len(held[a] & held[b]), len(held[a]), len(held[b])) for a in held for b in held if a <= b}
+        among = present.where("repertoire_id <> 'r3'").select("repertoire_id")
+        near = {}
+        for r in V.nearest(present, ["item"], among, 4).collect():
+            near.setdefault(r["id"], []).append((r["distance"], r["other"]))
+        for a in held:
+            want = sorted((1 - len(held[a] & held[b]) / len(held[a] | held[b]), b) for b in held if b not in (a, "r3"))[:4]
+            assert sorted(near[a])[:4] == want
+
+
 def test_motifs_and_confusion_broadcast_no_sequences(spark):
     rng = np.random.default_rng(1)
     rows = [(i, "".join(rng.choice(list("ACD"), 4)), bool(i % 3)) for i in range(300)]
