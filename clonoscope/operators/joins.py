@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import deletions, genes_match, hamming, masked
 from ..functions.text import genes as some
+from .products import block_count, item_id, numbered, overlaps
 
 #: Rows up to which a reference list is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -84,11 +85,8 @@ def kind_id(genes: bool = True) -> Column:
 
 def fuzzy_jaccard(df: DataFrame, most: int = 1, genes: bool = True, key: str = "repertoire_id") -> DataFrame:
     """(r1, r2, distance): 1 - i / (n1 + n2 - i), at least 0, i being the pairs of like distinct sequences, for pairs that have some."""
-    columns = ["seq", "v_call", "j_call"] if genes else ["seq"]
-    sizes = df.select(key, *columns).distinct().groupBy(key).agg(F.count("*").alias("n"))
-    side = lambda n: sizes.select(F.col(key).alias(f"r{n}"), F.col("n").alias(f"n{n}"))
-    found = overlap(df, most, genes, counts=False, key=key).join(side(1), "r1").join(side(2), "r2")
-    return found.select("r1", "r2", F.greatest(1 - F.try_divide("overlap", F.col("n1") + F.col("n2") - F.col("overlap")), F.lit(0.0)).alias("distance"))
+    found = pair_sums(df, most, genes, counts=False, key=key, by=genes)
+    return found.where("r1 IS NOT NULL AND r2 IS NOT NULL").select("r1", "r2", F.greatest(1 - F.try_divide("overlap", F.col("t1") + F.col("t2") - F.col("overlap")), F.lit(0.0)).alias("distance"))
 
 
 def annotated(df: DataFrame, reference: DataFrame, most: int, column: str, genes: bool = False, seq: str = "sequence_aa", row: str = "sequence_id") -> DataFrame:
@@ -138,16 +136,32 @@ def hamming_pairs(a: DataFrame, b: DataFrame, most: int = 1, genes: bool = True,
 
 def overlap(df: DataFrame, most: int = 1, genes: bool = True, counts: bool = True, indels: bool = False, key: str = "repertoire_id") -> DataFrame:
     """(r1, r2, overlap): over pairs of like sequences of two repertoires, the sum of the products of their counts (of ones, if
-    not counts). df: key, seq, v_call, j_call, duplicate_count. Equal sequences of a repertoire are summed up first, and the pairs of
-    distinct sequences are found once, whatever number of repertoires has them."""
-    n = F.sum("duplicate_count") if counts else F.lit(1)
-    own = df.groupBy(key, "seq", "v_call", "j_call").agg(n.cast("double").alias("n")) if counts else df.select(key, "seq", "v_call", "j_call").distinct().withColumn("n", F.lit(1.0))
-    own = own.withColumn("id", F.sha2(F.to_json(F.struct("seq", "v_call", "j_call")), 256))
-    kinds = own.select("id", "seq", "v_call", "j_call").distinct()
-    pairs = hamming_pairs(kinds, kinds, most, genes, indels)
-    left = own.select(F.col("id").alias("id_1"), F.col(key).alias("r1"), F.col("n").alias("n1"))
-    right = own.select(F.col("id").alias("id_2"), F.col(key).alias("r2"), F.col("n").alias("n2"))
-    return pairs.join(left, "id_1").join(right, "id_2").groupBy("r1", "r2").agg(F.sum(F.col("n1") * F.col("n2")).alias("overlap"))
+    not counts). df: key, seq, v_call, j_call, duplicate_count. Equal sequences of a repertoire are summed up first, the pairs of
+    distinct sequences are found once, and the sums are products of blocks of repertoires (`products.overlaps`)."""
+    return pair_sums(df, most, genes, counts, indels, key).select("r1", "r2", "overlap")
+
+
+def pair_sums(df: DataFrame, most: int = 1, genes: bool = True, counts: bool = True, indels: bool = False, key: str = "repertoire_id", by: bool = True, every: bool = False) -> DataFrame:
+    """(r1, r2, overlap, t1, t2) of `overlap`, with each repertoire's summed counts (or number of distinct sequences; with their genes, if by);
+    every: of all pairs r1 <= r2, with o1, o2 (see `products.overlaps`)."""
+    from ..lineage import cut
+
+    columns = ["seq", "v_call", "j_call"] if genes else ["seq"]
+    kinds = df.select("seq", *(["v_call", "j_call"] if genes else [F.lit(None).cast("string").alias(c) for c in ("v_call", "j_call")])).distinct().withColumn("id", item_id(*columns))
+    kinds = cut(kinds)
+    pairs = cut(hamming_pairs(kinds, kinds, most, genes, indels))
+    numbers = numbered(kinds)
+    rows = df.select(key, item_id(*columns).alias("kind"), F.col("duplicate_count").alias("n")) if counts else df.select(key, item_id(*columns).alias("kind"), item_id("seq", "v_call", "j_call" if by else "seq").alias("id"))
+    blocks = block_count(rows, key, "kind")
+    if counts:
+        rows = rows.groupBy(key, "kind").agg(F.sum("n").alias("n")).repartition(key)
+    else:
+        rows = rows.repartition(key).distinct().groupBy(key, "kind").agg(F.count("*").alias("n"))
+    if numbers is not None:  # small numbers make small arrays
+        no = lambda c: numbers.select(F.col("id").alias(c), F.col("no").alias(f"__{c}"))
+        rows = rows.join(no("kind"), "kind", "left").select(key, F.col("__kind").alias("kind"), "n")
+        pairs = pairs.join(no("id_1"), "id_1").join(no("id_2"), "id_2").select(F.col("__id_1").alias("id_1"), F.col("__id_2").alias("id_2"))
+    return overlaps(rows, pairs, key, blocks, every)
 
 
 def edit_matches(df: DataFrame, reference: DataFrame, most: int, genes: bool = True) -> DataFrame:

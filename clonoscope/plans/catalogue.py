@@ -19,6 +19,7 @@ from ..operators import filters as P
 from ..operators import joins as J
 from ..operators import models as L
 from ..operators import motifs as M
+from ..operators import products as V
 from ..operators import simulation as G
 from ..operators import reports as T
 from ..operators import splits as U
@@ -83,7 +84,13 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: rounded_six(F.col(c)) for c in columns})
+
+
+def rounded_six(x: Column) -> Column:
+    """round(x, 6), which is slow, only near a tie or for large numbers; else the same by a compiled rounding."""
+    y = x * 1e6
+    return F.when((F.abs(y) < 1e12) & (F.abs(y - F.floor(y) - 0.5) > 1e-3), F.rint(y) / 1e6 + 0.0).otherwise(F.round(x, 6))
 
 
 KEY = "repertoire_id"
@@ -352,8 +359,7 @@ OVERLAP = ", k AS (SELECT repertoire_id AS r, seq, sum(duplicate_count)::DOUBLE
 
 
 def _overlap(spark, d, most):
-    df = sequences(spark, d).withColumns({"v_call": F.lit(None).cast("string"), "j_call": F.lit(None).cast("string")})
-    return J.overlap(df, most, genes=False)
+    return J.overlap(sequences(spark, d), most, genes=False)
 
 
 @query(OVERLAP % 0 + "SELECT r1, r2, overlap FROM o")
@@ -373,8 +379,7 @@ def fuzzy_overlap_d2(spark, d):
 
 @query(OVERLAP % 1 + ", t AS (SELECT r, sum(c) AS total FROM k GROUP BY r), w AS (SELECT t.r, total, coalesce(overlap, 0) AS own FROM t LEFT JOIN o ON o.r1 = t.r AND o.r2 = t.r) SELECT a.r AS r1, b.r AS r2, round(greatest(1 - 2 * coalesce(overlap, 0) / ((a.own / (a.total * a.total) + b.own / (b.total * b.total)) * a.total * b.total), 0), 6) AS distance FROM w a JOIN w b ON a.r <= b.r LEFT JOIN o ON o.r1 = a.r AND o.r2 = b.r")
 def morisita_counts(spark, d):
-    totals = sequences(spark, d).groupBy(F.col(KEY).alias("r")).agg(F.sum("duplicate_count").cast("double").alias("total"))
-    return rounded(A.morisita_horn(_overlap(spark, d, 1), totals), "distance")
+    return rounded(A.morisita_horn_sums(J.pair_sums(sequences(spark, d), 1, genes=False, every=True)), "distance")
 
 
 # association
@@ -1061,9 +1066,9 @@ def density_clusters(spark, d):
 
 @query(PAIRS + ", f AS (SELECT r1 AS id, r2 AS other, i, n1, n2 FROM g WHERE r1 <> r2 UNION ALL SELECT r2, r1, i, n1, n2 FROM g WHERE r1 <> r2), o AS (SELECT id, region, row_number() OVER (PARTITION BY id ORDER BY 1 - i / (n1 + n2 - i), other) AS r FROM f JOIN m ON m.repertoire_id = other), v AS (SELECT id, region, count(*) AS n, min(r) AS f FROM o WHERE r <= 5 GROUP BY ALL) SELECT id, arg_max(region, n * 100 - f) AS label FROM v GROUP BY id")
 def knn_precomputed(spark, d):
-    pairs = A.jaccard(_pairs(spark, d)).where("r1 <> r2")
-    both = pairs.select(F.col("r1").alias("id"), F.col("r2").alias("other"), "distance").union(pairs.select("r2", "r1", "distance"))
-    return L.knn_precomputed(both, metadata(spark, d).select(F.col(KEY).alias("id"), F.col("region").alias("label")), 5)
+    labels = metadata(spark, d).select(F.col(KEY).alias("id"), F.col("region").alias("label"))
+    near = V.nearest(J.presence(sequences(spark, d), ["item"]), ["item"], labels.select(F.col("id").alias(KEY)), 5)
+    return L.knn_precomputed(near, labels, 5)
 
 
 @query()

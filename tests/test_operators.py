@@ -429,6 +429,26 @@ def test_kernel_components_and_stability(spark):
     assert [r["adjusted_rand"] for r in L.stability(apart, {"two": 2}, 2, runs=2).collect()] == [1.0, 1.0]
 
 
+def test_pairs_of_examples_make_no_join_of_all_that_share_an_item(spark):
+    rows = [(r, f"S{'AB'[i % 2]}{i % 5}", "V", "J", i % 3 + r) for r in range(40) for i in range(60)]
+    df = spark.createDataFrame([*rows, (None, "SA0", "V", "J", 2), (7, None, "V", "J", 5), (8, "X", "V", "J", None)], "repertoire_id long, seq string, v_call string, j_call string, duplicate_count long")
+    for most in (0, 1, 2):
+        got = J.overlap(df, most, genes=False)
+        assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+        sums = {}
+        for r, s, _, _, n in df.collect():
+            if s is not None:
+                sums.setdefault((r, s), []).append(n)
+        sums = {k: sum(x for x in v if x is not None) if any(x is not None for x in v) else None for k, v in sums.items()}
+        want = {}
+        for (a, s), m in sums.items():
+            for (b, t), n in sums.items():
+                if len(s) == len(t) and sum(x != y for x, y in zip(s, t, strict=True)) <= most:
+                    want.setdefault((a, b), []).append(None if m is None or n is None else float(m * n))
+        want = {k: sum(x for x in v if x is not None) if any(x is not None for x in v) else None for k, v in want.items()}
+        assert {(r["r1"], r["r2"]): r["overlap"] for r in got.collect()} == want
+
+
 def test_products_by_blocks_equal_brute_force(spark, monkeypatch):
     from clonoscope.operators import products as V
 
