@@ -37,23 +37,16 @@ def block_count(rows: DataFrame, key: str, item: str) -> int:
     return max(1, min(4, ceil(examples / SMALL)), ceil(examples / BLOCK), ceil(min(n, 1.2 * examples * items) / BLOCK_ITEMS))
 
 
-def dealt(packed: DataFrame, blocks: int, key: str, ordered: bool, left: list[Column], right: list[Column], also: Column | None = None) -> DataFrame:
-    """(pair, side, key, ...) of packed: each example once for each pair of blocks that its block is in; the columns of a row are those of
-    its side. Unless ordered, pairs of blocks are taken once. also: which examples are on the right side at all."""
+def dealt(packed: DataFrame, blocks: int, key: str, left: list[Column], right: list[Column]) -> DataFrame:
+    """(pair, side, key, ...) of packed: each example once for each pair of blocks, taken once, that its block is in; the columns of a row are
+    those of its side."""
     b, n = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.lit(blocks)
-    place = lambda i, j: i * n + j if ordered else F.floor(j * (j + 1) / 2).cast("int") + i
-    one = lambda p, s: F.struct(p.cast("int").alias("pair"), F.lit(s).alias("side"))
-    first = F.transform(F.sequence(F.lit(0) if ordered else F.col("__b"), n - 1), lambda j: one(place(F.col("__b"), j), 0))
-    second = F.transform(F.sequence(F.lit(0), n - 1 if ordered else F.col("__b")), lambda i: one(place(i, F.col("__b")), 1))
-    if also is not None:
-        second = F.when(also, second).otherwise(F.array().cast(second_type))
+    one = lambda i, j, s: F.struct((F.floor(j * (j + 1) / 2).cast("int") + i).alias("pair"), F.lit(s).alias("side"))
+    first = F.transform(F.sequence(F.col("__b"), n - 1), lambda j: one(F.col("__b"), j, 0))
+    second = F.transform(F.sequence(F.lit(0), F.col("__b")), lambda i: one(i, F.col("__b"), 1))
     rows = packed.withColumn("__b", b).withColumn("__p", F.explode(F.concat(first, second)))
     sided = [F.when(F.col("__p.side") == 0, x).otherwise(y).alias(f"c{i}") for i, (x, y) in enumerate(zip(left, right, strict=True))]
-    pairs = blocks * blocks if ordered else blocks * (blocks + 1) // 2
-    return rows.select("__p.pair", "__p.side", F.col(key).alias("key"), *sided).repartitionById(pairs, F.col("pair")).sortWithinPartitions("pair")
-
-
-second_type = "array<struct<pair:int,side:int>>"
+    return rows.select("__p.pair", "__p.side", F.col(key).alias("key"), *sided).repartitionById(blocks * (blocks + 1) // 2, F.col("pair")).sortWithinPartitions("pair")
 
 
 class Side:
@@ -167,9 +160,9 @@ def _by_pair(work: Callable[[Side, Side, bool], Iterator[pa.RecordBatch]], same:
     return run
 
 
-def _same(blocks: int, ordered: bool) -> Callable[[int], bool]:
+def _same(blocks: int) -> Callable[[int], bool]:
     """Whether a pair is one block twice."""
-    alone = {b * blocks + b if ordered else b * (b + 1) // 2 + b for b in range(blocks)}
+    alone = {b * (b + 1) // 2 + b for b in range(blocks)}
     return lambda pair: pair in alone
 
 
@@ -206,7 +199,7 @@ def shared(present: DataFrame, item: list[str], key: str = "repertoire_id") -> D
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(x)), keys.take(pa.array(y)), pa.array(m.astype(np.int64)), pa.array(n[x]), pa.array(n[y])], ["r1", "r2", "shared", "n1", "n2"])
 
     sides = [F.col("kinds"), F.col("n")]
-    return dealt(packed, blocks, key, False, sides, sides).mapInArrow(_by_pair(work, _same(blocks, False)), f"r1 {kind}, r2 {kind}, shared long, n1 long, n2 long")
+    return dealt(packed, blocks, key, sides, sides).mapInArrow(_by_pair(work, _same(blocks)), f"r1 {kind}, r2 {kind}, shared long, n1 long, n2 long")
 
 
 def nearest(present: DataFrame, item: list[str], among: DataFrame, k: int, key: str = "repertoire_id") -> DataFrame:
@@ -218,23 +211,44 @@ def nearest(present: DataFrame, item: list[str], among: DataFrame, k: int, key:
 
     def work(a: Side, b: Side, same: bool) -> Iterator[pa.RecordBatch]:
         n1, n2 = a.other.to_numpy().astype(float), b.other.to_numpy().astype(float)
-        self_at = pc.index_in(a.keys, value_set=b.keys).fill_null(-1).to_numpy() if same else np.full(a.size, -1)
+        not_a, not_b = (~x.also["c2"].to_numpy(zero_copy_only=False).astype(bool) for x in (a, b))
+
+        def made(x: np.ndarray, y: np.ndarray, d: np.ndarray, one: Side, two: Side) -> pa.RecordBatch:
+            some = d < np.inf
+            return pa.RecordBatch.from_arrays([one.keys.take(pa.array(x[some])), two.keys.take(pa.array(y[some])), pa.array(d[some])], ["id", "other", "distance"])
+
+        held, at = None, 0  # the nearest of b's examples from `at` on, over the rows so far
         for i, j, (m,) in _products(a, b, [(a.values, b.values)]):
             h, w = m.shape
             d = 1 - m / (n1[i : i + h, None] + n2[None, j : j + w] - m)
-            own = self_at[i : i + h] - j
-            here = np.flatnonzero((own >= 0) & (own < w))
-            d[here, own[here]] = np.inf
+            if not same:
+                far = np.where(not_a[i : i + h, None], np.inf, d)
+                if held is not None and at != j:
+                    yield from (made(at + np.arange(len(x)), x, v, b, a) for v, x in zip(*held, strict=True))
+                    held = None
+                new = []
+                for _ in range(min(k, h)):
+                    best = far.argmin(axis=0)
+                    new.append((far[best, np.arange(w)], i + best))
+                    far[best, np.arange(w)] = np.inf
+                v, x = (np.concatenate([*([held[c]] if held else []), np.stack([t[c] for t in new])]) for c in (0, 1))
+                # Rows come by key, and a stable sort leaves the smaller key first at a tie.
+                order = np.argsort(v, axis=0, kind="stable")[:k]
+                held, at = (np.take_along_axis(v, order, 0), np.take_along_axis(x, order, 0)), j
+            d[:, not_b[j : j + w]] = np.inf
+            if same:
+                own = i + np.arange(h) - j
+                here = np.flatnonzero((own >= 0) & (own < w))
+                d[here, own[here]] = np.inf
             for _ in range(min(k, w)):
                 best = d.argmin(axis=1)  # the first of equal ones, which has the smallest key
-                far = d[np.arange(h), best]
-                some = np.flatnonzero(far < np.inf)
-                yield pa.RecordBatch.from_arrays([a.keys.take(pa.array(i + some)), b.keys.take(pa.array(j + best[some])), pa.array(far[some])], ["id", "other", "distance"])
+                yield made(i + np.arange(h), j + best, d[np.arange(h), best], a, b)
                 d[np.arange(h), best] = np.inf
+        if held is not None:
+            yield from (made(at + np.arange(len(x)), x, v, b, a) for v, x in zip(*held, strict=True))
 
-    sides = [F.col("kinds"), F.col("n")]
-    rows = dealt(packed, blocks, key, True, sides, sides, F.coalesce("among", F.lit(False)))
-    return rows.mapInArrow(_by_pair(work, _same(blocks, True)), f"id {kind}, other {kind}, distance double")
+    sides = [F.col("kinds"), F.col("n"), F.coalesce("among", F.lit(False))]
+    return dealt(packed, blocks, key, sides, sides).mapInArrow(_by_pair(work, _same(blocks)), f"id {kind}, other {kind}, distance double")
 
 
 def numbered(kinds: DataFrame, most: int = 100_000) -> DataFrame | None:
@@ -297,4 +311,4 @@ def overlaps(rows: DataFrame, pairs: DataFrame, key: str, blocks: int, every: bo
     also = [F.col("t"), *([F.col("o")] if every else [])]
     left, right = ([F.transform(s, lambda x: x["k"]), F.transform(s, lambda x: x["v"]), *also] for s in ("left", "right"))
     schema = f"r1 {kind}, r2 {kind}, {', '.join(f'{c} double' for c in names[2:])}"
-    return dealt(packed, blocks, key, False, left, right).mapInArrow(_by_pair(work, _same(blocks, False)), schema)
+    return dealt(packed, blocks, key, left, right).mapInArrow(_by_pair(work, _same(blocks)), schema)
