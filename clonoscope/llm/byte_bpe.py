@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding over an Aho-Corasick automaton, in time linear in the text.
 
-Bytes are mapped to Latin-1 characters so that an automaton over strings can hold the vocabulary. One pass over a piece finds
-the longest token that starts at each byte. The encoder goes from longest match to longest match; a token may follow another
+Bytes are mapped to Latin-1 characters so that an automaton over strings can hold the vocabulary. It gives the longest token
+that starts at a byte. The encoder goes from longest match to longest match; a token may follow another
 only if merging could not have produced anything else across their border (a compatibility that is decided by undoing
 merges, and memoised per pair), else it is shortened, and where no shorter one is left the token before is taken back. The first
-chain that gets through is the one the ranked merges give.
+chain that gets through is the one the ranked merges give. Longest tokens that the first chain of longest matches passes over are
+only looked for where a shortened token leads there.
 
 Defined results: null text counts as empty, with no tokens; repeated rows and null doc_ids are rows like others; an empty table
 gives no rows; other columns don't matter.
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the memos: characters of a piece, pieces, and pairs of tokens.
+#: Bounds of the memos: characters of a piece, pieces (of each of two memos), and pairs of tokens.
 MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 64, 200_000, 300_000
 
 
@@ -56,6 +57,7 @@ class Codec(dict):
                     break
                 left = self.shorter[left]
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.before: dict[str, bytes] = {}  # the memo that the present one follows: frequent pieces outlive it
         self.pieces = regex.compile(pattern).findall
 
     def undone(self, left: int, right: int) -> bool:
@@ -88,37 +90,57 @@ class Codec(dict):
         """Identifiers of one piece, which the pattern has cut out."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        longest = [-1] * n
-        size = [0] * n
-        for end, i in self.automaton.iter(piece.decode("latin-1")):
-            start = end + 1 - self.lengths[i]
-            if self.lengths[i] > size[start]:
-                longest[start], size[start] = i, self.lengths[i]
-        open_at = bytearray(b"\1" * (n + 1))  # places from which no way forward is known to fail
-        chain: list[int] = []
-        at, token = 0, longest[0] if n else -1
+        if not piece:
+            return []
+        text = piece.decode("latin-1")
+        # Longest match after longest match; most of the time the pairs of a short chain fit.
+        chain = [i for _, i in self.automaton.iter_long(text)]
+        lengths, shorter, pairs, fits = self.lengths, self.shorter, self.pairs, self.fits
+        n, at, good, last = len(piece), 0, 0, -1
+        longest: dict[int, int] = {}  # by place, as far as known
+        for i in chain:
+            longest[at] = i
+            at += lengths[i]
+        if at != n:
+            raise ValueError("the vocabulary lacks a byte")
+        for i in chain:
+            if last >= 0 and not (pairs.get((last, i)) or fits(last, i)):
+                break
+            last = i
+            good += 1
+        else:
+            return [self.ranked[i] for i in chain]
+        token = chain[good]
+        del chain[good:]
+        at = sum([lengths[i] for i in chain])
+        closed = set()  # places from which no way forward is left
         while at < n:
             last = chain[-1] if chain else -1
-            while token >= 0 and not (open_at[at + self.lengths[token]] and (last < 0 or self.fits(last, token))):
-                token = self.shorter[token]
+            while token >= 0 and (at + lengths[token] in closed or not (last < 0 or pairs.get((last, token)) or fits(last, token))):
+                token = shorter[token]
             if token >= 0:
                 chain.append(token)
-                at += self.lengths[token]
-                token = longest[at] if at < n else -1
+                at += lengths[token]
+                if at < n:
+                    token = longest.get(at, -1)
+                    if token < 0:
+                        token = longest[at] = next(self.automaton.iter_long(text, at))[1]
             elif chain:
-                open_at[at] = 0
+                closed.add(at)
                 token = chain.pop()
-                at -= self.lengths[token]
+                at -= lengths[token]
             else:
                 raise ValueError("the vocabulary lacks a byte")
         return [self.ranked[i] for i in chain]
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.before.pop(piece, None)
+        if packed is None:
+            ids = self.encode(piece.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO_PIECES:
+                self.before = dict(self)
                 self.clear()
             self[piece] = packed
         return packed

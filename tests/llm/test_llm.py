@@ -168,6 +168,28 @@ def test_byte_bpe(spark, nothing, docs):
     assert byte_bpe.round_trip(docs).count() == docs.count()
 
 
+def test_byte_bpe_pieces(monkeypatch):
+    """Pieces of tokens put together are encoded as the library does; frequent pieces are encoded once, however many others come between."""
+    import tiktoken
+    from public_tokenizers import PATTERN, path
+
+    with open(path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        own = byte_bpe.Codec(file.read(), PATTERN)
+    model = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rnd = random.Random(17)
+    made = [b"".join(rnd.choice(own.tokens) for _ in range(rnd.randint(1, 6))) for _ in range(3000)]
+    made += [bytes(rnd.choice(b"aethn ") for _ in range(rnd.randint(1, 60))) for _ in range(1000)] + [bytes(rnd.randrange(256) for _ in range(30)) for _ in range(300)]
+    assert [own.encode(x) for x in made] == [model._encode_single_piece(x) for x in made]
+    assert own.encode(b"") == []
+    monkeypatch.setattr(byte_bpe, "MEMO_PIECES", 10)
+    encoded, encode = [], own.encode
+    own.encode = lambda piece: encoded.append(piece) or encode(piece)
+    for _ in range(200):
+        own.packed(f"often {letters(rnd, 1)}")
+    assert encoded.count(b"often") == 1 and len(encoded) > 150
+    assert len(own) + len(own.before) <= 20
+
+
 # 6: language
 
 
