@@ -13,7 +13,8 @@ turns, in each of which a few lines outside a list's largest component are compa
 as in the turn before, until what is left of the list is one component. So all lines of a list that no link joins are compared, and
 a group of near copies takes one comparison or two for each of its lines.
 Four bits of each of 32 least values let only candidates through that agree as often as similar ones practically always do, within the
-join that makes them; the exact Jaccard similarity of all shingles decides. A distributed union-find gives the components, and the first
+join that makes them; the exact Jaccard similarity of all shingles decides, once for each pair, however many lists it shares. The shingles
+of lines that are in many pairs, as those of a group of near copies that isn't one component, are made once and held by each executor, up to a bound. A distributed union-find gives the components, and the first
 line of each, by doc_id and line number, stays.
 
 Equal lines meet as hashes of 128 bits and are one line from the start.
@@ -42,6 +43,8 @@ BANDS = [[[g * SIDE + (i + g * turn) % SIDE for g in range(GROUPS)] for i in ran
 CHECKED, AGREE = 32, 14
 #: Shingles of a row that makes the signatures; lines of a list that one turn settles; growth of the number of centres by turns.
 AT_ONCE, SHORT, WIDER = 8, 8, 8
+#: The shingles of lines that are in so many pairs or more are made once and held by each executor; so many code points, most frequent lines first.
+AGAIN, HELD = 6, 1 << 22
 ENDS = " \t\n\x0b\x0c\r"
 STRETCH = rf"(?s)(?=(.{{{SHINGLE},{AT_ONCE + SHINGLE - 1}}})).{{1,{AT_ONCE}}}"
 
@@ -75,8 +78,8 @@ def signatures(texts: DataFrame) -> DataFrame:
     made = rows.groupBy("rep").agg(*[F.min(F.least(*[by[k % 4](F.col(f"h{k // 4}_{i}")) for i in each])).alias(f"m{k}") for k in range(ORDERS)])
     bits = [F.shiftleft(F.xxhash64(f"m{k}").bitwiseAND(F.lit(15)), 4 * (k % 16)) for k in range(CHECKED)]
     some = [reduce(Column.bitwiseOR, bits[lo : lo + 16]).alias(f"s{1 + lo // 16}") for lo in range(0, CHECKED, 16)]
-    # 48 bits of a band's hash: what meets by chance is only compared.
-    bands = [F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(n * SIDE + i), *[f"m{k}" for k in band]), 16) for i, band in enumerate(turn)]).alias(f"bands{n}") for n, turn in enumerate(BANDS)]
+    # 40 bits of a band's hash: what meets by chance is only compared.
+    bands = [F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(n * SIDE + i), *[f"m{k}" for k in band]), 24) for i, band in enumerate(turn)]).alias(f"bands{n}") for n, turn in enumerate(BANDS)]
     return made.select("rep", *some, *bands)
 
 
@@ -114,6 +117,26 @@ def side(df: DataFrame, name: str, *what: str) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines (rep, line) whose exact similarity is high enough, as links (u, v)."""
+    often = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n")).where(F.col("n") >= AGAIN)
+    often = cut(often.select("rep", F.log2("n").cast("int").alias("times")).join(texts, "rep"))
+    least, held = None, 0
+    for times, size in sorted(often.groupBy("times").agg(F.sum(F.length("line"))).collect(), reverse=True):
+        if (held := held + size) > HELD:
+            break
+        least = times
+    if least is None:
+        drop(often)
+        return apiece(pairs, texts)
+    sets = cut(often.where(F.col("times") >= least).select("rep", F.array_distinct(shingles(F.col("line"))).alias("set")))
+    drop(often)
+    for x in "ab":
+        pairs = pairs.join(F.broadcast(sets.select(F.col("rep").alias(x), F.lit(True).alias(f"{x}_held"))), x, "left")
+    both = F.col("a_held").isNotNull() & F.col("b_held").isNotNull()
+    return among(pairs.where(both).select("a", "b"), sets).union(apiece(pairs.where(~both).select("a", "b"), texts))
+
+
+def apiece(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """What verified gives, each pair with the shingles of its own two lines."""
     near = pairs.join(side(texts, "b", "line"), "b").join(side(texts, "a", "line"), "a")
     # Arrays of one element name the sets and the sizes, so that each is computed once however often it is used.
     hashes = F.array(F.struct(shingles(F.col("a1")).alias("p"), shingles(F.col("b1")).alias("q")))
@@ -122,6 +145,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return near.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """What verified gives, for pairs of lines whose sets of shingles (rep, set) all tasks get."""
+    for x, name in (("b", "q"), ("a", "p")):
+        pairs = pairs.join(F.broadcast(sets), F.col(x) == F.col("rep")).select(*pairs.columns, F.col("set").alias(name))
+    # The sizes of both sets are the intersection's and the union's together.
+    similar = F.size(F.array_intersect("p", "q")) * (100 + T100) >= (F.size("p") + F.size("q")) * T100
+    return pairs.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def apart(members: DataFrame, joined: DataFrame) -> DataFrame:
     """Those of members (value, rep, s1, s2) whose lists hold several components (u, v), with comp, their list's largest component,
     its number of lines cnt and of lines outside that component."""
@@ -152,23 +184,27 @@ def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """Components (u, v) of the lines in lists (value, rep, first); signed: (rep, s1, s2), texts: (rep, line) of these lines."""
     pairs = listed.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(side(signed, "b", "s1", "s2"), "b").join(side(signed, "a", "s1", "s2"), "a")
-    joined = components(checked(pairs.where(agreeing("a", "b")).select("a", "b"), texts))
+    found, *tested = checked(pairs.where(agreeing("a", "b")).select("a", "b"), texts)
+    joined = components(found)
     members, width = apart(listed.where("rep <> first").join(signed, "rep"), joined), 1
     while not members.isEmpty():
-        found = checked(starred(members, width), texts)
-        before, joined = joined, components(joined.union(found))
+        before = (found, joined)
+        found, now = checked(starred(members, width), texts, *tested)
+        tested.append(now)
+        joined = components(joined.union(found))
         # Centres have met all of their lists and leave them.
         left, members = members, apart(members.where(~is_centre(width)).select("value", "rep", "s1", "s2"), joined)
-        drop(before, found, left)
+        drop(*before, left)
         width *= WIDER
+    drop(found, *tested)
     return joined
 
 
-def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    pairs = cut(pairs.distinct())
-    links = cut(verified(pairs, texts))
-    drop(pairs)
-    return links
+def checked(pairs: DataFrame, texts: DataFrame, *tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links (u, v) among pairs (a, b), and those pairs that were not tested before: lists share many."""
+    pairs = pairs.distinct()
+    pairs = cut(pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti") if tested else pairs)
+    return cut(verified(pairs, texts)), pairs
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -384,6 +384,29 @@ def test_line_dedup_settles_long_lists(spark):
     assert len(set(want.values())) == 151
 
 
+def test_line_dedup_tests_a_pair_once(spark, monkeypatch):
+    """Lines of a template that share many lists: no pair is tested twice, and shingles held by all tasks decide as those made for each pair."""
+    rnd = random.Random(14)
+    base = letters(rnd, 30)
+    lines = [f"{base} {letters(rnd, 14)}" for _ in range(50)]
+    lines += [x[:-1] + "7" for x in lines[:20]] + ["-" * 40, "-" * 90]
+    want = components_of({i: {x[j : j + 5] for j in range(len(x) - 4)} for i, x in enumerate(lines)}, 75)
+    texts = spark.createDataFrame(list(enumerate(lines)), "rep long, line string").cache()
+    listed = texts.selectExpr("explode(sequence(1L, 3L)) AS value", "rep", "0L AS first")
+    signed = line_dedup.signatures(texts).select("rep", "s1", "s2").cache()
+    tested, held, verified, among = [], [], line_dedup.verified, line_dedup.among
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, texts: tested.extend(map(tuple, pairs.collect())) or verified(pairs, texts))
+    monkeypatch.setattr(line_dedup, "among", lambda pairs, sets: held.append(pairs.count()) or among(pairs, sets))
+    for bound in (line_dedup.HELD, 0):
+        monkeypatch.setattr(line_dedup, "HELD", bound)
+        tested.clear()
+        held.clear()
+        got = {r.u: r.v for r in line_dedup.linked(listed, signed, texts).collect()}
+        assert {i: got.get(i, i) for i in want} == want
+        assert len(tested) == len(set(tested)) > 500
+        assert bool(held) == (bound > 0)
+
+
 # 3: neighbours
 
 
