@@ -12,10 +12,12 @@ of the list, which joins most of a group of near copies with as many candidates
 turns, in each of which a few lines outside a list's largest component are compared with all of the list and leave it, WIDER times as many
 as in the turn before, until what is left of the list is one component. So all lines of a list that no link joins are compared, and
 a group of near copies takes one comparison or two for each of its lines.
-Four bits of each of 32 least values let only candidates through that agree as often as similar ones practically always do, within the
-join that makes them; the exact Jaccard similarity of all shingles decides, once for each pair, however many lists it shares. The shingles
-of lines that are in many pairs, as those of a group of near copies that isn't one component, are made once and held by each executor, up to a bound. A distributed union-find gives the components, and the first
-line of each, by doc_id and line number, stays.
+Within the join that makes them, only candidates get through that agree in four bits of 32 least values as often as similar ones practically
+always do, and whose outlines differ in no more cells than similar ones can: each shingle turns over one of 64 * WORDS cells, so each cell in
+which two lines differ stands for a shingle that only one of them has. This second test loses nothing, and few pairs under the least
+similarity pass it, so a group of near copies that isn't one component no longer has its pairs tested one by one. The exact Jaccard similarity of
+all shingles decides, once for each pair, however many lists it shares. The shingles of lines that are in many pairs are made once and held by
+each executor, up to a bound. A distributed union-find gives the components, and the first line of each, by doc_id and line number, stays.
 
 Equal lines meet as hashes of 128 bits and are one line from the start.
 
@@ -26,9 +28,10 @@ remove its own lines; an empty table gives no rows; other columns don't matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, drop
@@ -41,10 +44,12 @@ ORDERS = GROUPS * SIDE
 BANDS = [[[g * SIDE + (i + g * turn) % SIDE for g in range(GROUPS)] for i in range(SIDE)] for turn in range(TURNS)]
 #: Of the CHECKED least values, two lines of the least similarity agree on 24.5 on average, and on fewer than AGREE with a chance of 1e-5.
 CHECKED, AGREE = 32, 14
+#: Words of 64 cells of a line's outline, a power of two.
+WORDS = 16
 #: Shingles of a row that makes the signatures; lines of a list that one turn settles; growth of the number of centres by turns.
 AT_ONCE, SHORT, WIDER = 8, 8, 8
 #: The shingles of lines that are in so many pairs or more are made once and held by each executor; so many code points, most frequent lines first.
-AGAIN, HELD = 6, 1 << 22
+AGAIN, HELD = 6, 1 << 20
 ENDS = " \t\n\x0b\x0c\r"
 STRETCH = rf"(?s)(?=(.{{{SHINGLE},{AT_ONCE + SHINGLE - 1}}})).{{1,{AT_ONCE}}}"
 
@@ -83,15 +88,32 @@ def signatures(texts: DataFrame) -> DataFrame:
     return made.select("rep", *some, *bands)
 
 
-def agreeing(a: str, b: str) -> Column:
-    """Whether the checked values of columns a1, a2 agree with those of b1, b2 often enough."""
+def outlines(texts: DataFrame) -> DataFrame:
+    """(rep, n, w0, w1, ...) of lines (rep, line) that have shingles: how many distinct ones, and which cells an odd number of them falls into."""
+    rows = texts.select("rep", F.explode(F.array_distinct(shingles(F.col("line")))).alias("h"))
+    cell = f"shiftleft(1L, int(shiftrightunsigned(h, {WORDS.bit_length() - 1}) & 63L))"
+    words = [F.bit_xor(F.expr(f"if((h & {WORDS - 1}L) = {k}L, {cell}, 0L)")).alias(f"w{k}") for k in range(WORDS)]
+    return rows.groupBy("rep").agg(F.count("*").alias("n"), *words)
 
-    def differ(x: Column) -> Column:
+
+def alike(names: list[str], a: str, b: str) -> Column:
+    """Whether the checked values s1, s2 of two lines agree often enough and, where there are outlines among the columns names, these
+    differ in few enough cells; a and b: what comes before the names of each line's columns."""
+
+    def differ(x: str) -> Column:
+        return F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))
+
+    def values(x: Column) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
-    return differ(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + differ(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2"))) <= CHECKED - AGREE
+    agree = values(differ("s1")) + values(differ("s2")) <= CHECKED - AGREE
+    if "n" not in names:
+        return agree
+    # Of sets with |A| + |B| shingles, J >= T means that at most (|A| + |B|) * (1 - T) / (1 + T) are in one of them only.
+    cells = reduce(Column.__add__, [F.bit_count(differ(f"w{k}")) for k in range(WORDS)])
+    return agree & (cells * (100 + T100) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (100 - T100))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -102,17 +124,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def lists(signed: DataFrame) -> DataFrame:
     """(value, rep, first) of each value of a band that several lines have, the least rep of them being the first."""
-    found = []
+    found, same = [], Window.partitionBy("value")
     for turn in range(TURNS):
         posted = signed.select("rep", F.explode(f"bands{turn}").alias("value"))
-        several = cut(posted.groupBy("value").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").drop("last"))
-        found.append(cut(posted.join(several, "value").select("value", "rep", "first")))
-        drop(several)
+        posted = posted.select("value", "rep", F.min("rep").over(same).alias("first"), F.max("rep").over(same).alias("last"))
+        found.append(cut(posted.where("first < last").drop("last")))
     return reduce(DataFrame.union, found)
 
 
-def side(df: DataFrame, name: str, *what: str) -> DataFrame:
-    return df.select(F.col("rep").alias(name), *(F.col(x).alias(f"{name}{k}") for k, x in enumerate(what, 1)))
+def side(df: DataFrame, name: str) -> DataFrame:
+    """df with its rep as name, and name before the other columns."""
+    return df.select(F.col("rep").alias(name), *(F.col(x).alias(f"{name}_{x}") for x in df.columns if x != "rep"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -137,9 +159,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def apiece(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """What verified gives, each pair with the shingles of its own two lines."""
-    near = pairs.join(side(texts, "b", "line"), "b").join(side(texts, "a", "line"), "a")
+    near = pairs.join(side(texts.select("rep", "line"), "b"), "b").join(side(texts.select("rep", "line"), "a"), "a")
     # Arrays of one element name the sets and the sizes, so that each is computed once however often it is used.
-    hashes = F.array(F.struct(shingles(F.col("a1")).alias("p"), shingles(F.col("b1")).alias("q")))
+    hashes = F.array(F.struct(shingles(F.col("a_line")).alias("p"), shingles(F.col("b_line")).alias("q")))
     sizes = F.transform(hashes, lambda s: F.struct(F.size(F.array_intersect(s["p"], s["q"])).alias("i"), F.size(F.array_union(s["p"], s["q"])).alias("n")))
     similar = F.exists(sizes, lambda s: s["i"] * 100 >= s["n"] * T100)
     return near.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -154,14 +176,14 @@ def among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def apart(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Those of members (value, rep, s1, s2) whose lists hold several components (u, v), with comp, their list's largest component,
-    its number of lines cnt and of lines outside that component."""
-    members = members.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("value", "rep", "s1", "s2", F.coalesce("v", "rep").alias("comp"))
+def apart(members: DataFrame, joined: DataFrame, *more: DataFrame) -> DataFrame:
+    """Those of members (value, rep, other columns) whose lists hold several components (u, v), with comp, their list's largest component,
+    its number of lines cnt and of lines outside that component, and the columns that other tables have for their rep."""
+    members = members.join(joined.select(F.col("u").alias("rep"), "v"), "rep", "left").withColumn("comp", F.coalesce("v", "rep")).drop("v")
     parts = members.groupBy("value", "comp").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("value").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("cnt"), F.count("*").alias("parts")).where("parts > 1")
     mixed = cut(mixed.select("value", "cnt", F.col("most.comp").alias("largest"), (F.col("cnt") - F.col("most.n")).alias("others")))
-    out = cut(members.join(mixed, "value"))
+    out = cut(reduce(lambda x, y: x.join(y, "rep"), more, members.join(mixed, "value")))
     drop(mixed)
     return out
 
@@ -173,27 +195,35 @@ def is_centre(width: int) -> Column:
     return (F.col("comp") != F.col("largest")) & ((F.col("cnt") <= SHORT) | dealt)
 
 
-def starred(members: DataFrame, width: int) -> DataFrame:
+def starred(members: DataFrame, width: int, names: list[str]) -> DataFrame:
     """Candidates (a, b): the members of each list against its centres in other components."""
-    centres = members.where(is_centre(width)).select("value", F.col("rep").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("comp").alias("d"))
-    found = members.join(centres, "value").where("comp <> d").where(agreeing("s", "t"))
-    return found.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+    centres = members.where(is_centre(width)).select("value", *(F.col(x).alias(f"c_{x}") for x in ("rep", "comp", *names)))
+    found = members.join(centres, "value").where("comp <> c_comp").where(alike(names, "", "c_"))
+    return found.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b"))
 
 
-def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Components (u, v) of the lines in lists (value, rep, first); signed: (rep, s1, s2), texts: (rep, line) of these lines."""
+def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame, outlined: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Components (u, v) of the lines in lists (value, rep, first); signed: (rep, s1, s2), texts: (rep, line) of these lines. outlined
+    makes the outlines of lines, if these are to thin out candidates; only lines of lists that aren't one component get them."""
+    names = ["s1", "s2"]
     pairs = listed.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.join(side(signed, "b", "s1", "s2"), "b").join(side(signed, "a", "s1", "s2"), "a")
-    found, *tested = checked(pairs.where(agreeing("a", "b")).select("a", "b"), texts)
+    pairs = pairs.join(side(signed, "b"), "b").join(side(signed, "a"), "a")
+    found, *tested = checked(pairs.where(alike(names, "a_", "b_")).select("a", "b"), texts)
     joined = components(found)
-    members, width = apart(listed.where("rep <> first").join(signed, "rep"), joined), 1
+    members, width = apart(listed.where("rep <> first").select("value", "rep"), joined, signed), 1
+    if outlined:
+        few = cut(members.select("rep").distinct())
+        drawn = cut(outlined(texts.join(few, "rep", "left_semi")))
+        names += [x for x in drawn.columns if x != "rep"]
+        plain, members = members, cut(members.join(drawn, "rep"))
+        drop(few, drawn, plain)
     while not members.isEmpty():
         before = (found, joined)
-        found, now = checked(starred(members, width), texts, *tested)
+        found, now = checked(starred(members, width, names), texts, *tested)
         tested.append(now)
         joined = components(joined.union(found))
         # Centres have met all of their lists and leave them.
-        left, members = members, apart(members.where(~is_centre(width)).select("value", "rep", "s1", "s2"), joined)
+        left, members = members, apart(members.where(~is_centre(width)).select("value", "rep", *names), joined)
         drop(*before, left)
         width *= WIDER
     drop(found, *tested)
@@ -221,7 +251,7 @@ def removed(docs: DataFrame) -> DataFrame:
     texts = cut(distinct.select("rep", "line").join(reps, "rep", "left_semi"))
     some = cut(signed.select("rep", "s1", "s2").join(reps, "rep", "left_semi"))
     drop(signed, reps)
-    joined = linked(listed, some, texts)
+    joined = linked(listed, some, texts, outlines)
     drop(some, texts)
     known = distinct.select("rep", "h1", "h2", "first", "cnt").join(joined.withColumnRenamed("u", "rep"), "rep", "left")
     known = known.join(joined.select(F.col("v").alias("rep"), F.lit(True).alias("root")).distinct(), "rep", "left")

@@ -407,6 +407,31 @@ def test_line_dedup_tests_a_pair_once(spark, monkeypatch):
         assert bool(held) == (bound > 0)
 
 
+def test_line_dedup_tests_few_pairs_of_a_template(spark, monkeypatch):
+    """Lines that share a template but are no copies: outlines keep nearly all their pairs from being tested, and no link is lost."""
+    rnd = random.Random(15)
+    base = letters(rnd, 30)
+    lines = [f"{base} {letters(rnd, 14)}" for _ in range(60)]
+    lines += [x[:-1] + "7" for x in lines[:20]] + [x[:90] + letters(rnd, n) + x[90:] for n, x in enumerate(lines[20:40], 1)]
+    lines += ["-" * 40, "-" * 90, "ab" * 30, "ab" * 50 + "a"]
+    sets = {i: {x[j : j + 5] for j in range(len(x) - 4)} for i, x in enumerate(lines)}
+    want, links = components_of(sets, 75), sum(4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]) for a in sets for b in sets if a < b)
+    texts = spark.createDataFrame(list(enumerate(lines)), "rep long, line string").cache()
+    listed = texts.selectExpr("explode(sequence(1L, 3L)) AS value", "rep", "0L AS first")
+    signed = line_dedup.signatures(texts).select("rep", "s1", "s2").cache()
+    tested, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, texts: tested.extend(map(tuple, pairs.collect())) or verified(pairs, texts))
+    got = {r.u: r.v for r in line_dedup.linked(listed, signed, texts, line_dedup.outlines).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+    assert len(tested) == len(set(tested)) < 2 * links + len(lines)
+    # An outline differs in no more cells than shingles are in one line only, long lines and lines of the same shingles included.
+    drawn = {r.rep: r for r in line_dedup.outlines(spark.createDataFrame([(i, x) for i, x in enumerate([*lines, lines[0] * 9])], "rep long, line string")).collect()}
+    assert all(drawn[i].n == len(sets[i]) for i in sets)
+    for a in sets:
+        cells = sum(((drawn[a][f"w{k}"] ^ drawn[0][f"w{k}"]) & (1 << 64) - 1).bit_count() for k in range(line_dedup.WORDS))
+        assert cells <= len(sets[a] ^ sets[0]) and cells % 2 == len(sets[a] ^ sets[0]) % 2
+
+
 # 3: neighbours
 
 
