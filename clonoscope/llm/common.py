@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: The blanks of the contracts, the class [\x20\x09-\x0D], and its complement as a word.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 WORD = r"[^\x20\x09-\x0D]+"
+#: With these settings a query's shuffle files go when it is done, not when the driver happens to collect its garbage.
+CLEANED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 _own: dict[str, str] = {}
 #: Where the tables are that cut wrote.
@@ -58,7 +60,7 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     rows: of an Arrow batch (of 8 MB at most), where Python makes large values."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    now = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    now = dict(CLEANED)
     if rows:
         now |= {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
     with settings(spark, now):
@@ -99,7 +101,8 @@ def components(links: DataFrame) -> DataFrame:
     links = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     state = None
     while True:
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        with settings(links.sparkSession, CLEANED):
+            now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state or not now[0]:
             return links
         state = now

@@ -47,7 +47,7 @@ CHECKED, AGREE = 32, 14
 #: Words of 64 cells of a line's outline, a power of two.
 WORDS = 16
 #: Shingles of a row that makes the signatures; lines of a list that one turn settles; growth of the number of centres by turns.
-AT_ONCE, SHORT, WIDER = 8, 8, 8
+AT_ONCE, SHORT, WIDER = 8, 64, 64
 #: The shingles of lines that are in so many pairs or more are made once and held by each executor; so many code points, most frequent lines first.
 AGAIN, HELD = 6, 1 << 20
 ENDS = " \t\n\x0b\x0c\r"
@@ -80,7 +80,9 @@ def signatures(texts: DataFrame) -> DataFrame:
         rows = rows.withColumns({f"h{k}_{i}": F.xxhash64(f"h{k - 1}_{i}") for i in each})
     # Four orders of a hash: by its bits from the first, the 17th, the 33rd and the 49th on.
     by = [lambda h: h, lambda h: F.shiftleft(h, 16), lambda h: F.shiftleft(h, 32), lambda h: F.shiftleft(h, 48).bitwiseOR(F.shiftrightunsigned(h, 16))]
-    made = rows.groupBy("rep").agg(*[F.min(F.least(*[by[k % 4](F.col(f"h{k // 4}_{i}")) for i in each])).alias(f"m{k}") for k in range(ORDERS)])
+    # The first 32 bits are kept, which halves what is shuffled: unrelated shingles share them with a chance of 1e-9.
+    least = [F.least(*[by[k % 4](F.col(f"h{k // 4}_{i}")) for i in each]) for k in range(ORDERS)]
+    made = rows.groupBy("rep").agg(*[F.min(F.shiftright(x, 32).cast("int")).alias(f"m{k}") for k, x in enumerate(least)])
     bits = [F.shiftleft(F.xxhash64(f"m{k}").bitwiseAND(F.lit(15)), 4 * (k % 16)) for k in range(CHECKED)]
     some = [reduce(Column.bitwiseOR, bits[lo : lo + 16]).alias(f"s{1 + lo // 16}") for lo in range(0, CHECKED, 16)]
     # 40 bits of a band's hash: what meets by chance is only compared.
@@ -176,14 +178,14 @@ def among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def apart(members: DataFrame, joined: DataFrame, *more: DataFrame) -> DataFrame:
-    """Those of members (value, rep, other columns) whose lists hold several components (u, v), with comp, their list's largest component,
-    its number of lines cnt and of lines outside that component, and the columns that other tables have for their rep."""
+def apart(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Those of members (value, rep) whose lists hold several components (u, v), with comp, their list's largest component, its number of
+    lines cnt and of lines outside that component."""
     members = members.join(joined.select(F.col("u").alias("rep"), "v"), "rep", "left").withColumn("comp", F.coalesce("v", "rep")).drop("v")
     parts = members.groupBy("value", "comp").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("value").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("cnt"), F.count("*").alias("parts")).where("parts > 1")
     mixed = cut(mixed.select("value", "cnt", F.col("most.comp").alias("largest"), (F.col("cnt") - F.col("most.n")).alias("others")))
-    out = cut(reduce(lambda x, y: x.join(y, "rep"), more, members.join(mixed, "value")))
+    out = cut(members.join(mixed, "value"))
     drop(mixed)
     return out
 
@@ -195,9 +197,13 @@ def is_centre(width: int) -> Column:
     return (F.col("comp") != F.col("largest")) & ((F.col("cnt") <= SHORT) | dealt)
 
 
-def starred(members: DataFrame, width: int, names: list[str]) -> DataFrame:
-    """Candidates (a, b): the members of each list against its centres in other components."""
-    centres = members.where(is_centre(width)).select("value", *(F.col(x).alias(f"c_{x}") for x in ("rep", "comp", *names)))
+def starred(members: DataFrame, width: int, marks: DataFrame) -> DataFrame:
+    """Candidates (a, b): the members of each list against its centres in other components. marks: rep, s1, s2 and perhaps outlines,
+    which are joined here only, so that no other shuffle carries them for each list that a line is in."""
+    names = [x for x in marks.columns if x != "rep"]
+    centres = members.where(is_centre(width)).select("value", "rep", "comp").join(marks, "rep")
+    centres = centres.select("value", *(F.col(x).alias(f"c_{x}") for x in ("rep", "comp", *names)))
+    members = members.select("value", "rep", "comp").join(marks, "rep")
     found = members.join(centres, "value").where("comp <> c_comp").where(alike(names, "", "c_"))
     return found.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b"))
 
@@ -205,28 +211,29 @@ def starred(members: DataFrame, width: int, names: list[str]) -> DataFrame:
 def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame, outlined: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components (u, v) of the lines in lists (value, rep, first); signed: (rep, s1, s2), texts: (rep, line) of these lines. outlined
     makes the outlines of lines, if these are to thin out candidates; only lines of lists that aren't one component get them."""
-    names = ["s1", "s2"]
     pairs = listed.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(side(signed, "b"), "b").join(side(signed, "a"), "a")
-    found, *tested = checked(pairs.where(alike(names, "a_", "b_")).select("a", "b"), texts)
-    joined = components(found)
-    members, width = apart(listed.where("rep <> first").select("value", "rep"), joined, signed), 1
+    found, *tested = checked(pairs.where(alike(["s1", "s2"], "a_", "b_")).select("a", "b"), texts)
+    joined, width = components(found), 1
+    members = apart(listed.where("rep <> first").select("value", "rep"), joined)
+    few = cut(members.select("rep").distinct())
+    marks = signed.join(few, "rep", "left_semi")
     if outlined:
-        few = cut(members.select("rep").distinct())
-        drawn = cut(outlined(texts.join(few, "rep", "left_semi")))
-        names += [x for x in drawn.columns if x != "rep"]
-        plain, members = members, cut(members.join(drawn, "rep"))
-        drop(few, drawn, plain)
+        marks = marks.join(outlined(texts.join(few, "rep", "left_semi")), "rep")
+    marks = cut(marks)
+    drop(few)
     while not members.isEmpty():
-        before = (found, joined)
-        found, now = checked(starred(members, width, names), texts, *tested)
+        before = found
+        found, now = checked(starred(members, width, marks), texts, *tested)
         tested.append(now)
-        joined = components(joined.union(found))
+        if not found.isEmpty():
+            joined, plain = components(joined.union(found)), joined
+            drop(plain)
         # Centres have met all of their lists and leave them.
-        left, members = members, apart(members.where(~is_centre(width)).select("value", "rep", *names), joined)
-        drop(*before, left)
+        left, members = members, apart(members.where(~is_centre(width)).select("value", "rep"), joined)
+        drop(before, left)
         width *= WIDER
-    drop(found, *tested)
+    drop(found, marks, *tested)
     return joined
 
 

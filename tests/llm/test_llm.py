@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from clonoscope.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, near_dedup, neighbours, suffix_dedup, suffix_order, token_counts, toxicity
+from clonoscope.llm import byte_bpe, common, exact_dedup, language_id, line_dedup, mixing, near_dedup, neighbours, suffix_dedup, suffix_order, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, rep long, value string"
 BLANK = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -432,6 +432,36 @@ def test_line_dedup_tests_few_pairs_of_a_template(spark, monkeypatch):
         assert cells <= len(sets[a] ^ sets[0]) and cells % 2 == len(sets[a] ^ sets[0]) % 2
 
 
+def test_line_dedup_settles_a_list_in_a_turn(spark, monkeypatch):
+    """A list of some dozens of lines takes one turn, whose members carry no signatures or outlines through the shuffles by list and by line."""
+    rnd = random.Random(16)
+    base = letters(rnd, 30)
+    lines = [f"{base} {letters(rnd, 14)}" for _ in range(45)]
+    lines += [x[:-1] + "7" for x in lines[:15]]
+    want = components_of({i: {x[j : j + 5] for j in range(len(x) - 4)} for i, x in enumerate(lines)}, 75)
+    texts = spark.createDataFrame(list(enumerate(lines)), "rep long, line string").cache()
+    listed = texts.selectExpr("1L AS value", "rep", "0L AS first")
+    signed = line_dedup.signatures(texts).select("rep", "s1", "s2").cache()
+    turns, starred = [], line_dedup.starred
+    monkeypatch.setattr(line_dedup, "starred", lambda members, *more: turns.append(members.columns) or starred(members, *more))
+    got = {r.u: r.v for r in line_dedup.linked(listed, signed, texts, line_dedup.outlines).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+    assert len(turns) == 1 and not {"s1", "s2", "n", "w0"} & set(turns[0])
+
+
+def test_components_leave_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {x for x in (files.getAllFiles().apply(i).getName() for i in range(files.getAllFiles().size())) if x.startswith("shuffle_")}
+
+    before = shuffled()
+    links = spark.createDataFrame([(i + 1, i) for i in range(30)], "u long, v long").repartition(4)
+    got = {r.u: r.v for r in common.components(links).collect()}
+    assert got == {i + 1: 0 for i in range(30)}
+    assert not shuffled() - before
+
+
 # 3: neighbours
 
 
