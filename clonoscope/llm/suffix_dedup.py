@@ -36,6 +36,8 @@ from .suffix_order import suffix_arrays
 LENGTH, GRAM, BATCH = 50, 24, 2 << 20
 #: Bytes of text for which there is one partition, the least number of them, and batches from which a minimizer is dealt out by windows.
 PER_PART, LEAST_PARTS, HOT = 48 << 20, 64, 256
+#: Places that are hashed at once; what stands for the place of the k-gram in a window that is dealt out by itself.
+STRETCH, WINDOW = 1 << 14, 255
 LAST = np.iinfo(np.int64).max
 SPAN = LENGTH - GRAM + 1  # k-grams of a window
 HALF = (LENGTH - GRAM) // 2  # a window has so many bytes at least before or after its minimizer
@@ -45,6 +47,7 @@ class Dealt:
     """Numbers by partition."""
 
     def __init__(self, part: np.ndarray, parts: int):
+        part = part.astype(np.uint16) if parts < 1 << 16 else part  # sorted by counting
         self.order = np.argsort(part, kind="stable")
         self.bounds = np.searchsorted(part[self.order], np.arange(parts + 1, dtype=part.dtype))
 
@@ -95,17 +98,21 @@ def runs(b: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarra
     none = np.empty(0, np.int64)
     if len(b) < LENGTH:
         return none, none, none, none.astype(np.uint64), none
-    h = gram_hashes(b)
-    n = len(h)
-    key = h >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)
-    # The least of SPAN keys from each place on: the least to the end of its stretch and from the start of the next one.
-    wide = np.full(-(-n // SPAN) * SPAN, np.iinfo(np.uint64).max, np.uint64)
-    wide[:n] = key
-    wide = wide.reshape(-1, SPAN)
-    ahead = np.minimum.accumulate(wide, axis=1).ravel()
-    back = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = len(b) - GRAM + 1
     windows = n - SPAN + 1
-    least = np.minimum(back[:windows], ahead[SPAN - 1 : SPAN - 1 + windows]) & np.uint64(0xFFFFFFFF)
+    h, least = np.empty(n, np.uint64), np.empty(windows, np.int64)
+    for lo in range(0, n, STRETCH):  # so many places at once that they stay in the processor's cache
+        h[lo : lo + STRETCH] = gram_hashes(b[lo : lo + STRETCH + GRAM - 1])
+    for lo in range(0, windows, STRETCH):
+        key = h[lo : lo + STRETCH + SPAN - 1] >> np.uint64(32) << np.uint64(32)
+        key |= np.arange(len(key), dtype=np.uint64)
+        # The least of so many keys from each place on, doubling their number; the last two overlap.
+        width = 1
+        while width * 2 <= SPAN:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        key = np.minimum(key[: len(key) - (SPAN - width)], key[SPAN - width :])
+        least[lo : lo + STRETCH] = (key & np.uint64(0xFFFFFFFF)).astype(np.int64) + lo
     ok = np.zeros(len(b) + 1, np.int8)
     long = ends - starts >= LENGTH
     np.add.at(ok, starts[long], 1)
@@ -117,7 +124,7 @@ def runs(b: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarra
     last = np.append(first[1:], windows) - 1
     good = ok[first]
     first, last = first[good], last[good]
-    place = least[first].astype(np.int64)
+    place = least[first]
     return first, last, place, h[place], np.searchsorted(ends, first, side="right")
 
 
@@ -181,22 +188,24 @@ class Batch:
         self.first, self.last, self.place, self.hash, self.text = runs(self.bytes, self.ends, self.starts)
 
     def minimizers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes, ascending; whether several texts of the batch have it; one text; of each run the hash's number."""
-        mine = ~self.again[self.text]
-        h, t = self.hash[mine], self.text[mine]
-        order = np.argsort(h, kind="stable")
-        h, t = h[order], t[order]
+        """Distinct hashes, ascending; whether several texts of the batch have it; one text; of each run the hash's number (0 in rows that
+        another one stands for)."""
+        mine = np.flatnonzero(~self.again[self.text])
+        order = mine[np.argsort(self.hash[mine])]
+        h, t = self.hash[order], self.text[order]
         head = np.ones(len(h), bool)
         head[1:] = h[1:] != h[:-1]
         heads = np.flatnonzero(head)
         if not len(heads):
             return h[:0], np.zeros(0, bool), t[:0], np.zeros(len(self.hash), int)
         several = np.minimum.reduceat(t, heads) != np.maximum.reduceat(t, heads)
-        return h[heads], several, t[heads], np.searchsorted(h[heads], self.hash)
+        number = np.zeros(len(self.hash), int)
+        number[order] = np.cumsum(head) - 1
+        return h[heads], several, t[heads], number
 
     def pieces(self, shared: np.ndarray, hot: np.ndarray, number: np.ndarray, dead: np.ndarray, parts: int):
-        """Distinct pieces of runs whose minimizer is shared, in texts that aren't dead: for each its bytes, where its k-gram is,
-        its partition, the smallest doc_id; and for each occurrence text, place and piece."""
+        """Distinct pieces of runs whose minimizer is shared, in texts that aren't dead: for each its bytes, where its k-gram is (WINDOW:
+        a single window that was dealt out by its own hash), its partition, the smallest doc_id; and for each occurrence text, place and piece."""
         use = np.flatnonzero(shared[number] & ~dead[self.text] & ~self.again[self.text]) if len(number) else np.empty(0, int)
         first, last, place, text = self.first[use], self.last[use], self.place[use], self.text[use]
         part = (self.hash[use] >> np.uint64(7)) % np.uint64(parts)
@@ -217,7 +226,7 @@ class Batch:
         if is_hot.any():
             names = list(known)
             for k in np.unique(piece[is_hot]).tolist():
-                where[k] = xxhash.xxh64_intdigest(names[k]) % parts
+                where[k], grams[k] = xxhash.xxh64_intdigest(names[k]) % parts, WINDOW
         return list(known), grams, where, least, text, first, piece
 
 
@@ -392,7 +401,8 @@ def sorted_out(frame: pd.DataFrame) -> pd.DataFrame:
     grams = gram.tolist()
     by_gram: dict[bytes, list[int]] = {}
     for k, (piece, g) in enumerate(zip(pieces, grams, strict=True)):
-        by_gram.setdefault(piece[g : g + GRAM], []).append(k)
+        if g != WINDOW:  # the others are whole windows, all distinct: no suffix of one is a window of another
+            by_gram.setdefault(piece[g : g + GRAM], []).append(k)
     # Runs of windows with one answer: mostly one per piece.
     size = np.array([len(x) for x in pieces], np.int64) - LENGTH + 1
     split: list[tuple[np.ndarray, ...]] = []

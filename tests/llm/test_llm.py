@@ -609,6 +609,33 @@ def test_suffix_dedup_of_descending_rows(spark, rows, monkeypatch, batch):
     assert collected(suffix_dedup.suffix_dedup(df)) == removed_by_brute_force(down)
 
 
+def test_suffix_dedup_sorts_no_single_windows(monkeypatch):
+    """Windows of a minimizer that is dealt out window by window are distinct: no suffixes of theirs are sorted."""
+    rnd = random.Random(5)
+    passage = " ".join(words(rnd, 14))
+    rows = [(i, f"{' '.join(words(rnd, 30))} {passage} {' '.join(words(rnd, 30))}") for i in range(40)]
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 100, raising=False)
+    monkeypatch.setattr(suffix_dedup, "window_minima", lambda *_: pytest.fail("sorted"))
+
+    def batch(i, t):
+        t = t.encode()
+        return suffix_dedup.packed(np.array([i]), np.zeros(1, bool), np.array([len(t)]), np.frombuffer(t, np.uint8))
+
+    table = pd.DataFrame({"batch": [i for i, _ in rows], "data": [batch(*r) for r in rows]})
+
+    def by_batch(frame):
+        return [[{"part": r.part, "reply": r.reply} for r in frame.itertuples() if r.batch == b] for b in table["batch"]]
+
+    keyed = pd.concat(suffix_dedup.asked(iter([table]), 4))
+    replies = pd.concat([suffix_dedup.answered(g, 2) for _, g in keyed.groupby("part")])
+    sent = pd.concat(suffix_dedup.sent(iter([table.assign(replies=by_batch(replies))]), 4))
+    answers = pd.concat([suffix_dedup.sorted_out(g) for _, g in sent[sent["part"] >= 0].groupby("part")])
+    table = table.assign(notes=sent[sent["part"] < 0]["data"].tolist(), answers=by_batch(answers))
+    out = pd.concat(suffix_dedup.emitted(iter([table]), 4))
+    got = [(int(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out.itertuples()]
+    assert sorted(got, key=repr) == removed_by_brute_force(rows) and out["n_removed"].sum() >= 39 * 50
+
+
 def test_suffix_dedup_edges(nothing, with_null):
     assert collected(suffix_dedup.suffix_dedup(nothing)) == []
     assert [r[:4] for r in collected(suffix_dedup.suffix_dedup(with_null))] == [(7, 61, 0, 0), (None, 61, 61, 1), (None, 61, 61, 1)]
