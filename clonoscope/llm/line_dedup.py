@@ -142,12 +142,13 @@ def side(df: DataFrame, name: str) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines (rep, line) whose exact similarity is high enough, as links (u, v)."""
     often = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n")).where(F.col("n") >= AGAIN)
-    often = cut(often.select("rep", F.log2("n").cast("int").alias("times")).join(texts, "rep"))
-    least, held = None, 0
-    for times, size in sorted(often.groupBy("times").agg(F.sum(F.length("line"))).collect(), reverse=True):
-        if (held := held + size) > HELD:
-            break
-        least = times
+    often = cut(often.select("rep", F.log2("n").cast("int").alias("times")))
+    # Lines have SHINGLE code points at least, so these are all that can be held; they are few, and the texts aren't shuffled for them.
+    least = fitting(often, F.count("*") * SHINGLE)
+    if least is not None:
+        few = cut(texts.join(F.broadcast(often.where(F.col("times") >= least)), "rep"))
+        drop(often)
+        often, least = few, fitting(few, F.sum(F.length("line")))
     if least is None:
         drop(often)
         return apiece(pairs, texts)
@@ -159,6 +160,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return among(pairs.where(both).select("a", "b"), sets).union(apiece(pairs.where(~both).select("a", "b"), texts))
 
 
+def fitting(often: DataFrame, size: Column) -> int | None:
+    """The least of often's times from which on the sizes of all lines are HELD at most together, if there is one."""
+    least, held = None, 0
+    for times, n in sorted(often.groupBy("times").agg(size).collect(), reverse=True):
+        if (held := held + n) > HELD:
+            break
+        least = times
+    return least
+
+
 def apiece(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """What verified gives, each pair with the shingles of its own two lines."""
     near = pairs.join(side(texts.select("rep", "line"), "b"), "b").join(side(texts.select("rep", "line"), "a"), "a")
@@ -218,8 +229,9 @@ def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame, outlined: Cal
     members = apart(listed.where("rep <> first").select("value", "rep"), joined)
     few = cut(members.select("rep").distinct())
     marks = signed.join(few, "rep", "left_semi")
+    texts = cut(texts.join(few, "rep", "left_semi"))  # each turn shuffles these only
     if outlined:
-        marks = marks.join(outlined(texts.join(few, "rep", "left_semi")), "rep")
+        marks = marks.join(outlined(texts), "rep")
     marks = cut(marks)
     drop(few)
     while not members.isEmpty():
@@ -233,7 +245,7 @@ def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame, outlined: Cal
         left, members = members, apart(members.where(~is_centre(width)).select("value", "rep"), joined)
         drop(before, left)
         width *= WIDER
-    drop(found, marks, *tested)
+    drop(found, marks, texts, *tested)
     return joined
 
 

@@ -384,6 +384,26 @@ def test_line_dedup_settles_long_lists(spark):
     assert len(set(want.values())) == 151
 
 
+def test_line_dedup_turns_read_few_texts(spark, monkeypatch):
+    """Turns get the texts of lists that aren't one component only, and texts aren't shuffled to find those whose shingles are held."""
+    rnd = random.Random(15)
+    one, base = letters(rnd, 60), letters(rnd, 30)
+    lines = [f"{one}{i}" for i in range(10)] + [f"{base} {letters(rnd, 14)}" for _ in range(12)]
+    lines += [x[:-1] + "7" for x in lines[10:]]
+    want = components_of({i: {x[j : j + 5] for j in range(len(x) - 4)} for i, x in enumerate(lines)}, 75)
+    texts = spark.createDataFrame(list(enumerate(lines)), "rep long, line string").cache()
+    listed = texts.selectExpr("IF(rep < 10, 1L, 2L) AS value", "rep", "IF(rep < 10, 0L, 10L) AS first")
+    sizes, plans, verified, cut = [], [], line_dedup.verified, line_dedup.cut
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, own: sizes.append(own.count()) or verified(pairs, own))
+    monkeypatch.setattr(line_dedup, "cut", lambda df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df))
+    joined = line_dedup.linked(listed, line_dedup.signatures(texts).select("rep", "s1", "s2"), texts)
+    got = {r.u: r.v for r in joined.collect()}
+    assert {i: got.get(i, i) for i in want} == want
+    assert sizes[0] == 34 and len(sizes) > 1 and set(sizes[1:]) == {23}  # the first line has met the others
+    often = [plan for columns, plan in plans if {"line", "times"} <= set(columns)]
+    assert often and all("broadcast" in plan for plan in often)
+
+
 def test_line_dedup_tests_a_pair_once(spark, monkeypatch):
     """Lines of a template that share many lists: no pair is tested twice, and shingles held by all tasks decide as those made for each pair."""
     rnd = random.Random(14)
