@@ -2,11 +2,13 @@
 
 Lines are compared without blanks at their ends. The similarity is Jaccard's of the sets of a line's 5-character shingles, and all
 signatures are of these sets, for lines of any length: under each of ORDERS orders of hashes, the least hash that a line has. Two lines
-agree on each of these with a probability that is their similarity, independently. Bands join five of them, one of each of five groups, so
-that any two bands have at most one in common; lines with a similarity of 0.75 share a band with a chance of 0.99, of 0.8 of 0.998, and
-unrelated lines hardly ever do. (The chances are of a simulation of the agreements.)
+agree on each of these with a probability that is their similarity. A group's orders are of one hash, seen from several points far apart
+(by XOR), so that lines of more than a few shingles have other ones as the least of each; the groups are independent. Bands join five of
+them, one of each of five groups, so that any two bands have at most one in common; lines with a similarity of 0.75 share a band with a
+chance of 0.99, of 0.8 of 0.998, short lines more often, and unrelated lines hardly ever do. (The chances are of a simulation of the hashes.)
 
-A line's shingles are made as rows, eight at a time, and its signature is one aggregation of least values, so all of it is compiled code.
+A line's shingles are made as rows, eight at a time, and its signature is one aggregation of least values, so all of it is compiled code,
+and runs where the text has been shuffled to. Later on, the lines that are asked for are broadcast as bits, so texts aren't shuffled for them.
 Bands are dealt out a quarter at a time: the lines of each value that several lines have are listed, and compared with the first line
 of the list, which joins most of a group of near copies with as many candidates as members. Lists that aren't one component then go on in
 turns, in each of which a few lines outside a list's largest component are compared with all of the list and leave it, WIDER times as many
@@ -28,6 +30,7 @@ remove its own lines; an empty table gives no rows; other columns don't matter.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -42,6 +45,8 @@ SHINGLE, T100 = 5, 75
 GROUPS, SIDE, TURNS = 5, 7, 4
 ORDERS = GROUPS * SIDE
 BANDS = [[[g * SIDE + (i + g * turn) % SIDE for g in range(GROUPS)] for i in range(SIDE)] for turn in range(TURNS)]
+#: The orders of a group are of one hash, by what is left of it after XOR with these, whose first three bits tell them apart.
+SALTS = [[(i << 29 | random.Random(300 + g * SIDE + i).getrandbits(29)) - (1 << 31) for i in range(SIDE)] for g in range(GROUPS)]
 #: Of the CHECKED least values, two lines of the least similarity agree on 24.5 on average, and on fewer than AGREE with a chance of 1e-5.
 CHECKED, AGREE = 32, 14
 #: Words of 64 cells of a line's outline, a power of two.
@@ -50,6 +55,8 @@ WORDS = 16
 AT_ONCE, SHORT, WIDER = 8, 64, 64
 #: The shingles of lines that are in so many pairs or more are made once and held by each executor; so many code points, most frequent lines first.
 AGAIN, HELD = 6, 1 << 20
+#: Blocks of 64 lines, as words of bits, that are broadcast at once to find the rows of some lines.
+BLOCKS = 1 << 18
 ENDS = " \t\n\x0b\x0c\r"
 STRETCH = rf"(?s)(?=(.{{{SHINGLE},{AT_ONCE + SHINGLE - 1}}})).{{1,{AT_ONCE}}}"
 
@@ -70,24 +77,23 @@ def shingles(line: Column) -> Column:
     return F.flatten(F.transform(pieces(line), lambda x: F.array(*hashed(x))))
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """(rep, s1, s2, bands0, bands1, ...) of lines (rep, line) that have shingles: four bits of each checked value, and the bands by turn."""
-    each = range(AT_ONCE)
-    rows = texts.select("rep", F.explode(pieces(F.col("line"))).alias("x"))
-    rows = rows.select("rep", *[h.alias(f"h0_{i}") for i, h in enumerate(hashed(F.col("x")))])
-    whole = -(-ORDERS // 4)
-    for k in range(1, whole):
-        rows = rows.withColumns({f"h{k}_{i}": F.xxhash64(f"h{k - 1}_{i}") for i in each})
-    # Four orders of a hash: by its bits from the first, the 17th, the 33rd and the 49th on.
-    by = [lambda h: h, lambda h: F.shiftleft(h, 16), lambda h: F.shiftleft(h, 32), lambda h: F.shiftleft(h, 48).bitwiseOR(F.shiftrightunsigned(h, 16))]
-    # The first 32 bits are kept, which halves what is shuffled: unrelated shingles share them with a chance of 1e-9.
-    least = [F.least(*[by[k % 4](F.col(f"h{k // 4}_{i}")) for i in each]) for k in range(ORDERS)]
-    made = rows.groupBy("rep").agg(*[F.min(F.shiftright(x, 32).cast("int")).alias(f"m{k}") for k, x in enumerate(least)])
+def signatures(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, s1, s2, bands0, bands1, ...) of lines (keys, line) that have shingles: four bits of each checked value, and the bands by turn.
+    keys: what tells lines apart, rep by default."""
+    keys, each = keys or ("rep",), range(AT_ONCE)
+    rows = texts.select(*keys, F.explode(pieces(F.col("line"))).alias("x"))
+    rows = rows.select(*keys, *[h.alias(f"h0_{i}") for i, h in enumerate(hashed(F.col("x")))])
+    rows = rows.withColumns({f"h1_{i}": F.xxhash64(f"h0_{i}") for i in each})
+    # 32 bits of two hashes for each group: unrelated shingles share them with a chance of 2e-10.
+    parts = [(k, bit) for k, bit in ((0, 0), (0, 32), (1, 0), (1, 32), (0, 16))]
+    rows = rows.select(*keys, *[F.shiftright(F.shiftleft(f"h{k}_{i}", bit), 32).cast("int").alias(f"g{g}_{i}") for g, (k, bit) in enumerate(parts) for i in each])
+    least = [F.least(*[F.col(f"g{g}_{i}").bitwiseXOR(F.lit(salt)) for i in each]) for g in range(GROUPS) for salt in SALTS[g]]
+    made = rows.groupBy(*keys).agg(*[F.min(x).alias(f"m{k}") for k, x in enumerate(least)])
     bits = [F.shiftleft(F.xxhash64(f"m{k}").bitwiseAND(F.lit(15)), 4 * (k % 16)) for k in range(CHECKED)]
     some = [reduce(Column.bitwiseOR, bits[lo : lo + 16]).alias(f"s{1 + lo // 16}") for lo in range(0, CHECKED, 16)]
     # 40 bits of a band's hash: what meets by chance is only compared.
     bands = [F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(n * SIDE + i), *[f"m{k}" for k in band]), 24) for i, band in enumerate(turn)]).alias(f"bands{n}") for n, turn in enumerate(BANDS)]
-    return made.select("rep", *some, *bands)
+    return made.select(*keys, *some, *bands)
 
 
 def outlines(texts: DataFrame) -> DataFrame:
@@ -128,12 +134,32 @@ def lists(signed: DataFrame) -> DataFrame:
     """(value, rep, first) of each value of a band that several lines have, the least rep of them being the first."""
     found, same = [], Window.partitionBy("value")
     for turn in range(TURNS):
-        posted = signed.select("rep", F.explode(f"bands{turn}").alias("value"))
+        posted = signed.where("s1 IS NOT NULL").select("rep", F.explode(f"bands{turn}").alias("value"))
         posted = posted.select("value", "rep", F.min("rep").over(same).alias("first"), F.max("rep").over(same).alias("last"))
         found.append(cut(posted.where("first < last").drop("last")))
     return reduce(DataFrame.union, found)
 
 
+def within(table: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of table whose rep is among reps, in a written table. The lines are broadcast as bits, BLOCKS words at once, so the table
+    isn't shuffled; reps come from monotonically_increasing_id, so they are dense in each of its partitions."""
+    blocks = cut(reps.groupBy(F.shiftright("rep", 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, int(rep & 63L))")).alias("word")))
+    ranges, held = [], BLOCKS
+    for part, n in sorted(blocks.groupBy(F.shiftright("block", 27)).count().collect()):
+        if held + n > BLOCKS:
+            ranges.append([part, part])
+            held = 0
+        ranges[-1][1], held = part, held + n
+    found = []
+    for lo, hi in ranges or [[0, 0]]:
+        some = F.broadcast(blocks.where(F.col("block").between(lo << 27, (hi + 1 << 27) - 1)))
+        own = table.where(F.col("rep").between(lo << 33, (hi + 1 << 33) - 1))
+        own = own.join(some, F.shiftright("rep", 6) == F.col("block")).where("(shiftrightunsigned(word, int(rep & 63L)) & 1L) = 1L")
+        found.append(cut(own.select(*table.columns)))
+    drop(blocks)
+    return reduce(DataFrame.union, found)
+
+
 def side(df: DataFrame, name: str) -> DataFrame:
     """df with its rep as name, and name before the other columns."""
     return df.select(F.col("rep").alias(name), *(F.col(x).alias(f"{name}_{x}") for x in df.columns if x != "rep"))
@@ -172,21 +198,25 @@ def fitting(often: DataFrame, size: Column) -> int | None:
 
 def apiece(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """What verified gives, each pair with the shingles of its own two lines."""
-    near = pairs.join(side(texts.select("rep", "line"), "b"), "b").join(side(texts.select("rep", "line"), "a"), "a")
-    # Arrays of one element name the sets and the sizes, so that each is computed once however often it is used.
-    hashes = F.array(F.struct(shingles(F.col("a_line")).alias("p"), shingles(F.col("b_line")).alias("q")))
-    sizes = F.transform(hashes, lambda s: F.struct(F.size(F.array_intersect(s["p"], s["q"])).alias("i"), F.size(F.array_union(s["p"], s["q"])).alias("n")))
-    similar = F.exists(sizes, lambda s: s["i"] * 100 >= s["n"] * T100)
-    return near.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    texts = within(texts.select("rep", "line"), pairs.select(F.explode(F.array("a", "b")).alias("rep")))
+    near = pairs.join(side(texts, "b"), "b").join(side(texts, "a"), "a")
+    # As rows of a generator, sets are made once however often they are used.
+    sets = F.struct(*(F.array_distinct(shingles(F.col(f"{x}_line"))).alias(name) for x, name in (("a", "p"), ("b", "q"))))
+    return similar(near.select("a", "b", F.inline(F.array(sets))))
 
 
 def among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """What verified gives, for pairs of lines whose sets of shingles (rep, set) all tasks get."""
     for x, name in (("b", "q"), ("a", "p")):
         pairs = pairs.join(F.broadcast(sets), F.col(x) == F.col("rep")).select(*pairs.columns, F.col("set").alias(name))
+    return similar(pairs)
+
+
+def similar(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, p, q) whose sets of shingles p and q are similar enough, as links (u, v)."""
     # The sizes of both sets are the intersection's and the union's together.
-    similar = F.size(F.array_intersect("p", "q")) * (100 + T100) >= (F.size("p") + F.size("q")) * T100
-    return pairs.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    enough = F.size(F.array_intersect("p", "q")) * (100 + T100) >= (F.size("p") + F.size("q")) * T100
+    return pairs.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def apart(members: DataFrame, joined: DataFrame) -> DataFrame:
@@ -228,11 +258,9 @@ def linked(listed: DataFrame, signed: DataFrame, texts: DataFrame, outlined: Cal
     joined, width = components(found), 1
     members = apart(listed.where("rep <> first").select("value", "rep"), joined)
     few = cut(members.select("rep").distinct())
-    marks = signed.join(few, "rep", "left_semi")
-    texts = cut(texts.join(few, "rep", "left_semi"))  # each turn shuffles these only
+    marks, texts = within(signed, few), within(texts, few)  # each turn reads these only
     if outlined:
-        marks = marks.join(outlined(texts), "rep")
-    marks = cut(marks)
+        marks = cut(marks.join(outlined(texts), "rep"))
     drop(few)
     while not members.isEmpty():
         before = found
@@ -263,15 +291,12 @@ def removed(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs).select("doc_id", "t", "no", *h, "line")
     places = cut(lines.drop("line"))
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("cnt"), F.first("line").alias("line"))
-    distinct = cut(distinct.withColumn("rep", F.monotonically_increasing_id()))
-    signed = cut(signatures(distinct))
-    listed = lists(signed)
-    reps = cut(listed.select("rep").distinct())
-    texts = cut(distinct.select("rep", "line").join(reps, "rep", "left_semi"))
-    some = cut(signed.select("rep", "s1", "s2").join(reps, "rep", "left_semi"))
-    drop(signed, reps)
-    joined = linked(listed, some, texts, outlines)
-    drop(some, texts)
+    # The signatures are made where a line's text has been shuffled to, and join it there; first and cnt make that the same shuffle.
+    signed = signatures(distinct, "h1", "h2", "first", "cnt").drop("first", "cnt")
+    distinct = cut(distinct.join(signed, ["h1", "h2"], "left").withColumn("rep", F.monotonically_increasing_id()))
+    listed = lists(distinct)
+    some = within(distinct.select("rep", "s1", "s2", "line"), listed.select("rep"))
+    joined = linked(listed, some.select("rep", "s1", "s2"), some.select("rep", "line"), outlines)
     known = distinct.select("rep", "h1", "h2", "first", "cnt").join(joined.withColumnRenamed("u", "rep"), "rep", "left")
     known = known.join(joined.select(F.col("v").alias("rep"), F.lit(True).alias("root")).distinct(), "rep", "left")
     known = known.where("cnt > 1 OR v IS NOT NULL OR root").withColumn("comp", F.coalesce("v", "rep"))

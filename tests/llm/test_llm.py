@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from clonoscope.llm import byte_bpe, common, exact_dedup, language_id, line_dedup, mixing, near_dedup, neighbours, suffix_dedup, suffix_order, token_counts, toxicity
 
@@ -469,6 +470,32 @@ def test_line_dedup_settles_a_list_in_a_turn(spark, monkeypatch):
     assert len(turns) == 1 and not {"s1", "s2", "n", "w0"} & set(turns[0])
 
 
+def test_line_dedup_shuffles_texts_once(spark, docs, monkeypatch):
+    """Texts are shuffled when equal lines meet, signatures are made there, and which lines are in lists or turns shuffles no texts."""
+    plans, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or cut(df))
+    now = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    with common.settings(spark, now):
+        line_dedup.removed(docs).collect()
+    (made,) = [plan for columns, plan in plans if {"h1", "line"} <= set(columns)]
+    assert len(re.findall("[+:]- Exchange hashpartitioning", made)) == 1 and made.count("ReusedExchange") == 1 and "s1" in made
+    later = [plan for columns, plan in plans if {"rep", "line"} <= set(columns) and "h1" not in columns]
+    assert later and not any("hashpartitioning" in plan for plan in later)
+
+
+def test_line_dedup_finds_lines_by_bits(spark, monkeypatch):
+    """Rows of several partitions, negative bits of words included, whether all words fit into one broadcast or not."""
+    table = spark.range(0, 3000, 1, 5).select(F.monotonically_increasing_id().alias("rep"), F.col("id").alias("x")).cache()
+    every = sorted(r.rep for r in table.collect())
+    wanted = [r for i, r in enumerate(every) if i % 3 == 0 or r % 64 == 63]
+    asked = spark.createDataFrame([(r,) for r in [*wanted, *wanted[:9], every[-1] + 5]], "rep long")
+    for bound in (line_dedup.BLOCKS, 12):
+        monkeypatch.setattr(line_dedup, "BLOCKS", bound)
+        got = line_dedup.within(table, asked)
+        assert got.columns == ["rep", "x"] and sorted(r.rep for r in got.collect()) == wanted
+    assert line_dedup.within(table, asked.where("rep < 0")).count() == 0
+
+
 def test_components_leave_no_shuffle_files(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
